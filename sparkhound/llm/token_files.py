@@ -12,6 +12,8 @@ Ranks are by falling corpus frequency, so the 256 most frequent ids take one byt
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -28,7 +30,9 @@ END = 1
 #: Ids in a file at most, unless one document alone has more.
 FILE_IDS = 1 << 20
 #: Words a worker remembers; results never depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Marks that form a match of their own after a letter.
+MARKS = frozenset(".,!?;:|")
 #: Data bytes of the four ids under a control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -61,6 +65,11 @@ def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths.astype(np.int64), ranks
 
 
+def _letters(word: str) -> bool:
+    """Letters only, before and after what the normalizer does to them."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordTokens:
     """Ids of whole texts as the tokenizers library gives them, remembered by word.
 
@@ -69,22 +78,45 @@ class WordTokens:
     """
 
     def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocab = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocab.values()) + 1, bool)
+        self.ending[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str | None) -> bytes:
-        words, known = (text or "").replace("\r", " ").replace("\n", " ").replace("\t", " ").split(" "), self.known
-        out = list(map(known.get, words))
-        if None in out:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({w for w, v in zip(words, out, strict=True) if v is None})
-            got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-            known.update((w, v) for w, v in got.items() if len(w) <= 64)
-            out = [got[w] if v is None else v for w, v in zip(words, out, strict=True)]
-        return b"".join(out)
+    def _library(self, words: set[str]) -> None:
+        # words of letters alone are one match each, whose last piece ends the word: they go to the library together
+        plain = [w for w in words if _letters(w)]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.type)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) == len(plain):
+                raw, size, at = ids.tobytes(), ids.itemsize, 0
+                for w, e in zip(plain, (ends * size).tolist(), strict=True):
+                    self.known[w] = raw[at:e]
+                    at = e
+                words = words.difference(plain)
+        rest = list(words)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, self.type).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        split = [(t or "").replace("\r", " ").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(known)
+        # a mark after a letter is a match of its own, and ASCII letters only count in lower case
+        cut = {w: (w[:-1].lower() if w.isascii() else w[:-1], w[-1]) for w in new if w[-1:] in MARKS and _letters(w[-2:-1])}
+        cut |= {w: (w.lower(), "") for w in new if w.isascii() and w.isalpha() and not w.islower()}
+        self._library({w for w in new if w not in cut} | {x for v in cut.values() for x in v if x not in known})
+        for w, (stem, mark) in cut.items():
+            known[w] = known[stem] + (known[mark] if mark else b"")
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -97,26 +129,29 @@ def word_tokens(tokenizer_file: str) -> WordTokens:
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, end: int = END) -> DataFrame:
-    """(doc_id, ids binary): little-endian unsigned 32-bit ids, the end id last. Null texts count as empty."""
+    """(doc_id, ids binary): little-endian unsigned ids, the end id last; 16 bits each where the vocabulary fits, else 32.
+
+    Null texts count as empty.
+    """
     small_batches(docs.sparkSession)
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches):
         t = word_tokens(tokenizer_file)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.encode(x) + last for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+            last = np.array([end], t.type).tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + last for x in t.encode(b.column(1).to_pylist())], pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> np.ndarray:
+def id_counts(tokens: DataFrame, width: int) -> np.ndarray:
     """Corpus frequency of each id; the vocabulary bounds its size."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(raw, "<u4"))
+            for raw in [b"".join(b.column(0).to_pylist())]:
+                c = np.bincount(np.frombuffer(raw, f"<u{width}"))
                 if len(c) > len(total):
                     c, total = total, c.astype(np.int64)
                 total[: len(c)] += c
@@ -130,7 +165,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
-def write_files(tokens: DataFrame, by_rank: np.ndarray, name: str = "token-files") -> DataFrame:
+def write_files(tokens: DataFrame, by_rank: np.ndarray, width: int, name: str = "token-files") -> DataFrame:
     """Files in ascending doc_id order, as rows (part, file, before, doc_ids, image) of a table in the shared folder.
 
     Range partitions follow each other in doc_id order (null first; equal doc_ids by their ids); Spark's commit protocol
@@ -146,20 +181,20 @@ def write_files(tokens: DataFrame, by_rank: np.ndarray, name: str = "token-files
         part, file, before, ids, raw, n = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def image():
-            lengths = np.array([len(x) // 4 for x in raw], np.int64)
+            lengths = np.array([len(x) // width for x in raw], np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], out_ids), pa.array([write_image(lengths, rank[np.frombuffer(b"".join(raw), "<u4")])], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], out_ids), pa.array([write_image(lengths, rank[np.frombuffer(b"".join(raw), f"<u{width}")])], pa.binary())],
                 ["part", "file", "before", "doc_ids", "image"],
             )
 
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if n and n + len(x) // 4 > FILE_IDS:
+                if n and n + len(x) // width > FILE_IDS:
                     yield image()
                     file, before, ids, raw, n = file + 1, before + n, [], [], 0
                 ids.append(d)
                 raw.append(x)
-                n += len(x) // 4
+                n += len(x) // width
         if ids:
             yield image()
 
@@ -189,18 +224,21 @@ def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
     return files.select("part", "before", "doc_ids", "image").mapInArrow(run, f"part int, doc_id {kind}, n_tokens long, ids_crc32 long, before long")
 
 
-def token_file_index(docs: DataFrame, tokenizer_file: str, end: int = END) -> DataFrame:
+def token_file_index(docs: DataFrame, tokenizer_file: str, end: int = END, keep_files: bool = False) -> DataFrame:
     """Write all documents' ids to token files, read them back: (doc_id, start, n_tokens, ids_crc32).
 
     Repeated doc_ids each get their own entry. An empty table gives an empty result. Only one total per range partition
     (their number is spark.sql.shuffle.partitions) and the vocabulary's counts reach the driver.
     """
     spark = docs.sparkSession
+    width = int(word_tokens(tokenizer_file).type[2:])
     tokens = keep(tokenized(docs, tokenizer_file, end), "tokens")
-    by_rank = np.argsort(-id_counts(tokens), kind="stable")
-    files = write_files(tokens, by_rank)
+    by_rank = np.argsort(-id_counts(tokens, width), kind="stable")
+    files = write_files(tokens, by_rank, width)
     forget(tokens)
     back = keep(read_files(files, by_rank), "token-index")
+    if not keep_files:
+        forget(files)
     at, starts = 0, []
     for part, n in sorted(tuple(r) for r in back.groupBy("part").agg(F.sum("n_tokens")).collect()):
         starts.append((part, at))
