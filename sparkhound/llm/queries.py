@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, mixing, mtree, pieces, sharding, simhash, token_files
+from . import anisotropic, mixing, mtree, pieces, pii, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(_table(spark, sf_dir, "documents")).taken()
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op6_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anisotropic.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -44,7 +48,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str | None
     return token_files.token_file_index(docs, tokenizer_file or public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op4_mixing, op6_anisotropic, op8_mtree, op9_token_files, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op4_mixing, op5_pii, op6_anisotropic, op8_mtree, op9_token_files, op10_sharding)}
 ORACLES: dict[str, str] = {
     # floor(256 x) and integer inner products over whole tables
     "op8_mtree": """
