@@ -172,7 +172,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     )
     whole = F.aggregate("cuts.words", F.lit(0).cast("long"), lambda a, x: a + x) == F.col("size")
     pieces = F.flatten(F.transform("cuts", lambda c: F.slice(F.col("_words"), c["from"].cast("int") + 1, c["words"].cast("int"))))
-    out = base.join(chosen, "_id").withColumn("_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(pieces, " ")))
+    # _words is named twice, or the optimiser would split the text anew for each cut
+    cut_text = F.when(F.size("_words") > 0, F.array_join(pieces, " "))
+    out = base.join(chosen, "_id").withColumn("_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)

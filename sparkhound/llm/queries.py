@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, mixing, mtree, pieces, pii, sharding, simhash, token_files
+from . import anisotropic, licences, mixing, mtree, pieces, pii, quality, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(_table(spark, sf_dir, "documents")).taken()
 
@@ -35,6 +39,10 @@ def op6_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anisotropic.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_products(_table(spark, sf_dir, "embeddings"))
 
@@ -48,14 +56,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str | None
     return token_files.token_file_index(docs, tokenizer_file or public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op4_mixing, op5_pii, op6_anisotropic, op8_mtree, op9_token_files, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_licences, op4_mixing, op5_pii, op6_anisotropic, op7_quality, op8_mtree, op9_token_files, op10_sharding)}
 ORACLES: dict[str, str] = {
+    "op3_licences": licences.oracle(),
     # floor(256 x) and integer inner products over whole tables
     "op8_mtree": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id

@@ -101,6 +101,15 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return posts.mapInArrow(lambda it: _forest(it, bits, choices), "a long, b long").distinct()
 
 
+def classes(rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """(_fp, component_id) for each distinct fingerprint of ``rows(doc_id, _fp)``; component_id is the smallest doc_id."""
+    least = rows.groupBy("_fp").agg(F.min("doc_id").alias("least"))
+    tree = components(links(rows, bits)).withColumnsRenamed({"node": "_fp"})
+    rooted = least.join(tree, "_fp", "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(ids, "root").select("_fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, _fp, component_id) for each row of ``docs``: the smallest doc_id reachable over links.
 
@@ -109,12 +118,21 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     an empty result; columns besides doc_id and text are left out.
     """
     rows = keep(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "_fp"), "fingerprints")
-    least = rows.groupBy("_fp").agg(F.min("doc_id").alias("least"))
+    return rows.join(classes(rows, bits), "_fp").select("doc_id", "_fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: the smallest doc_id, null last; of repeated rows the first.
+
+    Classes are found on row numbers, which are written with the rows once; rows without words are one class.
+    """
+    rows = keep(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), shingle), "rows")
+    # doc_id decides, then the row number: one long that orders like the pair is not to be had, so the pair's minimum is taken
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    least = rows.groupBy("_fp").agg(first.alias("least"))
     tree = components(links(rows, bits)).withColumnsRenamed({"node": "_fp"})
-    classes = least.join(tree, "_fp", "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = classes.join(ids, "root").select("_fp", "component_id")
-    return rows.join(of, "_fp").select("doc_id", "_fp", "component_id")
+    chosen = least.join(tree, "_fp", "left").groupBy(F.coalesce("root", "_fp").alias("root")).agg(F.min("least").alias("least"))
+    return rows.join(chosen.select(F.col("least._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def as_hex(column: str = "_fp"):
