@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, positions
+from .store import keep, packed, positions, unpacked
 
 BLOCK = 64
 OUTPUT_SHARDS = 64
@@ -81,9 +81,9 @@ class Mix:
     rows are documents of their own. Sizes, targets and draws depend on the rows alone, so reruns agree.
     """
 
-    def __init__(self, docs: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHARDS, most: int = MOST, seed: int = SEED):
+    def __init__(self, docs: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHARDS, most: int = MOST, seed: int = SEED, carry: tuple[str, ...] = ()):
         self.spark, self.block, self.seed, self.most = docs.sparkSession, block, seed, most
-        rows = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_tie"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        rows = docs.select(*carry, "doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_tie"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         laid = positions(rows, [F.col("source").asc_nulls_last(), "doc_id", "_tie"], "size", "mix-rows")
         found = [(r["source"], r["n"]) for r in laid.groupBy("source").agg(F.sum("size").alias("n")).collect()]
         self.sources = sorted(found, key=lambda x: (x[0] is None, x[0] or ""))
@@ -100,7 +100,7 @@ class Mix:
         self.docs = (
             laid.alias("d")
             .join(of.alias("o"), F.expr("d.source <=> o.source"))
-            .select("d.doc_id", "d.source", "d.size", "d.row", "_tie", "_s", "source_size", "target", (F.col("upto") - F.col("_start")).alias("end"))
+            .select(*[f"d.{c}" for c in carry], "d.doc_id", "d.source", "d.size", "d.row", "_tie", "_s", "source_size", "target", (F.col("upto") - F.col("_start")).alias("end"))
             .withColumn("begin", F.col("end") - F.col("size"))
         )
 
@@ -155,14 +155,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     a document whose blocks are taken once in full keeps its text as it is. Columns as in ``docs``; ``n_chars`` follows the
     text where there is such a column. Documents without words give no rows.
     """
-    spark = docs.sparkSession
-    base = keep(docs.withColumn("_id", F.monotonically_increasing_id()), "mix-docs")
-    plain = base.select(F.col("_id").alias("doc_id"), "text", "source")
-    mix = Mix(plain, **options)
+    used = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
+    base = keep(packed(docs, used).withColumn("_id", F.monotonically_increasing_id()), "mix-docs")
+    mix = Mix(base.select("_id", "doc_id", "text", "source"), carry=("_id",), **options)
     cut = (
         mix.segments()
         .join(mix.taken_blocks(), ["_s", "block"])
-        .join(mix.docs.select("row", F.col("doc_id").alias("_id"), "size"), "row")
+        .join(mix.docs.select("row", "_id", "size"), "row")
         .groupBy("_id", "size")
         .agg(F.sort_array(F.collect_list(F.struct("from", "words", "times"))).alias("cuts"))
     )
@@ -175,6 +174,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # _words is named twice, or the optimiser would split the text anew for each cut
     cut_text = F.when(F.size("_words") > 0, F.array_join(pieces, " "))
     out = base.join(chosen, "_id").withColumn("_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut_text))
-    if "n_chars" in docs.columns:
+    if "n_chars" in used:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    return unpacked(out, docs.columns, used)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import forget, keep
+from .store import forget, keep, packed, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
@@ -79,7 +79,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("end", F.sum(F.col("m.gaps.length") + F.length("m.matches")).over(before).cast("long"))
     x = F.col("m.matches")
     digits = _digits(x)
-    byte = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+    byte = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
     seeds = (
         F.when(F.col("kind") == "email", F.lit(True))
         .when(F.col("kind") == "ip", x.rlike(rf"^{byte}(?:\.{byte}){{3}}$"))
@@ -171,7 +171,8 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
 
 def redacted(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each span of personal data in the text replaced by its kind in brackets; ``n_chars`` follows the text."""
-    all_ = identified(docs)
+    used = [c for c in ("text", "n_chars") if c in docs.columns]
+    all_ = identified(packed(docs, used))
     merged = spans(all_.select("uid", "text"), **options).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cells"))
     # where spans overlap, the text is cut at the furthest end so far
     step = lambda a, s: F.struct(
@@ -185,6 +186,6 @@ def redacted(docs: DataFrame, **options) -> DataFrame:
     out = all_.join(merged, "uid", "left").withColumn("_new", F.when(F.col("cells").isNotNull(), new))
     text = F.when(F.col("_new").isNotNull(), F.concat(F.col("_new.text"), F.expr("substring(text, _new.at + 1)"))).otherwise(F.col("text"))
     out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    if "n_chars" in used:
         out = out.withColumn("n_chars", F.when(F.col("_new").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return unpacked(out, docs.columns, used)

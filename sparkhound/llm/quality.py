@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import packed, unpacked
+
 FIT_ROWS = 12_000
 TREES = 24
 DEPTH = 3
@@ -184,3 +186,8 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFra
     """
     model = fit(docs, labels, rows)
     return scored(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the model predicts as label 1; all columns come through unchanged."""
+    return unpacked(scored(packed(docs, ["text"]), model, threshold).where("_predicted = 1"), docs.columns, ["text"])

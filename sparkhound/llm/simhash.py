@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import keep, small_batches
+from .store import keep, packed, small_batches, unpacked
 
 SEED = 42
 BITS = 2
@@ -124,15 +124,16 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
 def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: the smallest doc_id, null last; of repeated rows the first.
 
-    Classes are found on row numbers, which are written with the rows once; rows without words are one class.
+    Rows are numbered when they are written with their fingerprints, once; rows without words are one class. Other columns,
+    whatever their names, come through unchanged.
     """
-    rows = keep(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), shingle), "rows")
-    # doc_id decides, then the row number: one long that orders like the pair is not to be had, so the pair's minimum is taken
+    used = ["doc_id", "text"]
+    rows = keep(fingerprints(packed(docs, used).withColumn("_row", F.monotonically_increasing_id()), shingle), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     least = rows.groupBy("_fp").agg(first.alias("least"))
     tree = components(links(rows, bits)).withColumnsRenamed({"node": "_fp"})
     chosen = least.join(tree, "_fp", "left").groupBy(F.coalesce("root", "_fp").alias("root")).agg(F.min("least").alias("least"))
-    return rows.join(chosen.select(F.col("least._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return unpacked(rows.join(chosen.select(F.col("least._row").alias("_row")), "_row", "left_semi"), docs.columns, used)
 
 
 def as_hex(column: str = "_fp"):

@@ -46,6 +46,19 @@ def forget(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+REST = "__rest"
+
+
+def packed(docs: DataFrame, used: list[str]) -> DataFrame:
+    """``docs`` as the used columns and one struct of all others, so that no working column can clash with theirs."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias(REST))
+
+
+def unpacked(df: DataFrame, columns: list[str], used: list[str]) -> DataFrame:
+    return df.select(*[F.col(c) if c in used else F.col(REST)[c].alias(c) for c in columns])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
