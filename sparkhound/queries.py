@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import predicates as P
-from .operators import changes, matching, reach, scopes, smells, taint, text_lint
+from .operators import cfg, changes, matching, reach, scopes, smells, taint, text_lint
 from .plans.fixpoint import durable
 from .sources.nodes import event_nodes
 from .sources.rules import sink_table
@@ -492,3 +492,39 @@ def dependency_audit(spark, sf_dir):
 @query("SELECT page_id FROM pages WHERE regexp_matches(url, '^(.*/)?[^/]*1[^/]*$')", nodes=False)
 def glob_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(F.col("url").rlike(P.glob_to_regex("**/*1*"))).select("page_id")
+
+
+@query(
+    TAINT
+    + """, hits AS (SELECT n.file, n.line, n.arg_var AS var FROM nodes n JOIN closure c ON c.file = n.file AND c.var = n.arg_var WHERE n.node_type = 'call'),
+    last AS (SELECT file, name, arg_max(arg_var, line) AS next FROM nodes WHERE node_type = 'assign' GROUP BY ALL),
+    trace AS (
+        SELECT file, line, var, var AS here, 1 AS steps, [var] AS seen FROM hits
+        UNION ALL
+        SELECT t.file, t.line, t.var, l.next, steps + 1, list_append(seen, l.next) FROM trace t JOIN last l ON l.file = t.file AND l.name = t.here WHERE NOT list_contains(seen, l.next))
+    SELECT file, line, var, CAST(max(steps) + 1 AS INTEGER) AS steps FROM trace GROUP BY file, line, var""",
+    recursive=True,
+)
+def vulnerability_flows(spark, sf_dir):
+    n = durable(nodes_of(spark, sf_dir))
+    known = taint.analyse(n)
+    hits = durable(taint.sink_hits(n.where("node_type = 'call'"), known))
+    flows = taint.traced_flow(n, hits, known)
+    return flows.join(hits.select("file", "ord", "line"), ["file", "ord"]).select("file", "line", "var", F.size("flow").alias("steps"))
+
+
+@query()
+def cfg_findings(spark, sf_dir):
+    """Functions of the fixture as straight code with open branches; the first parameter is tainted."""
+    inside = scopes.with_scope(nodes_of(spark, sf_dir)).where("scope_line IS NOT NULL AND node_type <> 'def'")
+    kind = F.when(F.col("node_type") == "control", "branch").otherwise(F.col("node_type"))
+    fn = F.concat_ws(":", "scope_name", "scope_line")
+    il = inside.select("file", fn.alias("fn"), "ord", kind.alias("kind"), F.when(F.col("node_type") == "assign", F.col("name")).alias("lhs"), F.when(F.col("node_type") == "call", F.col("name")).alias("callee"), F.col("args.value").alias("args"), "line")
+    params = nodes_of(spark, sf_dir).where("node_type = 'def'").select("file", F.concat_ws(":", "name", "line").alias("fn"), F.col("args.value").alias("params"))
+    rules = [{"rule": "CommandInjection", "pattern": "fn", "match": "substring", "arg": 0, "sanitizers": []}]
+    return cfg.cfg_findings(il, rules, ("v",), ("fn24",), params)
+
+
+@query()
+def all_smells(spark, sf_dir):
+    return smells.all_smells(durable(nodes_of(spark, sf_dir)))
