@@ -9,6 +9,7 @@ from sparkhound.operators import cfg, changes, matching, reach, scopes, smells,
 from sparkhound.plans import reports
 from sparkhound.schema import NODES
 from sparkhound.sources import project
+from sparkhound.sources.default_rules import default_sinks
 from sparkhound.sources.nodes import read_json_nodes
 from sparkhound.sources.rules import load_rules, parse_rules, rule_sources, sink_table
 
@@ -232,6 +233,12 @@ def test_rule_files(tmp_path):
     assert len(parse_rules(text)) == 3 and len(warnings) == 1 and load_rules(str(tmp_path / "none"), "d") == ("d", [])
 
 
+def test_default_rules(spark):
+    n = make(spark, [("a", 1, "def", "f", [var("params")]), ("a", 2, "call", "db.query", [var("params")]), ("a", 3, "call", "Digest::MD5.new", []), ("a", 4, "call", "Regex.new", [lit("(a+)+")]), ("a", 5, "call", "HTTP::Client.new", [lit("h")]), ("a", 6, "call", "system", [lit("ls")])])
+    found = matching.findings(n, default_sinks(spark), taint.analyse(n)).collect()
+    assert sorted((r["rule"], r["line"]) for r in found) == [("MissingTimeout", 5), ("ReDoS", 4), ("SQLInjection", 2), ("WeakCryptography", 3)]
+
+
 def test_project_files(spark, tmp_path):
     for f in ("src/a.cr", "src/b.svelte.ts", "lib/dep/c.cr", "node_modules/x.js", ".git/h.cr", "d.txt", "e.nim"):
         (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
