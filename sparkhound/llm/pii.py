@@ -18,20 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import forget, keep, packed, unpacked
+from .store import keep, packed, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
 TRUST = 0.5
 ROUNDS = 3
+BUCKETS = 65_536
 
 #: Possessive forms of the contract's patterns. A match can start inside a run of its first class only where another one
 #: ended (\G); else the run's first character would have started it. So each run is tried once and time stays linear.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What no digit chain holds becomes a line feed, one for one; chains are then runs of one class.
-NOT_CHAIN = r"[^0-9\x20-]|(?<![0-9])[\x20-]|[\x20-](?![0-9])"
+#: A separator that joins no two digits becomes a line feed, one for one; digit chains are then runs of one class.
+NOT_CHAIN = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
+CHAIN = r"[^0-9\x20-]|(?<![0-9])[\x20-]|[\x20-](?![0-9])"
 CHAIN = r"[0-9\x20-]{2,}+"
 #: Candidates only.
 LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(][aA][tT][\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(][dD][oO][tT][\])]|\.) ?[A-Za-z0-9-]{1,63}+){1,8}"
@@ -97,27 +99,22 @@ def occurrences(texts: DataFrame) -> DataFrame:
         (F.col("end") - F.length(x)).alias("start"),
         "end",
         F.when(F.col("kind").isin("card", "phone"), digits).otherwise(F.lower(x)).alias("instance"),
-        F.when(F.col("kind") == "card", F.lit(None).cast("string")).otherwise(word).alias("context"),
+        word.alias("context"),
     )
 
 
-def _card_contexts(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Contexts of card chains, whose gaps were masked: the word before the match in the text itself."""
-    cards = found.where("kind = 'card'").drop("context").join(texts, "uid")
-    tail = F.expr("lower(right(left(text, cast(start AS int)), 48))")
-    words = F.split(tail, r"[\x09-\x0D\x20]+")
-    word = F.when(F.element_at(words, -1) != "", F.element_at(words, -1)).when(F.size(words) > 1, F.element_at(words, -2)).otherwise(F.lit(""))
-    return cards.withColumn("context", word).select(found.columns)
-
-
 def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
     """(uid, kind, start, end): candidates in trusted contexts, none overlapping a seed of the document."""
     words = texts.select(F.explode(F.split(F.lower("text"), r"[\x09-\x0D\x20]+")).alias("context")).where("context <> ''")
     # only contexts of a candidate can report anything, and only they need corpus counts
     open_ = found.where("NOT seed AND context <> ''").select("context").distinct()
-    seen = found.where("context <> ''").join(open_, "context", "left_semi").groupBy("kind", "context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    seen = found.where("context <> ''").groupBy("kind", "context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(open_, "context", "left_semi")
     rich = seen.groupBy("kind", "context").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= support)
-    total = words.groupBy("context").agg(F.count("*").alias("total")).join(rich.select("context").distinct(), "context", "left_semi")
+    rich = keep(rich, "pii-rich")
+    # words are first held against at most BUCKETS hash values of the contexts, whatever their number; the join decides
+    bucket = F.pmod(F.xxhash64("context"), F.lit(BUCKETS)).alias("bucket")
+    near = words.select("context", bucket).join(F.broadcast(rich.select(bucket).distinct()), "bucket", "left_semi")
+    total = near.groupBy("context").agg(F.count("*").alias("total")).join(rich.select("context").distinct(), "context", "left_semi")
     graph = keep(seen.join(rich, ["kind", "context"], "left_semi").join(total, "context"), "pii-graph")
     belief = graph.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("belief"))
     for _ in range(rounds):
@@ -136,10 +133,7 @@ def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: f
 
 def spans(texts: DataFrame, **options) -> DataFrame:
     """(uid, kind, start, end, seed) for ``texts(uid, text)``; uid must be unique and fixed."""
-    first = keep(occurrences(texts), "pii-first")
-    cards = _card_contexts(texts, first)
-    found = keep(first.where("kind <> 'card'").unionByName(cards), "pii-found")
-    forget(first)
+    found = keep(occurrences(texts), "pii-found")
     seeds = found.where("seed").select("uid", "kind", "start", "end", F.lit(True).alias("seed"))
     return seeds.unionByName(learned(texts, found, **options).withColumn("seed", F.lit(False)))
 
