@@ -52,22 +52,25 @@ def flows(nodes: DataFrame, sanitizers: list[str] = SANITIZERS) -> DataFrame:
     through = assigns.join(calls, ["file", "line"]).select("file", F.col("name").alias("dst"), F.explode(F.transform(F.filter("call.args", lambda a: a["arg_type"] == "var"), lambda a: a["value"])).alias("src"))
     method = assigns.select("file", F.col("name").alias("dst"), F.explode(_arg_values("call")).alias("c")).where(P.is_string_method(F.col("c")) & F.contains("c", F.lit(".")))
     receivers = method.select("file", "dst", F.expr("left(c, length(c) - length(substring_index(c, '.', -1)) - 1)").alias("src"))
-    plain = vars_.unionByName(through).unionByName(receivers).select("file", "src", F.lit("").alias("src_field"), "dst", F.lit("").alias("dst_field"))
+    plain = through.unionByName(receivers).select("file", "src", F.lit("").alias("src_field"), "dst", F.lit("").alias("dst_field"))
     parsed = assigns.where(F.exists("args", lambda a: (a["arg_type"] == "call") & a["value"].isin(*W.URI_CONSTRUCTORS)))
     uri = parsed.select("file", F.col("name").alias("dst"), F.explode(_arg_values("var")).alias("src")).select(
         "file", "src", F.lit("").alias("src_field"), "dst", F.explode(F.array(*map(F.lit, W.URI_FIELDS))).alias("dst_field")
     )
-    # an alias x = y hands on y's field records one by one
-    alias = vars_.select("file", "src", "dst", F.explode(F.array(*map(F.lit, W.URI_FIELDS))).alias("src_field")).select("file", "src", "src_field", "dst", F.col("src_field").alias("dst_field"))
+    # an assignment x = y hands on y and all of its fields alike: no field on either side
+    alias = vars_.select("file", "src", F.lit(None).cast("string").alias("src_field"), "dst", F.lit(None).cast("string").alias("dst_field"))
     return plain.unionByName(uri).unionByName(alias).join(clean, ["file", "dst"], "left_anti").distinct()
 
 
 def propagate(seed: DataFrame, edges: DataFrame, cap: int = 100) -> DataFrame:
-    """All tainted (file, var, field, source): the closure of the seeds over the edges (G-13)."""
-    edges = durable(edges)
+    """All tainted (file, var, field, source): the closure of the seeds over the edges (G-13).
+
+    ``edges`` is read once a round, so it should be durable. An edge without a field passes on whatever field comes.
+    """
 
     def step(delta: DataFrame) -> DataFrame:
-        return delta.withColumnsRenamed({"var": "src", "field": "src_field"}).join(edges, ["file", "src", "src_field"]).select("file", F.col("dst").alias("var"), F.col("dst_field").alias("field"), "source")
+        out = delta.withColumnRenamed("var", "src").join(edges, ["file", "src"]).where("src_field IS NULL OR src_field = field")
+        return out.select("file", F.col("dst").alias("var"), F.coalesce("dst_field", "field").alias("field"), "source")
 
     return fixpoint(seed.select(*KEYS, "source"), step, KEYS, cap)
 
