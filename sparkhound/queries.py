@@ -528,3 +528,58 @@ def cfg_findings(spark, sf_dir):
 @query()
 def all_smells(spark, sf_dir):
     return smells.all_smells(durable(nodes_of(spark, sf_dir)))
+
+
+@query(
+    """, t AS (SELECT file, line, CASE node_type WHEN 'call' THEN concat('Call|', name, '|1') WHEN 'assign' THEN 'Assign|_|1' WHEN 'def' THEN 'Def|_|1' ELSE concat(node_type, '|_|0') END AS norm FROM nodes),
+    f AS (SELECT file, line, list(norm) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS frame FROM t),
+    m AS (SELECT file, line, md5(array_to_string(frame, '|')) AS hash FROM f WHERE len(frame) = 3)
+    SELECT 'DRYViolation' AS rule, 'Medium' AS severity, min((file, line))[1] AS file, min((file, line))[2] AS line, hash AS subject, count(DISTINCT (file, line)) AS value FROM m
+    GROUP BY hash HAVING count(DISTINCT (file, line)) >= 4 AND count(DISTINCT file) >= 2"""
+)
+def dry_violations(spark, sf_dir):
+    return smells.dry_violation(nodes_of(spark, sf_dir), smells.Limits(window=3))
+
+
+@query(
+    TAINT
+    + """ SELECT DISTINCT s.file, s.scope_name AS func_name FROM scoped s LEFT JOIN closure c ON c.file = s.file AND c.var = s.name
+    WHERE s.node_type = 'assign' AND s.scope_line IS NOT NULL AND (c.var IS NOT NULL OR s.taint)""",
+    recursive=True,
+)
+def tainted_returns(spark, sf_dir):
+    n = durable(nodes_of(spark, sf_dir))
+    return taint.tainted_returns(n, taint.analyse(n))
+
+
+@query(
+    REACHED
+    + """, names AS (SELECT caller AS name FROM edges UNION SELECT callee FROM edges)
+    SELECT n.name, CASE WHEN n.name = 'fn7' THEN 'Sink' WHEN n.name = 'fn2' THEN 'Entry' WHEN r.name IS NOT NULL THEN 'Reachable' ELSE 'Dormant' END AS class
+    FROM names n LEFT JOIN reached r ON r.name = n.name""",
+    recursive=True,
+)
+def call_graph_classes(spark, sf_dir):
+    n = durable(nodes_of(spark, sf_dir))
+    edges, entries = reach.call_edges(n), reach.entry_points(n, ["fn2"]).where("name = 'fn2'")
+    return reach.classified(edges, entries, n.where("name = 'fn7'"), reach.reachable(edges, entries))
+
+
+@query(
+    """SELECT n_name AS name, coalesce(bool_or(s_acctbal > 5000), false) AS reachable FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""",
+    nodes=False,
+)
+def dependency_reachability(spark, sf_dir):
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    imports = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("file"), F.concat_ws("/", "n_name", "s_name").alias("module"))
+    live = supplier.where("s_acctbal > 5000").select(F.col("s_name").alias("file"))
+    return changes.dependency_reachability(nation.select(F.col("n_name").alias("name")), imports, live)
+
+
+@query(
+    """SELECT CASE WHEN t >= 3 THEN 'later' ELSE 'first' END AS part, role, count(*) AS n, max(length(text)) AS longest FROM (SELECT turn AS t, role, text FROM conversations) GROUP BY ALL""",
+    nodes=False,
+)
+def conversation_mix(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy(F.when(F.col("turn") >= 3, "later").otherwise("first").alias("part"), "role").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("bigint").alias("longest"))
