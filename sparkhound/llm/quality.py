@@ -190,4 +190,7 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFra
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the model predicts as label 1; all columns come through unchanged."""
-    return unpacked(scored(packed(docs, ["text"]), model, threshold).where("_predicted = 1"), docs.columns, ["text"])
+    # A row number, which always holds, keeps the filter above the statistics: pushed below them it would compute each
+    # statistic anew for every comparison of every rule.
+    decided = scored(packed(docs, ["text"]), model, threshold).withColumn("_keep", F.when(F.monotonically_increasing_id() >= 0, F.col("_predicted")))
+    return unpacked(decided.where("_keep = 1"), docs.columns, ["text"])
