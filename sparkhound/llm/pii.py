@@ -111,9 +111,14 @@ def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: f
     seen = found.where("context <> ''").groupBy("kind", "context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(open_, "context", "left_semi")
     rich = seen.groupBy("kind", "context").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= support)
     rich = keep(rich, "pii-rich")
-    # words are first held against at most BUCKETS hash values of the contexts, whatever their number; the join decides
-    bucket = F.pmod(F.xxhash64("context"), F.lit(BUCKETS)).alias("bucket")
-    near = words.select("context", bucket).join(F.broadcast(rich.select(bucket).distinct()), "bucket", "left_semi")
+    # words are first held against a bit map of the contexts' hashes, of fixed size whatever their number; the join decides
+    bucket = F.pmod(F.xxhash64("context"), F.lit(BUCKETS))
+    bits = [0] * (BUCKETS // 64)
+    for r in rich.select(bucket.cast("int").alias("b")).distinct().collect():
+        bits[r["b"] // 64] |= 1 << r["b"] % 64
+    cells = F.lit([x - (1 << 64) if x >> 63 else x for x in bits])
+    is_set = F.expr("shiftrightunsigned(cell, cast(bucket % 64 AS int)) & 1") == 1
+    near = words.withColumn("bucket", bucket).withColumn("cell", F.get(cells, F.floor(F.col("bucket") / 64).cast("int"))).where(is_set)
     total = near.groupBy("context").agg(F.count("*").alias("total")).join(rich.select("context").distinct(), "context", "left_semi")
     graph = keep(seen.join(rich, ["kind", "context"], "left_semi").join(total, "context"), "pii-graph")
     belief = graph.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("belief"))
