@@ -106,9 +106,10 @@ def occurrences(texts: DataFrame) -> DataFrame:
 def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
     """(uid, kind, start, end): candidates in trusted contexts, none overlapping a seed of the document."""
     words = texts.select(F.explode(F.split(F.lower("text"), r"[\x09-\x0D\x20]+")).alias("context")).where("context <> ''")
+    # inner joins on distinct keys, as the optimiser would move semi-joins below the counts;
     # only contexts of a candidate can report anything, and only they need corpus counts
     open_ = found.where("NOT seed AND context <> ''").select("context").distinct()
-    seen = found.where("context <> ''").groupBy("kind", "context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(open_, "context", "left_semi")
+    seen = found.where("context <> ''").groupBy("kind", "context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(open_, "context")
     rich = seen.groupBy("kind", "context").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= support)
     rich = keep(rich, "pii-rich")
     # words are first held against a bit map of the contexts' hashes, of fixed size whatever their number; the join decides
@@ -119,8 +120,8 @@ def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: f
     cells = F.lit([x - (1 << 64) if x >> 63 else x for x in bits])
     is_set = F.expr("shiftrightunsigned(cell, cast(bucket % 64 AS int)) & 1") == 1
     near = words.withColumn("bucket", bucket).withColumn("cell", F.get(cells, F.floor(F.col("bucket") / 64).cast("int"))).where(is_set)
-    total = near.groupBy("context").agg(F.count("*").alias("total")).join(rich.select("context").distinct(), "context", "left_semi")
-    graph = keep(seen.join(rich, ["kind", "context"], "left_semi").join(total, "context"), "pii-graph")
+    total = near.groupBy("context").agg(F.count("*").alias("total")).join(rich.select("context").distinct(), "context")
+    graph = keep(seen.join(rich.select("kind", "context"), ["kind", "context"]).join(total, "context"), "pii-graph")
     belief = graph.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("belief"))
     for _ in range(rounds):
         edges = graph.join(belief, ["kind", "instance"])
