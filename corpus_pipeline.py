@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkhound.llm import mixing, pieces, pii, quality, simhash
+from sparkhound.llm import mixing, pieces, pii, quality, similar
 from sparkhound.llm.store import keep
 
 
@@ -19,8 +19,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id (of repeated rows, the first)."""
-    return simhash.one_of_each(docs)
+    """One document of each near-duplicate group stays: the one with the smallest doc_id (of repeated rows, the first).
+
+    Documents are near duplicates if at least 0.8 of their runs of five words are common to both.
+    """
+    return similar.one_of_each(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,17 +28,24 @@ BITS = 2
 SHINGLE = 3
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit i is set if over half the shingles' hashes have it. No words: 0."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all runs of ``shingle`` words (of all words, if there are fewer), repeats included. No words: none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space splits
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bit i is set if over half the shingles' hashes have it. No words: 0."""
+    h = hashes(text, shingle)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):  # bounded memory for long texts
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -29,3 +29,33 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_near_duplicates_are_those_of_five_words(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        texts.append([f"w{rng.randrange(10**6)}" for _ in range(rng.randint(3, 120))])
+        for _ in range(rng.randint(0, 5)):  # copies of copies, a few words changed or dropped
+            words = list(rng.choice(texts[-3:]))
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(10**6)}"
+            texts.append(words[: len(words) - rng.randint(0, 2)])
+    base = [f"x{k}" for k in range(49)]  # 45 shingles; one word less at both ends of a copy: exactly 0.8 with 36 of 45
+    texts += [base, base[9:], ["one"] + base[9:] + ["y"] * 9, [], ["a"], ["a"]]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in texts]
+    label = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets[:a]):
+                if label[a] != label[b] and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    assert len({*label}) < len({frozenset(s) for s in sets}) and label[-5] == label[-6]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == sorted({*label})
