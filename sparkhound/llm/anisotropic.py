@@ -6,7 +6,9 @@ each. Codewords are fitted on a sample of at most ``TRAIN`` vectors to the aniso
     eta * |parallel part of the residual|^2 + |orthogonal part|^2,
 whose parallel part (along x) matters most where the score is high; codes are chosen by coordinate descent on that loss over
 all subspaces, and codewords by solving its normal equations. Two codes share a byte; a query's table of 256 sums for each
-byte scores all rows of a block by lookups, and the best ``RERANK`` rows of each block are measured exactly.
+byte scores all rows of a block by lookups, and the best ``RERANK`` rows of each block are measured exactly. So is every
+further row that could still be among the nearest: by its codes' distance to the query less its own quantisation error it
+may lie no farther than the last of the nearest so far. Tight groups of any size are thus searched whole.
 """
 
 from __future__ import annotations
@@ -102,12 +104,16 @@ def search_block(quantiser: Quantiser, ids, x, q_ids, q, top: int, rerank: int):
     packed = np.ascontiguousarray((codes[:, 0::2].astype(np.int64) << 4 | codes[:, 1::2]).T)
     exact = x.astype(np.float64)
     bias = (-0.5 * (exact * exact).sum(1)).astype(np.float32)
+    coded = quantiser.books[np.arange(codes.shape[1])[None], codes].reshape(len(x), -1)
+    error = np.sqrt(((quantiser.padded(x) - coded) ** 2).sum(1))
+    coded = (coded * coded).sum(1)
     tables = quantiser.tables(q)
     out = []
     for k, (qid, nth) in enumerate(zip(q_ids.tolist(), vectors.copies(q_ids).tolist(), strict=True)):
-        score = bias.copy()
+        product = np.zeros(len(ids), np.float32)
         for m in range(len(packed)):
-            score += tables[k, m][packed[m]]
+            product += tables[k, m][packed[m]]
+        score = product + bias
         own = np.flatnonzero(ids == qid)  # its own row takes no part; further rows with this id do
         if len(own):
             score[own[min(nth, len(own) - 1)]] = -np.inf
@@ -117,7 +123,19 @@ def search_block(quantiser: Quantiser, ids, x, q_ids, q, top: int, rerank: int):
         least = -np.partition(-score, want - 1)[want - 1]
         near = np.flatnonzero(score > least)
         near = np.concatenate([near, np.flatnonzero(score == least)[: want - len(near)]])  # ids ascend
-        far = np.sqrt(((exact[near] - q[k].astype(np.float64)) ** 2).sum(1))
+        query = q[k].astype(np.float64)
+        far = np.sqrt(((exact[near] - query) ** 2).sum(1))
+        if len(near) >= top:
+            size = query @ query + coded
+            slack = 4e-7 * (len(packed) + 2) * size  # single-precision sums
+            more = size - 2.0 * product - slack <= (np.partition(far, top - 1)[top - 1] + error) ** 2
+        else:
+            more = np.ones(len(ids), bool)
+        more[near] = False
+        more &= score > -np.inf
+        more = np.flatnonzero(more)
+        near = np.concatenate([near, more])
+        far = np.concatenate([far, np.sqrt(((exact[more] - query) ** 2).sum(1))])
         for j in np.lexsort((ids[near], far))[:top]:
             out.append((qid, nth, int(ids[near[j]]), float(far[j])))
     return out

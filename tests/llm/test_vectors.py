@@ -40,6 +40,20 @@ def test_nearest(table):
     assert [v for v, _ in got[0]] == list(range(300, 310))
 
 
+def test_tight_groups_are_searched_whole():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    x[:1000] = x[0] + 0.02 * rng.normal(size=(1000, 32))  # a third of the rows, near copies
+    x = x[rng.permutation(3000)].astype(np.float32)
+    ids, q = np.arange(3000), np.arange(0, 3000, 50)
+    found = anisotropic.search_block(anisotropic.Quantiser.fit(x), ids, x, q, x[q], 10, anisotropic.RERANK)
+    y, got = x.astype(np.float64), {}
+    for query, _, v, _ in found:
+        got.setdefault(query, []).append(v)
+    for k in q.tolist():
+        assert got[k] == [v for v, _ in _exact(y, ids, k, lambda a, b: np.sqrt(((a - b) ** 2).sum(1)), 10)]
+
+
 def test_anisotropic_loss_falls_below_plain_codes():
     x = np.random.default_rng(0).normal(size=(800, 16))
     q = anisotropic.Quantiser.fit(x)
