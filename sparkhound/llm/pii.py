@@ -31,10 +31,14 @@ BUCKETS = 65_536
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A separator that joins no two digits becomes a line feed, one for one; digit chains are then runs of one class.
+#: A separator that joins no two digits becomes a line feed (a hyphen \x01), one for one; digit chains are then runs of one class.
 NOT_CHAIN = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
 CHAIN = r"[^0-9\x20-]|(?<![0-9])[\x20-]|[\x20-](?![0-9])"
 CHAIN = r"[0-9\x20-]{2,}+"
+#: Where an identifier can begin inside a word, after a label: 'tel:+49...', '<a@b.c', 'no7'.
+GLUED = r"(?<=[^0-9a-z])(?=[0-9a-z+(])|(?<=[^0-9+(])(?=[0-9+(])"
+#: Characters of a context at most, its last ones.
+WIDTH = 48
 #: Candidates only.
 LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(][aA][tT][\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(][dD][oO][tT][\])]|\.) ?[A-Za-z0-9-]{1,63}+){1,8}"
 LOOSE_IP = r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}+:){3,7}+:?[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])"
@@ -42,9 +46,10 @@ LOOSE_PHONE = r"(?<![0-9+(.-])\(?[0-9]{2,4}+\)?[\x20.-][0-9]{2,4}+[\x20.-][0-9]{
 
 
 def _found(kind: str, seed: bool, text: Column, pattern: str, if_: Column, show: Column | None = None) -> Column:
-    """struct(kind, seed, matches, gaps): matches of a pattern and, before each, the gap's length and its last characters."""
-    gap = lambda g: F.struct(F.length(g).alias("length"), F.right(g, F.lit(48)).alias("tail"))
+    """struct(kind, seed, matches, gaps): matches of a pattern and, before each, the gap's length and the last characters so far."""
     matches = F.when(if_, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    back = lambda g, k: F.concat(F.when(k > 0, F.get(matches, k - 1)).otherwise(F.lit("")), g)
+    gap = lambda g, k: F.struct(F.length(g).alias("length"), F.translate(F.right(F.rtrim(back(g, k), F.lit("\t\n\x0b\x0c\r ")), F.lit(WIDTH)), "\x01", "-").alias("tail"))
     gaps = F.when(if_, F.transform(F.split(text, pattern, -1), gap))
     return F.struct(F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), matches.alias("matches"), gaps.alias("gaps"))
 
@@ -64,7 +69,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
     t = F.col("text")
     digit = t.rlike("[0-9]")
     chain_like = t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")
-    marked = F.when(chain_like, F.regexp_replace(t, NOT_CHAIN, "\n"))
+    marked = F.when(chain_like, F.regexp_replace(F.regexp_replace(t, NOT_CHAIN.replace(r"[\x20-]", "-"), "\x01"), NOT_CHAIN, "\n"))
     wanted = texts.where("text <> ''").where(digit | F.contains(t, F.lit("@")) | t.rlike(r"[\[(][aA][tT][\])]") | F.contains(t, F.lit("::")))
     kinds = F.array(
         _found("email", True, t, EMAIL, F.contains(t, F.lit("@"))),
@@ -105,7 +110,12 @@ def occurrences(texts: DataFrame) -> DataFrame:
 
 def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
     """(uid, kind, start, end): candidates in trusted contexts, none overlapping a seed of the document."""
-    words = texts.select(F.explode(F.split(F.lower("text"), r"[\x09-\x0D\x20]+")).alias("context")).where("context <> ''")
+    words = texts.select(F.explode(F.split(F.lower("text"), r"[\x09-\x0D\x20]+")).alias("w")).where("w <> ''")
+    # a context is a whole word, or a word's part before an identifier; both count wherever they stand
+    parts = F.split("w", GLUED)
+    upto = lambda k: F.right(F.array_join(F.slice(parts, F.greatest(F.lit(1), k - WIDTH + 1), F.least(k, F.lit(WIDTH))), ""), F.lit(WIDTH))
+    cut = F.when(F.col("w").rlike(GLUED), F.transform(F.sequence(F.lit(1), F.size(parts)), upto)).otherwise(F.array(F.right("w", F.lit(WIDTH))))
+    words = words.select(F.explode(cut).alias("context"))
     # inner joins on distinct keys, as the optimiser would move semi-joins below the counts;
     # only contexts of a candidate can report anything, and only they need corpus counts
     open_ = found.where("NOT seed AND context <> ''").select("context").distinct()

@@ -197,6 +197,17 @@ def test_contexts_are_learned(spark):
     assert all(spans[30 + k] == "phone:7:19" for k in range(10)) and not any(spans[40 + k] for k in range(10))
 
 
+def test_labels_glued_to_identifiers_are_contexts(spark):
+    cards = [c for c in range(4111111111111000, 4111111111111999) if _luhn(str(c))]
+    texts = [f"tel:+1 555 123 {k:04d}" for k in range(30)] + [f"card-no: {c}" for c in cards[:30]] + [f"id:+1 555 124 {k:04d}" for k in range(6)] + [f"id:abc{k}" for k in range(50)]
+    label = "l" * 60 + ":"
+    texts += [f"{label} +1 555 125 {k:04d}" for k in range(30)]
+    new = ["tel:555-987-0001 ok", f"card-no: {cards[0] + 1}", f"{label} 555-987-0002 ok", "id:555-985-0001 ok"]
+    got = pii.personal_data(spark.createDataFrame(list(enumerate(new + texts)), "doc_id long, text string"))
+    spans = {r["doc_id"]: r["spans"] for r in got.collect()}
+    assert [spans[k] for k in range(4)] == ["phone:4:16", "card:9:25", "phone:62:74", ""]
+
+
 def test_redaction(docs):
     out = {r["doc_id"]: r for r in pii.redacted(docs).where("doc_id IN (4, 11)").collect()}
     assert out[11]["text"] == "mail [email] and [phone], [ip]; [card]." and out[11]["n_chars"] == len(out[11]["text"])
