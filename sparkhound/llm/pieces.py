@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .store import small_batches
+from .store import sliced
 
 MARK = "▁"
 #: Entries a worker remembers; older ones go when a table is full. Results never depend on it.
@@ -245,14 +245,12 @@ def encode_decode(docs: DataFrame, model_file: str, with_text: bool = True) -> D
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) for each row of ``docs``.
 
     Needs columns doc_id and text; others are left out, so their names cannot clash. Null and empty texts: no ids, empty
-    decoded text. Repeated rows give repeated results. An empty table gives an empty result. Texts cross to Python in
-    batches of at most 500 rows; there is no shuffle. ``with_text=False`` leaves out ids and decoded text.
+    decoded text. Repeated rows give repeated results. An empty table gives an empty result. Texts are taken 500 at a
+    time; there is no shuffle. ``with_text=False`` leaves out ids and decoded text.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches):
         c = codec(model_file)
-        for b in batches:
+        for b in sliced(batches):
             counts, ids_sha, texts_sha, ids, texts = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 units = c.encode_csv(text or "")

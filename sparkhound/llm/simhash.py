@@ -1,12 +1,13 @@
 """SimHash near-duplicates: byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight bytes at eight positions. Fingerprints that differ in at most ``bits`` bits differ in at most
-``bits`` bytes, so they share at least ``8 - bits`` positional bytes: the guaranteed minimum count. Tallying pairs over the
-postings of single bytes would be quadratic (each posting holds 1/256 of all rows), so the tally is done on the index side:
-a posting is kept for each choice of ``8 - bits`` positions and the bytes there, and two fingerprints meet in a posting
-exactly if their tally reaches the minimum. Inside a posting only the remaining ``8 * bits`` bits can differ, so with the
-default of two it holds at most 65,536 fingerprints, whatever the input; members are verified there bit by bit and joined
-into a forest of at most (members - 1) links, never all pairs.
+``bits`` bytes, so they share at least ``8 - bits`` positional bytes: the guaranteed minimum count. The index holds postings of
+positional byte pairs: of the four pairs of neighbouring bytes at least ``4 - bits`` are equal, so a posting stands for each
+choice of so many pairs and the bytes there. Postings of single bytes would hold 1/256 of all rows each; these hold what agrees
+in four bytes. Inside a posting the equal positional bytes of pairs are tallied, pairs that reach the guaranteed minimum are
+retained and verified bit by bit, and what is verified is joined into a forest of at most (members - 1) links, never all pairs.
+A posting of more than ``LARGE`` members is dealt anew by two more equal bytes; only two bytes are then free, so it holds at most
+65,536 fingerprints, whatever the input.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import keep, packed, small_batches, unpacked
+from .store import keep, packed, unpacked
 
 SEED = 42
 BITS = 2
 SHINGLE = 3
+#: Members of a posting above which it is dealt by more bytes.
+LARGE = 4096
 
 
 def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -43,7 +46,10 @@ def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Bit i is set if over half the shingles' hashes have it. No words: 0."""
-    h = hashes(text, shingle)
+    return from_hashes(hashes(text, shingle))
+
+
+def from_hashes(h: np.ndarray) -> int:
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -52,60 +58,85 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def _signed(x: int) -> int:
+def as_signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """All columns of ``docs`` and ``_fp`` (the fingerprint as a signed 64-bit number), without a shuffle."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series([_signed(fingerprint(t, shingle)) for t in texts], dtype="int64")
+        return pd.Series([as_signed(fingerprint(t, shingle)) for t in texts], dtype="int64")
 
     return docs.withColumn("_fp", udf("text"))
 
 
-def _forest(batches, bits: int, choices: list[tuple[int, ...]]):
-    """For each posting: members by their free bits; links of a forest over members within ``bits`` bits."""
-    for b in batches:
-        out_a, out_b = [], []
-        for members in b.column(0).to_pylist():
-            fps = np.array(sorted(members), np.int64)
-            n = len(fps)
-            left = np.arange(1, n)  # not yet reached; grow trees breadth first
-            front = np.array([0])
-            while True:
-                seen = fps[front].view(np.uint64)
-                rest = fps[left].view(np.uint64)
-                hit = np.full(len(left), -1)
-                for at in range(0, len(front), 64):
-                    near = np.bitwise_count(seen[at : at + 64, None] ^ rest[None, :]) <= bits
-                    got = near.any(axis=0) & (hit < 0)
-                    hit[got] = at + near[:, got].argmax(axis=0)
-                new = hit >= 0
-                out_a += fps[left[new]].tolist()
-                out_b += fps[front[hit[new]]].tolist()
-                front, left = left[new], left[~new]
-                if not len(left):
-                    break
-                if not len(front):
-                    front, left = left[:1], left[1:]
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal positional bytes of each fingerprint of ``a`` (rows) and ``b`` (columns)."""
+    x, y = a.view(np.uint8).reshape(-1, 8), b.view(np.uint8).reshape(-1, 8)
+    count = np.zeros((len(a), len(b)), np.uint8)
+    for position in range(8):
+        count += x[:, position, None] == y[None, :, position]
+    return count
+
+
+def forest(members: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of a forest over ``members`` (64-bit, distinct) that connects all pairs within ``bits`` bits."""
+    fps = np.sort(members).view(np.uint64)
+    out_a, out_b = [], []
+    left, front = np.arange(1, len(fps)), np.arange(min(1, len(fps)))  # not yet reached; trees grow breadth first
+    while len(left):
+        hit = np.full(len(left), -1)
+        for at in range(0, len(front), 64):
+            some = fps[front[at : at + 64]]
+            kept = tallied(some, fps[left]) >= 8 - bits
+            near = kept.any(axis=0) & (hit < 0)
+            verified = kept[:, near] & (np.bitwise_count(some[:, None] ^ fps[left[near]][None, :]) <= bits)
+            hit[np.flatnonzero(near)[verified.any(axis=0)]] = at + verified[:, verified.any(axis=0)].argmax(axis=0)
+        new = hit >= 0
+        out_a.append(fps[left[new]])
+        out_b.append(fps[front[hit[new]]])
+        front, left = left[new], left[~new]
+        if not len(front):
+            front, left = left[:1], left[1:]
+    joined = lambda x: np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64)
+    return joined(out_a), joined(out_b)
+
+
+def _forests(bits: int):
+    def run(batches):
+        for b in batches:
+            lists = b.column(0)
+            values, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy()).tolist()
+            found = [forest(values[at:end], bits) for at, end in zip([0, *ends], ends, strict=False)]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _mask(places) -> int:
+    return as_signed(sum(0xFF << 8 * p for p in places))
+
+
+def links(fps: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
     """(a, b): links that connect what lies within ``bits`` bits, from ``fps(_fp)``; distinct fingerprints only."""
     if not 1 <= bits <= 2:
         raise ValueError("a posting is bounded for 1 or 2 bits")
-    spark = fps.sparkSession
-    small_batches(spark)
-    choices = list(combinations(range(8), 8 - bits))
-    masks = [_signed(sum(0xFF << 8 * p for p in c)) for c in choices]
-    posted = F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), F.col("_fp").bitwiseAND(F.lit(m)).alias("bytes")) for k, m in enumerate(masks)]))
-    posts = fps.select("_fp").distinct().select("_fp", posted.alias("p")).groupBy("p.k", "p.bytes").agg(F.collect_list("_fp").alias("members")).where(F.size("members") > 1).select("members")
-    return posts.mapInArrow(lambda it: _forest(it, bits, choices), "a long, b long").distinct()
+    pairs = [[2 * p + k for p in c for k in (0, 1)] for c in combinations(range(4), 4 - bits)]
+    posted = F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), F.col("_fp").bitwiseAND(F.lit(_mask(c))).alias("bytes")) for k, c in enumerate(pairs)]))
+    posts = fps.select("_fp").distinct().select("_fp", posted.alias("p")).select("_fp", "p.k", "p.bytes")
+    sizes = keep(posts.groupBy("k", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > 1), "posting-sizes")
+    several = posts.join(sizes, ["k", "bytes"])
+    if bits == 2 and not sizes.where(F.col("n") > large).isEmpty():
+        # the pairs' tally takes two more equal bytes of the four that are left
+        finer = [F.array(*[F.struct(F.lit(k * 6 + j).cast("byte").alias("k"), F.col("_fp").bitwiseAND(F.lit(_mask([*c, *more]))).alias("bytes")) for j, more in enumerate(combinations([p for p in range(8) if p not in c], 2))]) for k, c in enumerate(pairs)]
+        by_k = F.get(F.array(*finer), F.col("k").cast("int"))
+        dealt = several.where(F.col("n") > large).select("_fp", F.explode(by_k).alias("p")).select("_fp", (F.col("p.k") + 16).cast("byte").alias("k"), "p.bytes")
+        several = several.where(F.col("n") <= large).select("_fp", "k", "bytes").unionByName(dealt)
+    members = several.groupBy("k", "bytes").agg(F.collect_list("_fp").alias("members")).where(F.size("members") > 1).select("members")
+    return members.mapInArrow(_forests(bits), "a long, b long").distinct()
 
 
 def classes(rows: DataFrame, bits: int = BITS) -> DataFrame:

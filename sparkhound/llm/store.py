@@ -6,10 +6,12 @@ lost executor costs a re-read and never a recomputation of the lineage before it
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -17,33 +19,74 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests on one machine)."""
+    """The cluster's shared folder. Only a session on one machine may go without naming it: it gets a folder of its own there."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkhound-"))
         found = sc._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here."""
+    """Write a table to the shared folder and read it back: lineage ends here. The application's tables go when it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kept/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    own = f"{shared_dir(spark)}/kept/{spark.sparkContext.applicationId}"
+    system, folder = _files(spark, own)
+    system.deleteOnExit(folder)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by keep() that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        conf = spark._jsc.hadoopConfiguration()
         for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/kept/" in root:
-                path = jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(conf).delete(path, True)
+                system, path = _files(df.sparkSession, root)
+                system.delete(path, True)
+
+
+#: Bits of a row bit map, a fixed size whatever the input.
+BITS = 1 << 23
+
+
+def _marked(rows: DataFrame, ids: DataFrame):
+    """A column that is true for every ``_row`` of ``ids`` and, the map being of fixed size, for some others."""
+    spark = rows.sparkSession
+    place = F.pmod(F.xxhash64("_row"), F.lit(BITS))
+    words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("bits"))
+    found = words.toPandas()
+    cells = np.zeros(BITS // 64, np.int64)
+    cells[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    held = spark.sparkContext.broadcast(cells.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def mark(place: pd.Series) -> pd.Series:
+        p = place.to_numpy(np.int64)
+        return pd.Series((held.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return mark(place)
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``_row`` is not in ``ids(_row)``. Only rows that a bit map leaves open are shuffled to the anti-join."""
+    marked = rows.withColumn("_marked", _marked(rows, ids))
+    clear = marked.where("NOT _marked").drop("_marked")
+    return clear.unionByName(marked.where("_marked").drop("_marked").join(ids, "_row", "left_anti"))
+
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``_row`` is in ``ids(_row)``, distinct; rows that a bit map rules out are not shuffled."""
+    return rows.withColumn("_marked", _marked(rows, ids)).where("_marked").drop("_marked").join(ids, "_row", "left_semi")
 
 
 REST = "__rest"
@@ -63,9 +106,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows that cross to Python at once; texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches, rows: int = 500):
+    """Batches of at most ``rows`` rows: what Python holds at once stays small. Spark itself bounds a batch's bytes."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _running(column: str):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .store import forget, keep, shuffle_parts, small_batches
+from .store import forget, keep, shuffle_parts, sliced
 
 MAGIC = b"TKF1"
 END = 1
@@ -133,11 +133,10 @@ def tokenized(docs: DataFrame, tokenizer_file: str, end: int = END) -> DataFrame
 
     Null texts count as empty.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches):
         t = word_tokens(tokenizer_file)
-        for b in batches:
+        for b in sliced(batches):
             last = np.array([end], t.type).tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + last for x in t.encode(b.column(1).to_pylist())], pa.binary())], ["doc_id", "ids"])
 
@@ -206,11 +205,10 @@ def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
     """(part, doc_id, n_tokens, ids_crc32, before): decoded from the images; ``before`` counts ids earlier in the partition."""
     element = files.schema["doc_ids"].dataType.elementType
     kind, out_ids = element.simpleString(), to_arrow_type(element)
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
 
     def run(batches):
         back = by_rank.astype("<u4")
-        for b in batches:
+        for b in sliced(batches, 1):
             for part, before, ids, image in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 lengths, ranks = read_image(image)
                 values = back[ranks].tobytes()
