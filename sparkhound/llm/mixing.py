@@ -4,7 +4,8 @@ Each source is one stream of words, its documents in doc_id order; the stream is
 last one may be short). The mix is a sequence of slots. Its output shards draw their source counts one after the other from
 a multinomial over the slots that each source still has to give, so that the draws add up to the targets. The i-th slot of a
 source takes block perm(i mod blocks) of pass i div blocks, where perm is a pseudorandom permutation of the block numbers
-(a Feistel network that walks until it is inside), and slots are joined to blocks by source and block number.
+(a Feistel network that walks until it is inside), and slots are joined to blocks by source and block number. Where a document
+goes, and how often its words are taken, is read off that join: its places are pairs of output shard and slot.
 
 The driver holds one row for each source and the drawn counts (output shards x sources), nothing that grows with documents.
 """
@@ -16,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, packed, positions, unpacked
+from .store import keep, packed, positions, shuffle_parts, unpacked
 
 BLOCK = 64
 OUTPUT_SHARDS = 64
 MOST = 3
 SEED = 20240611
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word and the white space before it.
+SPACED = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: list[int], most: float = MOST, weights: list[float] | None = None) -> list[float]:
@@ -134,46 +137,43 @@ class Mix:
         low, high = F.greatest("begin", F.col("block") * n), F.least("end", (F.col("block") + 1) * n)
         return cut.select("row", "_s", "block", (high - low).alias("words"), (low - F.col("begin")).alias("from"))
 
-    def taken_blocks(self) -> DataFrame:
-        """(_s, block, times): slots that take a block; at most ``most``."""
-        return self.slot_table().groupBy("_s", "block").agg(F.count("*").alias("times"))
-
     def placed(self) -> DataFrame:
         """(shard, slot, row, from, words): the mix itself, slots joined to blocks by index."""
         return self.slot_table().join(self.segments(), ["_s", "block"]).select("shard", "slot", "row", "from", "words")
 
     def taken(self) -> DataFrame:
-        """(doc_id, size, source_size, target, taken) for each row."""
-        words = self.segments().join(self.taken_blocks(), ["_s", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        return self.docs.join(words, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+        """(doc_id, size, source_size, target, taken, n_places, first_shard, first_slot, places_xxh64) for each row.
+
+        A place is a slot that takes words of the document; ``places_xxh64`` is the exclusive or of the hashes of all its
+        places (shard, slot, first word, words). A row that the mix leaves out has no first place and a hash of 0.
+        """
+        found = self.placed().groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("n_places"), F.min(F.struct("shard", "slot")).alias("first"), F.expr("bit_xor(xxhash64(shard, slot, `from`, words))").alias("places_xxh64"))
+        zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("taken", "n_places")]
+        return self.docs.join(found, "row", "left").select(
+            "doc_id", "size", "source_size", "target", *zero, F.col("first.shard").alias("first_shard"), F.col("first.slot").alias("first_slot"), F.coalesce("places_xxh64", F.lit(0).cast("long")).alias("places_xxh64")
+        )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each pass of each document, holding the words that the pass takes.
+    """The mix itself, block after block in the order of output shards and slots: a row for each document's part of a block.
 
-    Pass p of a document holds, in order and joined by single spaces, its words in blocks that are taken more than p times;
-    a document whose blocks are taken once in full keeps its text as it is. Columns as in ``docs``; ``n_chars`` follows the
-    text where there is such a column. Documents without words give no rows.
+    A part keeps the white space between its words; a part that is all of a document's words is the text as it is. Columns as
+    in ``docs``; ``n_chars`` follows the text where there is such a column. Documents without words give no rows.
     """
     used = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
     base = keep(packed(docs, used).withColumn("_id", F.monotonically_increasing_id()), "mix-docs")
     mix = Mix(base.select("_id", "doc_id", "text", "source"), carry=("_id",), **options)
-    cut = (
-        mix.segments()
-        .join(mix.taken_blocks(), ["_s", "block"])
-        .join(mix.docs.select("row", "_id", "size"), "row")
-        .groupBy("_id", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("from", "words", "times"))).alias("cuts"))
-    )
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    chosen = cut.select("_id", "size", "cuts", F.explode(F.sequence(F.lit(0), F.array_max("cuts.times") - 1)).alias("_pass")).withColumn(
-        "cuts", F.filter("cuts", lambda c: c["times"] > F.col("_pass"))
-    )
-    whole = F.aggregate("cuts.words", F.lit(0).cast("long"), lambda a, x: a + x) == F.col("size")
-    pieces = F.flatten(F.transform("cuts", lambda c: F.slice(F.col("_words"), c["from"].cast("int") + 1, c["words"].cast("int"))))
+    # a document has at most ``most`` places for each of its blocks
+    cuts = mix.placed().join(mix.docs.select("row", "_id", "size"), "row").groupBy("_id", "row", "size").agg(F.collect_list(F.struct("shard", "slot", "from", "words")).alias("cuts"))
+    words = F.regexp_extract_all("text", F.lit(SPACED), F.lit(0))
+    cut = lambda c: F.regexp_replace(F.array_join(F.slice(F.col("_words"), c["from"].cast("int") + 1, c["words"].cast("int")), ""), r"^[\x20\x09-\x0D]+", "")
+    part = lambda c: F.struct(c["shard"].alias("shard"), c["slot"].alias("slot"), F.when(c["words"] < F.col("size"), cut(c)).alias("text"))
     # _words is named twice, or the optimiser would split the text anew for each cut
-    cut_text = F.when(F.size("_words") > 0, F.array_join(pieces, " "))
-    out = base.join(chosen, "_id").withColumn("_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut_text))
+    parts = F.when(F.size("_words") >= 0, F.transform("cuts", part))
+    out = base.join(cuts, "_id").withColumn("_words", F.when(F.exists("cuts", lambda c: c["words"] < F.col("size")), words).otherwise(F.array().cast("array<string>")))
+    out = out.select(*[c for c in base.columns if c != "text"], "row", F.col("text").alias("_whole"), F.explode(parts).alias("_part"))
+    out = out.withColumn("text", F.coalesce("_part.text", "_whole")).withColumns({"_shard": F.col("_part.shard"), "_slot": F.col("_part.slot")}).drop("_part", "_whole")
     if "n_chars" in used:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return unpacked(out, docs.columns, used)
+    laid = out.repartitionByRange(shuffle_parts(docs.sparkSession), "_shard", "_slot").sortWithinPartitions("_shard", "_slot", "row")
+    return unpacked(laid, docs.columns, used)

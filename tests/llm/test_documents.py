@@ -135,6 +135,48 @@ def test_mixing(docs, none):
     assert placed.agg(F.sum("w")).first()[0] == sum(r["taken"] for r in got)
 
 
+def _mixed_by_hand(m, rows, block):
+    """The mix word by word: (shard, slot, row number, word), from the drawn counts, one slot after the other."""
+    streams = {}
+    for k, (i, t, s) in enumerate(sorted(rows, key=lambda r: (r[2] is None, r[2] or "", r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))):
+        streams.setdefault(s, []).extend((k, n, w) for n, w in enumerate(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    sources = sorted(streams, key=lambda s: (s is None, s or ""))
+    given, out = [0] * len(sources), []
+    for shard, counts in enumerate(m.counts.tolist()):
+        place = 0
+        for s, n in enumerate(counts):
+            words = streams[sources[s]]
+            blocks = -(-len(words) // block)
+            for _ in range(n):
+                pass_, i = divmod(given[s], blocks)
+                key = (s * 1_000_003 + pass_) * 7919 + m.seed
+                b = int(mixing.permuted(np.array([i]), np.array([blocks]), np.array([key]))[0])
+                slot = int(mixing.permuted(np.array([place]), np.array([sum(counts)]), np.array([shard * 104_729 + m.seed]))[0])
+                out += [(shard, slot, *w) for w in words[b * block : (b + 1) * block]]
+                given[s], place = given[s] + 1, place + 1
+    return out
+
+
+def test_mixing_equals_the_mix_by_hand(docs):
+    m = mixing.Mix(docs, block=4, shards=5)
+    want = _mixed_by_hand(m, ROWS, 4)
+    got = [r.asDict() for r in m.taken().collect()]
+    order = sorted(ROWS, key=lambda r: (r[2] is None, r[2] or "", r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    taken, places = Counter(x[2] for x in want), {}
+    for shard, slot, k, _, _ in want:
+        places.setdefault(k, set()).add((shard, slot))
+    mine = Counter((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), taken[k], len(places.get(k, ())), *min(places.get(k, ()), default=(None, None))) for k, (i, t, _) in enumerate(order))
+    assert Counter((r["doc_id"], r["size"], r["taken"], r["n_places"], r["first_shard"], r["first_slot"]) for r in got) == mine
+    parts = [w for r in mixing.mixed_documents(docs, block=4, shards=5).collect() for w in re.findall(r"[^\x20\x09-\x0D]+", r["text"])]
+    assert parts == [w for _, _, _, _, w in sorted(want, key=lambda x: x[:4])]  # in the order of shards and slots
+
+
+def test_another_draw_is_another_mix(docs):
+    a, b = (mixing.Mix(docs, block=4, seed=k).taken().select("doc_id", "places_xxh64") for k in (1, 2))
+    assert _rows(a) != _rows(b)
+    assert (mixing.drawn([50, 0, 90], 8, 1).sum(0) == [50, 0, 90]).all() and (mixing.drawn([50, 0, 90], 8, 1) != mixing.drawn([50, 0, 90], 8, 2)).any()
+
+
 def test_targets_are_reshared():
     assert mixing.targets([100, 0, 10]) == [80.0, 0.0, 30.0]
     assert sum(mixing.targets([5, 7, 11, 13])) == pytest.approx(36)
