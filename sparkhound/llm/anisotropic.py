@@ -5,16 +5,16 @@ exact and x is quantised for maximum inner product. The space is cut into subspa
 each. Codewords are fitted on a sample of at most ``TRAIN`` vectors to the anisotropic loss
     eta * |parallel part of the residual|^2 + |orthogonal part|^2,
 whose parallel part (along x) matters most where the score is high; codes are chosen by coordinate descent on that loss over
-all subspaces, and codewords by solving its normal equations. Two codes share a byte; a query's table of 256 sums for each
-byte scores all rows of a block by lookups, and the best ``RERANK`` rows of each block are measured exactly. So is every
-further row that could still be among the nearest: by its codes' distance to the query less its own quantisation error it
-may lie no farther than the last of the nearest so far. Tight groups of any size are thus searched whole.
+all subspaces, and codewords by solving its normal equations. Codes are written once, with the pages of `vectors`; two of them
+share a byte. A query's table of 256 sums for each byte scores all rows of a page by lookups, and the best ``RERANK`` rows of
+the page are measured exactly. So is every further row that could still be among the nearest: by its codes' distance to the
+query less its own quantisation error it may lie no farther than the last of the nearest so far, on this page or those that the
+query has met before. Tight groups of any size are thus searched whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,83 +92,84 @@ class Quantiser:
             total = rest + along[:, m]
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """(queries, bytes, 256): sums of two codewords' inner products with each query."""
+        """(queries, bytes, 256): sums of two codewords' inner products with each query; in single precision where it can hold them."""
         parts = self.padded(q).reshape(len(q), -1, SUB)
         one = np.einsum("qms,mks->qmk", parts, self.books)
-        return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), -1, WORDS * WORDS).astype(np.float32)
+        return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), -1, WORDS * WORDS).astype(np.float32 if np.abs(one).max(initial=0) < 1e30 else np.float64)
 
 
-def search_block(quantiser: Quantiser, ids, x, q_ids, q, top: int, rerank: int):
-    """Rows (query, copy, vec_id, distance) of one block; ties of a score go to the smaller id."""
+def encoded(x: np.ndarray, quantiser: Quantiser) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, two a byte, by byte and row; squared norms; squared norms of the codes; quantisation errors)."""
     codes = quantiser.encode(x)
-    packed = np.ascontiguousarray((codes[:, 0::2].astype(np.int64) << 4 | codes[:, 1::2]).T)
-    exact = x.astype(np.float64)
-    bias = (-0.5 * (exact * exact).sum(1)).astype(np.float32)
     coded = quantiser.books[np.arange(codes.shape[1])[None], codes].reshape(len(x), -1)
     error = np.sqrt(((quantiser.padded(x) - coded) ** 2).sum(1))
-    coded = (coded * coded).sum(1)
-    tables = quantiser.tables(q)
+    return np.ascontiguousarray((codes[:, 0::2] << 4 | codes[:, 1::2]).T), (x * x).sum(1), (coded * coded).sum(1), error
+
+
+def search_page(rows, ids, x, codes, metric, q_rows, q, bounds, quantiser: Quantiser, top: int, rerank: int):
+    """(query, vec_id, distance, None) on one page; ties of a distance go to the smaller id."""
+    packed, square, coded, error = codes
+    exact, asked = x.astype(np.float64), q.astype(np.float64)
+    tables = quantiser.tables(asked)
     out = []
-    for k, (qid, nth) in enumerate(zip(q_ids.tolist(), vectors.copies(q_ids).tolist(), strict=True)):
-        product = np.zeros(len(ids), np.float32)
+    for k, (row, bound) in enumerate(zip(q_rows.tolist(), bounds.tolist(), strict=True)):
+        query = asked[k]
+        product = np.zeros(len(ids), tables.dtype)
         for m in range(len(packed)):
             product += tables[k, m][packed[m]]
-        score = product + bias
-        own = np.flatnonzero(ids == qid)  # its own row takes no part; further rows with this id do
-        if len(own):
-            score[own[min(nth, len(own) - 1)]] = -np.inf
-        want = min(rerank, len(ids) - (len(own) > 0))
-        if want <= 0:
+        open_ = rows != row  # its own row takes no part; further rows with its id do
+        score = np.where(open_, product - 0.5 * square, -np.inf)
+        want = min(rerank, int(open_.sum()))
+        if not want:
             continue
-        least = -np.partition(-score, want - 1)[want - 1]
-        near = np.flatnonzero(score > least)
-        near = np.concatenate([near, np.flatnonzero(score == least)[: want - len(near)]])  # ids ascend
-        query = q[k].astype(np.float64)
-        far = np.sqrt(((exact[near] - query) ** 2).sum(1))
-        if len(near) >= top:
-            size = query @ query + coded
-            slack = 4e-7 * (len(packed) + 2) * size  # single-precision sums
-            more = size - 2.0 * product - slack <= (np.partition(far, top - 1)[top - 1] + error) ** 2
+        size = query @ query + coded
+        slack = 4e-7 * (len(packed) + 2) * size  # single-precision sums
+        least = size - 2.0 * product - slack  # squared distance to the codes, at least
+        if bound < np.inf:  # met before: what the codes leave open within the bound, best first
+            near = np.flatnonzero(open_ & (least <= (bound + error) ** 2))
+            near = near[np.argsort(-score[near], kind="stable")]
+        else:
+            near = np.argpartition(-score, want - 1)[:want]
+        head, rest = near[:want], near[want:]
+        dist = np.sqrt(((exact[head] - query) ** 2).sum(1))
+        limit = min(bound, np.partition(dist, top - 1)[top - 1]) if len(dist) >= top else bound
+        if bound == np.inf:
+            more = open_ & (least <= (limit + error) ** 2) if limit < np.inf else open_.copy()
+            more[head] = False
+            rest = np.flatnonzero(more)
         else:
-            more = np.ones(len(ids), bool)
-        more[near] = False
-        more &= score > -np.inf
-        more = np.flatnonzero(more)
-        near = np.concatenate([near, more])
-        far = np.concatenate([far, np.sqrt(((exact[more] - query) ** 2).sum(1))])
-        for j in np.lexsort((ids[near], far))[:top]:
-            out.append((qid, nth, int(ids[near[j]]), float(far[j])))
+            rest = rest[least[rest] <= (limit + error[rest]) ** 2]
+        near = np.concatenate([head, rest])
+        dist = np.concatenate([dist, np.sqrt(((exact[rest] - query) ** 2).sum(1))])
+        for j in np.lexsort((ids[near], dist))[:top]:
+            out.append((k, int(ids[near[j]]), float(dist[j]), None))
     return out
 
 
-def nearest(table: DataFrame, every: int = 100, top: int = TOP, rerank: int = RERANK, train: int = TRAIN) -> DataFrame:
+def nearest(table: DataFrame, every: int = 100, top: int = TOP, rerank: int = RERANK, train: int = TRAIN, page_rows: int = vectors.ROWS, cells: int = vectors.CELLS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, the ``top`` nearest rows found.
 
     Euclidean distance in double precision on the original vectors; a query's own row is left out. Null ids, null or empty
     vectors, zero vectors and vectors with null or non-finite components take no part; vectors of unlike length never meet.
-    Codebooks are fitted on at most ``train`` vectors (the smallest id hashes); every row is indexed. An empty table, or one
-    without queries, gives an empty result. Equal scores keep the smaller ids, so copies of a vector are not lost to ties.
+    Codebooks are fitted on at most ``train`` vectors (the smallest id hashes), for lengths not among them on at most as many of
+    a page; every row is indexed. An empty table, or one without queries, gives an empty result. Equal distances keep the
+    smaller ids, so copies of a vector are not lost to ties.
     """
-    spark = table.sparkSession
     rows = vectors.usable(table)
     sample = rows.select("embedding").orderBy(F.xxhash64("vec_id")).limit(train).collect()
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(len(r[0]), []).append(r[0])
     books = {d: Quantiser.fit(np.array(v, np.float64)) for d, v in by_dim.items()}
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-
-    def run(batches):
-        for b in batches:
-            for ids, x, q_ids, q, dim in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                ids, x = vectors.read(ids, x, dim)
-                q_ids, q = vectors.read(q_ids, q, dim)
-                quantiser = books.get(dim) or Quantiser.fit(x[:train])
-                found = search_block(quantiser, ids, x, q_ids, q, top, rerank)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["query_id", "_copy", "vec_id", "score"]
-                )
-
-    pairs = vectors.pairs_of_blocks(rows, every, "ann")
-    found = pairs.repartition("ids", "q_ids").mapInArrow(run, "query_id long, _copy long, vec_id long, score double")
-    return vectors.best(found, top, ascending=True)
+
+    def build(x, metric):
+        quantiser = books.get(x.shape[1]) or Quantiser.fit(x[:train])
+        return None if x.shape[1] in books else quantiser, encoded(x, quantiser)
+
+    def search(ids_, ids, x, extra, metric, q_rows, q, bounds):
+        return search_page(ids_, ids, x, extra[1], metric, q_rows, q, bounds, extra[0] or books[x.shape[1]], top, rerank)
+
+    same = lambda x: x
+    index = vectors.Index(rows, lambda dim: vectors.Space(same, same), build, "ann", page_rows, cells)
+    found = index.nearest(every, top, search, [F.col("distance")])
+    return found.select("query_id", "rank", "vec_id", F.col("distance").alias("score"))

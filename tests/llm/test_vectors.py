@@ -40,18 +40,72 @@ def test_nearest(table):
     assert [v for v, _ in got[0]] == list(range(300, 310))
 
 
+def _page(x, rerank, q, bounds):
+    quantiser = anisotropic.Quantiser.fit(x)
+    codes = anisotropic.encoded(x.astype(np.float64), quantiser)
+    return anisotropic.search_page(np.arange(len(x)), np.arange(len(x)), x, codes, None, q, x[q], bounds, quantiser, 10, rerank)
+
+
 def test_tight_groups_are_searched_whole():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 32))
     x[:1000] = x[0] + 0.02 * rng.normal(size=(1000, 32))  # a third of the rows, near copies
     x = x[rng.permutation(3000)].astype(np.float32)
     ids, q = np.arange(3000), np.arange(0, 3000, 50)
-    found = anisotropic.search_block(anisotropic.Quantiser.fit(x), ids, x, q, x[q], 10, anisotropic.RERANK)
     y, got = x.astype(np.float64), {}
-    for query, _, v, _ in found:
-        got.setdefault(query, []).append(v)
-    for k in q.tolist():
-        assert got[k] == [v for v, _ in _exact(y, ids, k, lambda a, b: np.sqrt(((a - b) ** 2).sum(1)), 10)]
+    for query, v, _, _ in _page(x, anisotropic.RERANK, q, np.full(len(q), np.inf)):
+        got.setdefault(int(q[query]), []).append(v)
+    want = {k: _exact(y, ids, k, lambda a, b: np.sqrt(((a - b) ** 2).sum(1)), 10) for k in q.tolist()}
+    assert got == {k: [v for v, _ in w] for k, w in want.items()}
+    # a bound brought along keeps all within it
+    bounds = np.array([want[k][4][1] for k in q.tolist()])
+    got = {}
+    for query, v, _, _ in _page(x, anisotropic.RERANK, q, bounds):
+        got.setdefault(int(q[query]), []).append(v)
+    assert all(got[k][:5] == [v for v, _ in want[k][:5]] for k in q.tolist())
+
+
+@pytest.mark.parametrize("page_rows,cells", [(8192, 1024), (300, 16)])
+def test_recall_at_ten_thousand_rows(spark, page_rows, cells):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(10_000, 24)).astype(np.float32)
+    x[:3300] = x[0] + 0.05 * rng.normal(size=(3300, 24)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got, y, ids, hit, n = {}, x.astype(np.float64), np.arange(10_000), 0, 0
+    for r in anisotropic.nearest(df, rerank=20, page_rows=page_rows, cells=cells).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(got) == list(range(0, 10_000, 100))
+    for q, found in got.items():
+        want = {v for v, _ in _exact(y, ids, q, lambda a, b: np.sqrt(((a - b) ** 2).sum(1)), 10)}
+        hit, n = hit + len(want & set(found)), n + 10
+    assert hit / n >= 0.99
+
+
+def test_double_vectors_are_not_rounded(spark):
+    df = spark.createDataFrame([(0, [0.1, 0.2]), (100, [0.3, 0.7]), (3, [1e30, -1e30])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in anisotropic.nearest(df).collect()}
+    assert got[0, 1] == (100, float(np.sqrt(((np.array([0.1, 0.2]) - np.array([0.3, 0.7])) ** 2).sum())))
+    assert got[0, 2][0] == 3
+    few = df.where("vec_id < 200 AND vec_id <> 3").unionByName(spark.createDataFrame([(50, [0.99609375, 1.0])], df.schema))
+    scores = {(r["query_id"], r["vec_id"]): r["score"] for r in mtree.top_products(few).collect()}
+    a = {k: np.floor(256 * np.array(v)).astype(int) for k, v in ((0, [0.1, 0.2]), (100, [0.3, 0.7]), (50, [0.99609375, 1.0]))}
+    assert scores == {(p, q): int(a[p] @ a[q]) for p in a for q in a if p != q}
+
+
+def test_scores_that_do_not_fit_raise(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="OVERFLOW"):
+        mtree.top_products(df).collect()
+
+
+def test_unlike_lengths_never_meet(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=8 if k % 3 else 5).tolist()) for k in range(200)] + [(1000, [1.0]), (1001, [0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    size = {k: len(v) for k, v in rows}
+    for found in (anisotropic.nearest(df, page_rows=30, cells=3), mtree.top_products(df, page_rows=30, cells=3)):
+        pairs = [(r["query_id"], r["vec_id"]) for r in found.collect()]
+        assert pairs and all(size[a] == size[b] for a, b in pairs) and (1000, 1001) in pairs
 
 
 def test_anisotropic_loss_falls_below_plain_codes():
@@ -91,15 +145,16 @@ def test_tree_skips_distances():
     points = np.concatenate([rng.normal(size=(1000, 4)) * 0.01 + c for c in rng.normal(size=(20, 4)) * 10])
     tree = mtree.MTree(points)
     score = lambda rows: -((points[rows] - points[5]) ** 2).sum(1)
-    found, computed = tree.search(points[5], score, 3)
+    found, computed = tree.search(points, points[5], score, 3)
     assert found[0][1] == 5 and computed < len(points) / 4
 
 
 def test_small_and_empty(table, monkeypatch):
     df, _ = table
-    monkeypatch.setattr(vectors, "ROWS", 100)
     monkeypatch.setattr(vectors, "QUERIES", 2)
-    assert mtree.top_products(df).count() == 13 * 5
+    monkeypatch.setattr(vectors, "PACKETS", 2)
+    many = sorted(tuple(r) for r in mtree.top_products(df, page_rows=100, cells=3).collect())
+    assert len(many) == 13 * 5 and many == sorted(tuple(r) for r in mtree.top_products(df).collect())
     few = df.where("vec_id IN (0, 7)")
     assert [tuple(r)[:3] for r in anisotropic.nearest(few).collect()] == [(0, 1, 7)]
     assert anisotropic.nearest(df.limit(0)).count() == 0 and mtree.top_products(df.limit(0)).count() == 0
