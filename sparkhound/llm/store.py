@@ -35,13 +35,18 @@ def _files(spark: SparkSession, path: str):
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here. The application's tables go when it ends."""
-    spark = df.sparkSession
+def own_dir(spark: SparkSession) -> str:
+    """The application's part of the shared folder; it goes when the application ends."""
     own = f"{shared_dir(spark)}/kept/{spark.sparkContext.applicationId}"
     system, folder = _files(spark, own)
     system.deleteOnExit(folder)
-    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    return own
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends here."""
+    spark = df.sparkSession
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,18 +12,21 @@ Ranks are by falling corpus frequency, so the 256 most frequent ids take one byt
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
+import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .store import forget, keep, shuffle_parts, sliced
+from .store import forget, keep, own_dir, shuffle_parts, sliced
 
 MAGIC = b"TKF1"
 END = 1
@@ -70,11 +73,32 @@ def _letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
+#: What a tokenizer file must say for its words to be encoded one by one.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def wordwise(file: dict) -> bool:
+    """Whether white space parts a text into words that the tokenizer encodes alike alone, and a piece's ending ends a word."""
+    model = file.get("model") or {}
+    plain = all(not t["normalized"] and not any(c.isspace() for c in t["content"]) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in file.get("added_tokens") or [])
+    return plain and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and all(file.get(k) == v for k, v in WORDWISE.items())
+
+
 class WordTokens:
     """Ids of whole texts as the tokenizers library gives them, remembered by word.
 
     The file's normalizer and its pattern never join or look across ASCII white space, and pieces stay inside a match of the
     pattern; so a text's ids are those of its white-space-separated chunks in order. The library itself encodes each chunk.
+    With a file that says anything else the library encodes whole texts.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -82,6 +106,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        with open(tokenizer_file, encoding="utf-8") as f:
+            self.by_word = wordwise(json.load(f))
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         vocab = self.tokenizer.get_vocab()
         self.ending = np.zeros(max(vocab.values()) + 1, bool)
@@ -105,6 +131,8 @@ class WordTokens:
             self.known[w] = np.array(e.ids, self.type).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
@@ -164,11 +192,12 @@ def id_counts(tokens: DataFrame, width: int) -> np.ndarray:
     return counts
 
 
-def write_files(tokens: DataFrame, by_rank: np.ndarray, width: int, name: str = "token-files") -> DataFrame:
-    """Files in ascending doc_id order, as rows (part, file, before, doc_ids, image) of a table in the shared folder.
+def write_files(tokens: DataFrame, by_rank: np.ndarray, width: int, path: str) -> None:
+    """Files in ascending doc_id order, as rows (part, file, before, doc_ids, image) of the table ``path``/files; ranks beside it.
 
     Range partitions follow each other in doc_id order (null first; equal doc_ids by their ids); Spark's commit protocol
-    makes each partition's files appear once, whichever attempts were lost.
+    makes each partition's files appear once, whichever attempts were lost. ``path``/ranks has the id of each rank, so the
+    files can be read by any later session.
     """
     spark = tokens.sparkSession
     rank = np.zeros(int(by_rank.max(initial=-1)) + 1, np.uint32)
@@ -198,7 +227,32 @@ def write_files(tokens: DataFrame, by_rank: np.ndarray, width: int, name: str =
             yield image()
 
     laid = tokens.repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
-    return keep(laid.mapInArrow(run, f"part int, file int, before long, doc_ids array<{kind}>, image binary"), name)
+    laid.mapInArrow(run, f"part int, file int, before long, doc_ids array<{kind}>, image binary").write.parquet(f"{path}/files")
+    ranks = spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(by_rank)), "id": by_rank.astype(np.int64)}), "rank long, id long")
+    ranks.coalesce(1).write.parquet(f"{path}/ranks")
+
+
+def opened(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """(files, ids by rank) of a folder that write_files() made; the vocabulary bounds the ranks."""
+    ranks = spark.read.parquet(f"{path}/ranks").toPandas().sort_values("rank")
+    return spark.read.parquet(f"{path}/files"), ranks["id"].to_numpy(np.int64)
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, ids): all ids of each document of a folder, the end id last."""
+    files, by_rank = opened(spark, path)
+    element = files.schema["doc_ids"].dataType.elementType
+    out_ids = to_arrow_type(element)
+
+    def run(batches):
+        for b in sliced(batches, 1):
+            ids, image = b.column(0)[0].as_py(), b.column(1)[0].as_py()
+            lengths, ranks = read_image(image)
+            values = by_rank[ranks].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, out_ids), lists], ["doc_id", "ids"])
+
+    return files.select("doc_ids", "image").mapInArrow(run, f"doc_id {element.simpleString()}, ids array<int>")
 
 
 def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
@@ -222,24 +276,33 @@ def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
     return files.select("part", "before", "doc_ids", "image").mapInArrow(run, f"part int, doc_id {kind}, n_tokens long, ids_crc32 long, before long")
 
 
-def token_file_index(docs: DataFrame, tokenizer_file: str, end: int = END, keep_files: bool = False) -> DataFrame:
-    """Write all documents' ids to token files, read them back: (doc_id, start, n_tokens, ids_crc32).
-
-    Repeated doc_ids each get their own entry. An empty table gives an empty result. Only one total per range partition
-    (their number is spark.sql.shuffle.partitions) and the vocabulary's counts reach the driver.
-    """
-    spark = docs.sparkSession
+def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end: int = END) -> None:
+    """Write all documents' ids to token files in the folder ``path``, which must not exist."""
     width = int(word_tokens(tokenizer_file).type[2:])
     tokens = keep(tokenized(docs, tokenizer_file, end), "tokens")
-    by_rank = np.argsort(-id_counts(tokens, width), kind="stable")
-    files = write_files(tokens, by_rank, width)
+    write_files(tokens, np.argsort(-id_counts(tokens, width), kind="stable"), width, path)
     forget(tokens)
-    back = keep(read_files(files, by_rank), "token-index")
-    if not keep_files:
-        forget(files)
+
+
+def index_of(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the token files in a folder, as read back from them."""
+    back = keep(read_files(*opened(spark, path)), "token-index")
     at, starts = 0, []
     for part, n in sorted(tuple(r) for r in back.groupBy("part").agg(F.sum("n_tokens")).collect()):
         starts.append((part, at))
         at += n
     offsets = F.broadcast(spark.createDataFrame(starts, "part int, _at long"))  # a row for each range partition
     return back.join(offsets, "part").select("doc_id", (F.col("_at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def token_file_index(docs: DataFrame, tokenizer_file: str, end: int = END, path: str | None = None) -> DataFrame:
+    """Write all documents' ids to token files, read them back: (doc_id, start, n_tokens, ids_crc32).
+
+    The files stay in the folder ``path``; without one they are in the shared folder until the application ends. Repeated
+    doc_ids each get their own entry. An empty table gives an empty result. Only one total per range partition (their number
+    is spark.sql.shuffle.partitions) and the vocabulary's counts reach the driver.
+    """
+    spark = docs.sparkSession
+    path = path or f"{own_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(docs, tokenizer_file, path, end)
+    return index_of(spark, path)
