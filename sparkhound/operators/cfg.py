@@ -1,13 +1,17 @@
 """Control-flow analysis per function: blocks, dominators, forward may-taint (G-26..G-29).
 
-A function is independent of all others, so this is one grouped map: groupBy(file, fn).applyInPandas. Groups are single
-functions, bounded by their source. Statements after a branch go to the merge block.
+A function is independent of all others: rows are dealt by function and sorted, and each task walks through its functions one
+after the other. Only functions that call something a rule could mean are looked at. Statements after a branch go to the merge
+block. A function beyond the documented limit of blocks is reported as skipped.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BLOCKS = 500
@@ -71,18 +75,21 @@ def predecessors(succ: list[set[int]]) -> list[set[int]]:
 
 
 def dominators(succ: list[set[int]]) -> list[set[int]]:
-    """Blocks that every path from the entry to a block passes, itself included."""
+    """Blocks that every path from the entry to a block passes, itself included; sets are bit fields while they are found."""
     pred, n = predecessors(succ), len(succ)
-    dom = [set(range(n)) for _ in range(n)]
-    dom[0] = {0}
+    every = (1 << n) - 1
+    dom = [1, *[every] * (n - 1)]
     changed = True
     while changed:
         changed = False
         for b in range(1, n):
-            new = set.intersection(*(dom[p] for p in pred[b])) | {b} if pred[b] else {b}
+            new = every if pred[b] else 0
+            for p in pred[b]:
+                new &= dom[p]
+            new |= 1 << b
             if new != dom[b]:
                 dom[b], changed = new, True
-    return dom
+    return [{k for k in range(n) if d >> k & 1} for d in dom]
 
 
 def _root(name: str) -> str:
@@ -115,15 +122,16 @@ def transfer(block: Block, state: set[str], sources: tuple[str, ...], sanitizers
     return state
 
 
-def analyse_function(rows: list[dict], params: list[str], rules: list[dict], sources: tuple[str, ...], sanitizers: tuple[str, ...]) -> list[tuple[str, int, str, str]]:
+def analyse_function(rows: list[dict], params: list[str], rules: list[dict], sources: tuple[str, ...], sanitizers: tuple[str, ...], limit: int = MAX_BLOCKS) -> list[tuple[str, int, str, str]]:
     """(rule, line, callee, status) for each sink reached by taint, or ("", 0, "", "skipped") for a function beyond the limit."""
     try:
-        blocks, succ = build_blocks(rows)
+        blocks, succ = build_blocks(rows, limit)
     except OverflowError:
         return [("", 0, "", "skipped")]
     seeds = {p for p in params if any(p.startswith(s) for s in sources)}
-    state, dom = tainted_in(blocks, succ, seeds, sources, sanitizers), dominators(succ)
+    state = tainted_in(blocks, succ, seeds, sources, sanitizers)
     guarded = [{a for r in b if r["kind"] == "call" and any(s in (r.get("callee") or "") for s in sanitizers) for a in r["args"]} for b in blocks]
+    dom = dominators(succ) if any(guarded) else [set() for _ in blocks]  # needed only where something is checked
     found = []
     for k, block in enumerate(blocks):
         now, passed = set(state[k]), set().union(*(guarded[d] for d in dom[k] if d != k))
@@ -141,15 +149,42 @@ def analyse_function(rows: list[dict], params: list[str], rules: list[dict], sou
     return found
 
 
-def cfg_findings(il: DataFrame, rules: list[dict], sources: tuple[str, ...], sanitizers: tuple[str, ...], params: DataFrame | None = None) -> DataFrame:
-    """(file, fn, rule, line, callee, status) from il(file, fn, ord, kind, lhs, callee, args, line) and params(file, fn, params)."""
-    rows = il.join(params, ["file", "fn"], "left") if params is not None else il.withColumn("params", F.array().cast("array<string>"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        recs = [{"kind": r.kind, "lhs": r.lhs, "callee": r.callee, "args": list(r.args) if r.args is not None else [], "line": r.line} for r in pdf.itertuples()]
-        p = pdf.params.iloc[0]
-        found = dict.fromkeys(analyse_function(recs, list(p) if p is not None else [], rules, sources, sanitizers))
-        return pd.DataFrame([(pdf.file.iloc[0], pdf.fn.iloc[0], *f) for f in found], columns=["file", "fn", "rule", "line", "callee", "status"])
-
-    return rows.select("file", "fn", "ord", "kind", "lhs", "callee", "args", "line", "params").groupBy("file", "fn").applyInPandas(run, "file string, fn string, rule string, line int, callee string, status string")
+def _means(rule: dict) -> Column:
+    return F.col("callee") == rule["pattern"] if rule["match"] == "exact" else F.contains("callee", F.lit(rule["pattern"]))
+
+
+def cfg_findings(il: DataFrame, rules: list[dict], sources: tuple[str, ...], sanitizers: tuple[str, ...], params: DataFrame | None = None, limit: int = MAX_BLOCKS) -> DataFrame:
+    """(file, fn, rule, line, callee, status) from il(file, fn, ord, kind, lhs, callee, args, line) and params(file, fn, params).
+
+    A function with a sink and over ``limit`` blocks gives one row with the status "skipped".
+    """
+    sink = reduce(lambda a, b: a | b, [_means(r) for r in rules], F.lit(False))
+    wanted = il.where("kind = 'call'").where(sink).select("file", "fn").distinct()
+    first = params.select("file", "fn", "params") if params is not None else None
+    rows = il.join(wanted, ["file", "fn"], "left_semi").select("file", "fn", "ord", "kind", "lhs", "callee", "args", "line")
+    rows = rows.join(first, ["file", "fn"], "left") if first is not None else rows.withColumn("params", F.array().cast("array<string>"))
+
+    def found(key: tuple, recs: list[dict], p: list | None) -> Iterator[tuple]:
+        for f in dict.fromkeys(analyse_function(recs, list(p or []), rules, sources, sanitizers, limit)):
+            yield (*key, *f)
+
+    def run(batches):
+        key, recs, p = None, [], None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                at = (r["file"], r["fn"])
+                if at != key:
+                    out += found(key, recs, p) if recs else ()
+                    key, recs, p = at, [], r["params"]
+                recs.append({"kind": r["kind"], "lhs": r["lhs"], "callee": r["callee"], "args": r["args"] or [], "line": r["line"]})
+            yield batch(out)
+        yield batch(found(key, recs, p) if recs else ())
+
+    def batch(rows_):
+        columns = list(zip(*rows_, strict=True)) or [()] * 6
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["file", "fn", "rule", "line", "callee", "status"])
+
+    laid = rows.repartition("file", "fn").sortWithinPartitions("file", "fn", "ord")
+    return laid.mapInArrow(run, "file string, fn string, rule string, line int, callee string, status string")

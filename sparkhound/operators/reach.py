@@ -35,16 +35,15 @@ def reachable(edges: DataFrame, entries: DataFrame, cap: int = 100) -> DataFrame
     return fixpoint(start, step, ["name"], cap)
 
 
-def paths(reached: DataFrame, cap: int = 100) -> DataFrame:
-    """(name, path): functions from the entry to each reached one."""
+def paths(reached: DataFrame) -> DataFrame:
+    """(name, path): functions from the entry to each reached one. Parents form a tree, so this ends whatever its depth."""
     now = reached.where("parent IS NULL").select("name", F.array("name").alias("path"))
     out = now
-    for _ in range(cap):
+    while True:
         now = durable(reached.where("parent IS NOT NULL").select("name", "parent").join(now.select(F.col("name").alias("parent"), "path"), "parent").select("name", F.concat("path", F.array("name")).alias("path")))
         if now.isEmpty():
             return out
         out = out.unionByName(now)
-    return out
 
 
 def tagged(found: DataFrame, nodes: DataFrame, reached: DataFrame) -> DataFrame:

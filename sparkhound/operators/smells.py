@@ -210,7 +210,7 @@ def dead_letter(nodes: DataFrame) -> DataFrame:
 
 
 def class_table(nodes: DataFrame) -> DataFrame:
-    """(name, file, line, end_line, loc, parent, is_abstract, methods, n_methods); the last definition of a name wins (J-15)."""
+    """(name, file, line, ord, end_line, loc, parent, is_abstract, methods, n_methods): a row for each definition of a class."""
     w = Window.partitionBy("file").orderBy("line", "ord")
     types = nodes.where("node_type IN ('class', 'module', 'enum')").withColumn("next_line", F.lead("line").over(w))
     last = nodes.groupBy("file").agg(F.max("line").alias("last_line"))
@@ -221,8 +221,13 @@ def class_table(nodes: DataFrame) -> DataFrame:
         "name", "file", "line", "ord", F.coalesce(F.col("next_line") - 1, "last_line").alias("end_line"), F.nullif(F.col("metadata")["parent"], F.lit("")).alias("parent"),
         F.coalesce(F.col("metadata")["abstract"] == "true", F.lit(False)).alias("is_abstract"), F.coalesce("methods", F.array().cast("array<string>")).alias("methods"),
     )
-    out = out.withColumns({"loc": F.col("end_line") - F.col("line"), "n_methods": F.size("methods")})
-    return out.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("file"), F.desc("ord")))).where("_r = 1").drop("_r", "ord")
+    return out.withColumns({"loc": F.col("end_line") - F.col("line"), "n_methods": F.size("methods")})
+
+
+def last_of_each(classes: DataFrame) -> DataFrame:
+    """The definition that a class name stands for when it is looked up as a parent: the last one (J-15)."""
+    at = [F.desc(c) for c in ("file", "ord", "line") if c in classes.columns]
+    return classes.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy(*at))).where("_r = 1").drop("_r")
 
 
 def _class_finding(df: DataFrame, rule: str, severity: Column | str, value: Column) -> DataFrame:
@@ -258,33 +263,34 @@ def speculative_generality(classes: DataFrame) -> DataFrame:
 
 
 def deep_inheritance(classes: DataFrame, most: int = 4) -> DataFrame:
-    depth = ancestors(classes).groupBy("name").agg((F.max("depth") + 1).alias("depth"))  # the class itself counts
+    depth = ancestors(last_of_each(classes)).groupBy("name").agg((F.max("depth") + 1).alias("depth"))  # the class itself counts
     return _class_finding(classes.join(depth, "name").where(f"depth > {most}"), "DeepInheritance", "Medium", F.col("depth"))
 
 
 def tradition_breaker(classes: DataFrame) -> DataFrame:
-    p = classes.select(F.col("name").alias("parent"), F.col("n_methods").alias("p_methods"))
+    p = last_of_each(classes).select(F.col("name").alias("parent"), F.col("n_methods").alias("p_methods"))
     return _class_finding(classes.join(p, "parent").where("p_methods >= 10 AND n_methods <= 2 AND loc > 1000"), "TraditionBreaker", "Medium", F.col("p_methods"))
 
 
 def refused_bequest(classes: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
     """Short overrides of an ancestor's method, constructors and abstract ancestors aside (J-18)."""
-    up = ancestors(classes).join(classes.where("NOT is_abstract").select(F.col("name").alias("ancestor"), F.explode("methods").alias("method")), "ancestor")
-    mine = classes.select("name", F.explode("methods").alias("method")).where("method <> 'initialize'")
-    both = mine.join(up, ["name", "method"]).select("name", "method").distinct()
+    one = last_of_each(classes)
+    up = ancestors(one).join(one.where("NOT is_abstract").select(F.col("name").alias("ancestor"), F.explode("methods").alias("method")), "ancestor")
+    mine = classes.select("name", "file", F.col("line").alias("type_line"), F.explode("methods").alias("method")).where("method <> 'initialize'")
+    both = mine.join(up, ["name", "method"]).select("name", "file", "type_line", "method").distinct()
     sizes = with_scope(nodes, ("class", "module", "enum"), prefix="type")
     w = Window.partitionBy("file").orderBy("line", "ord")
-    defs = sizes.where("node_type = 'def'").withColumn("size", F.coalesce(F.lead("line").over(w) - F.col("line"), F.lit(1))).select(F.col("type_name").alias("name"), F.col("name").alias("method"), "file", "line", "size")
-    hit = both.join(defs, ["name", "method"]).where(f"size <= {most}")
+    defs = sizes.where("node_type = 'def'").withColumn("size", F.coalesce(F.lead("line").over(w) - F.col("line"), F.lit(1))).select("file", "type_line", F.col("name").alias("method"), "line", "size")
+    hit = both.join(defs, ["file", "type_line", "method"]).where(f"size <= {most}")
     return hit.select(F.lit("RefusedParentBequest").alias("rule"), F.lit("Low").alias("severity"), "file", "line", F.concat_ws(".", "name", "method").alias("subject"), F.col("size").cast("bigint").alias("value"))
 
 
 def knows_derived(classes: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
     """A base of three or more whose body names one of its children."""
     kids = classes.where("parent IS NOT NULL").select(F.col("parent").alias("name"), F.col("name").alias("child"))
-    inside = with_scope(nodes, ("class",), prefix="type").where("type_line IS NOT NULL AND node_type IN ('call', 'assign')").select(F.col("type_name").alias("name"), "file", "line", F.col("name").alias("used"))
+    inside = with_scope(nodes, ("class",), prefix="type").where("type_line IS NOT NULL AND node_type IN ('call', 'assign')").select(F.col("type_name").alias("name"), "file", "type_line", "line", F.col("name").alias("used"))
     hit = inside.join(kids, "name").where(F.contains("used", "child")).join(children(classes).where(f"n_children >= {least}"), "name")
-    return hit.groupBy("name", "file").agg(F.min("line").alias("line"), F.count_distinct("child").alias("n")).select(F.lit("BaseClassKnowsDerivedClass").alias("rule"), F.lit("Medium").alias("severity"), "file", "line", F.col("name").alias("subject"), F.col("n").alias("value"))
+    return hit.groupBy("name", "file", "type_line").agg(F.min("line").alias("line"), F.count_distinct("child").alias("n")).select(F.lit("BaseClassKnowsDerivedClass").alias("rule"), F.lit("Medium").alias("severity"), "file", "line", F.col("name").alias("subject"), F.col("n").alias("value"))
 
 
 def parallel_inheritance(classes: DataFrame) -> DataFrame:
@@ -308,8 +314,8 @@ def data_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     inside = with_scope(nodes, ("class", "module", "enum"), prefix="type").where("type_line IS NOT NULL")
     prop = (F.col("node_type") == "call") & P.last_segment(F.col("name")).isin("property", "getter", "setter", "attr_accessor", "attr_reader", "attr_writer")
     behave = (F.col("node_type") == "def") & (F.col("name") != "initialize")
-    n = inside.groupBy(F.col("type_name").alias("name")).agg(F.sum(prop.cast("int")).alias("props"), F.sum(behave.cast("int")).alias("defs")).where("props >= 2 AND defs = 0")
-    return _class_finding(classes.join(n, "name"), "DataClass", "Low", F.col("props"))
+    n = inside.groupBy("file", F.col("type_line").alias("line")).agg(F.sum(prop.cast("int")).alias("props"), F.sum(behave.cast("int")).alias("defs")).where("props >= 2 AND defs = 0")
+    return _class_finding(classes.join(n, ["file", "line"]), "DataClass", "Low", F.col("props"))
 
 
 def lcom4(method_fields: DataFrame) -> DataFrame:

@@ -122,7 +122,10 @@ def sink_hits(calls: DataFrame, taint: DataFrame, guards: DataFrame | None = Non
 
 
 def traced_flow(nodes: DataFrame, hits: DataFrame, taint: DataFrame, depth: int = 50) -> DataFrame:
-    """(file, ord, var, flow): each hit's variable traced back over its last assignment, source first (G-20)."""
+    """(file, ord, var, flow): each hit's variable traced back over its last assignment, source first (G-20).
+
+    Tracing stops after ``depth`` assignments; a longer flow is kept with those nearest the sink.
+    """
     w = Window.partitionBy("file", "name").orderBy(F.desc("line"), F.desc("ord"))
     last = nodes.where("node_type = 'assign'").withColumn("r", F.row_number().over(w)).where("r = 1").select("file", F.col("name").alias("at"), F.col("line").alias("a_line"), F.get(F.transform(F.filter("args", lambda a: a["arg_type"] == "var"), lambda a: a["value"]), 0).alias("next"))
     last = durable(last)
@@ -137,5 +140,6 @@ def traced_flow(nodes: DataFrame, hits: DataFrame, taint: DataFrame, depth: int
         done = ended if done is None else done.unionByName(ended)
         now = durable(step.where(~stop).select("file", "ord", "var", F.col("next").alias("at"), flow.alias("flow"), F.concat("seen", F.array("next")).alias("seen")))
         if now.isEmpty():
-            break
-    return done
+            return done
+    left = now.select("file", "ord", "var", "flow")
+    return left if done is None else done.unionByName(left)
