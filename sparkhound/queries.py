@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import program_queries
 from .functions import predicates as P
 from .operators import cfg, changes, matching, reach, scopes, smells, taint, text_lint
 from .plans.fixpoint import durable
@@ -583,3 +584,7 @@ def dependency_reachability(spark, sf_dir):
 def conversation_mix(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.groupBy(F.when(F.col("turn") >= 3, "later").otherwise("first").alias("part"), "role").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("bigint").alias("longest"))
+
+
+QUERIES |= program_queries.QUERIES
+ORACLES |= program_queries.ORACLES
