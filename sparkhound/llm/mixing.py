@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, packed, positions, shuffle_parts, unpacked
+from .store import numbered, positions, shuffle_parts, unpacked
 
 BLOCK = 64
 OUTPUT_SHARDS = 64
@@ -161,7 +161,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     in ``docs``; ``n_chars`` follows the text where there is such a column. Documents without words give no rows.
     """
     used = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
-    base = keep(packed(docs, used).withColumn("_id", F.monotonically_increasing_id()), "mix-docs")
+    base = numbered(docs, used, "mix-docs").withColumnRenamed("_row", "_id")
     mix = Mix(base.select("_id", "doc_id", "text", "source"), carry=("_id",), **options)
     # a document has at most ``most`` places for each of its blocks
     cuts = mix.placed().join(mix.docs.select("row", "_id", "size"), "row").groupBy("_id", "row", "size").agg(F.collect_list(F.struct("shard", "slot", "from", "words")).alias("cuts"))

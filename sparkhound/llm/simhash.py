@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import keep, packed, unpacked
+from .store import keep, numbered, unpacked, without
 
 SEED = 42
 BITS = 2
@@ -162,16 +162,18 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
 def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: the smallest doc_id, null last; of repeated rows the first.
 
-    Rows are numbered when they are written with their fingerprints, once; rows without words are one class. Other columns,
+    Rows without words are one class. Other columns,
     whatever their names, come through unchanged.
     """
     used = ["doc_id", "text"]
-    rows = keep(fingerprints(packed(docs, used).withColumn("_row", F.monotonically_increasing_id()), shingle), "rows")
+    all_ = numbered(docs, used, "rows")
+    rows = keep(fingerprints(all_, shingle).select("doc_id", "_row", "_fp"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     least = rows.groupBy("_fp").agg(first.alias("least"))
     tree = components(links(rows, bits)).withColumnsRenamed({"node": "_fp"})
     chosen = least.join(tree, "_fp", "left").groupBy(F.coalesce("root", "_fp").alias("root")).agg(F.min("least").alias("least"))
-    return unpacked(rows.join(chosen.select(F.col("least._row").alias("_row")), "_row", "left_semi"), docs.columns, used)
+    dropped = keep(rows.select("_row").join(chosen.select(F.col("least._row").alias("_row")), "_row", "left_anti"), "dropped")
+    return unpacked(without(all_, dropped), docs.columns, used)
 
 
 def as_hex(column: str = "_fp"):

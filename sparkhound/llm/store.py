@@ -89,9 +89,9 @@ def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return clear.unionByName(marked.where("_marked").drop("_marked").join(ids, "_row", "left_anti"))
 
 
-def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` whose ``_row`` is in ``ids(_row)``, distinct; rows that a bit map rules out are not shuffled."""
-    return rows.withColumn("_marked", _marked(rows, ids)).where("_marked").drop("_marked").join(ids, "_row", "left_semi")
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``_row`` is in ``ids(_row)`` and, as the map is of fixed size, some others: for an inner join to decide."""
+    return rows.withColumn("_marked", _marked(rows, ids)).where("_marked").drop("_marked")
 
 
 REST = "__rest"
@@ -103,6 +103,24 @@ def packed(docs: DataFrame, used: list[str]) -> DataFrame:
     return docs.select(*used, (F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias(REST))
 
 
+def numbered(docs: DataFrame, used: list[str], name: str) -> DataFrame:
+    """packed() with ``_row``, a number for each row that stays the same whenever the result is computed.
+
+    Rows of Parquet files, read as they are, are numbered by file and place in it, and are not copied; the driver gets the
+    paths, which it holds anyway. Any other table is written once with its numbers.
+    """
+    spark, plan = docs.sparkSession, docs._jdf.queryExecution().analyzed()
+    files = plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    if not files or plan.relation().fileFormat().toString() != "Parquet" or "_metadata" in docs.columns:
+        return keep(packed(docs, used).withColumn("_row", F.monotonically_increasing_id()), name)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    known = F.broadcast(spark.createDataFrame([(p, k << 40) for k, p in enumerate(paths)], "_path string, _first long"))
+    rows = docs.select(*used, rest.alias(REST), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    return rows.join(known, "_path").withColumn("_row", F.col("_first") + F.col("_at")).drop("_path", "_first", "_at")
+
+
 def unpacked(df: DataFrame, columns: list[str], used: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in used else F.col(REST)[c].alias(c) for c in columns])
 

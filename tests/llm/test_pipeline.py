@@ -59,3 +59,83 @@ def test_near_duplicates_are_those_of_five_words(spark):
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert got == sorted({*label})
+
+
+def _near_copies(seed, n=70, words=60):
+    """A text, its near copies with one to four words changed, and texts that share only a passage with it."""
+    import random
+
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    texts = [base]
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(words)] = f"v{rng.randrange(10**6)}"
+        texts.append(copy)
+    texts += [[f"w{rng.randrange(10**6)}" for _ in range(40)] + base[:20] for _ in range(10)]
+    rng.shuffle(texts)
+    return texts
+
+
+def _smallest_of_each(texts):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in texts]
+    label, changed = list(range(len(texts))), True
+    while changed:
+        changed = False
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets[:a]):
+                if label[a] != label[b] and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    return sorted({*label})
+
+
+def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch):
+    from sparkhound.llm import similar
+
+    for block, looked_up in ((7, 4096), (512, 10)):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        monkeypatch.setattr(similar, "LOOKED_UP", looked_up)
+        texts = _near_copies(block)
+        docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+        assert sorted(r["doc_id"] for r in similar.one_of_each(docs).collect()) == _smallest_of_each(texts)
+
+
+def test_forest_of_sets():
+    import numpy as np
+
+    from sparkhound.llm import similar
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.int64)) for _ in range(40)]
+        sets += [np.setdiff1d(s, s[: rng.integers(0, 4)]) if len(s) > 5 else s for s in sets]
+        comps = rng.integers(0, 60, len(sets)).tolist()
+        got = similar.linked(sets, comps)
+        alike = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        assert all(alike(sets[a], sets[b]) and comps[a] != comps[b] for a, b in got)
+        root = {c: c for c in comps}
+
+        def classes(links):
+            root = {c: c for c in comps}
+            for _ in range(len(comps)):
+                for a, b in links:
+                    low = min(root[comps[a]], root[comps[b]])
+                    root = {c: low if r in (root[comps[a]], root[comps[b]]) else r for c, r in root.items()}
+            return root
+
+        every = [(a, b) for b in range(len(sets)) for a in range(b) if comps[a] != comps[b] and alike(sets[a], sets[b])]
+        assert classes(got) == classes(every) and len(got) < len(root)
+
+
+def test_possible_partners_lose_none():
+    import numpy as np
+
+    from sparkhound.llm import similar
+
+    rng = np.random.default_rng(5)
+    n, i, c = rng.integers(1, 200, 700), rng.integers(0, 40, 700), rng.integers(0, 9, 700)
+    i = np.minimum(i, n - 1)
+    want = [any(9 * min(n[a] - i[a], n[b] - i[b]) >= 4 * (n[a] + n[b]) and c[a] != c[b] for b in range(700)) for a in range(700)]
+    assert similar._may(n, i, c).tolist() == want
