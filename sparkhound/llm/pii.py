@@ -1,13 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are exact recognisers for e-mail addresses, IP addresses, card and phone numbers. Looser recognisers give candidates
-that only *might* be such identifiers. An occurrence of either stands in a lexical context, the word before it. Seeds
-and contexts form a bipartite graph that Spark scores in turns:
-  * a context's score is the share of all its corpus occurrences that are followed by an identifier of the kind, each
+that only *might* be such identifiers: written-out addresses, compressed IPv6 addresses, any run of digits and separators.
+An occurrence of either stands in lexical contexts: the word before it (or the label that is glued to it), the two words
+before it, and the word after it. Seeds and contexts form a bipartite graph that Spark scores in turns:
+  * a context's score is the share of all its corpus occurrences that have an identifier of the kind in their slot, each
     weighted by the instance's current belief, if at least ``SUPPORT`` different instances stand there;
   * a candidate's belief is 1 - prod(1 - score) over its contexts that reach ``TRUST``; seeds keep belief 1.
-Instances that come to be believed induce further contexts in the next turn. After ``ROUNDS`` turns candidates in trusted
-contexts are reported beside the seeds, which are never dropped.
+Instances that come to be believed induce further contexts in the next turn, until in two turns no further context reaches
+``TRUST`` and the scores hardly rise. Then candidates in trusted contexts are reported beside the seeds, which are never dropped.
 
 Offsets count code points. ``split`` and ``regexp_extract_all`` use the same engine and pattern, so gaps and matches
 alternate and a running sum of their lengths gives the offsets.
@@ -18,12 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import keep, packed, unpacked
+from .store import forget, keep, numbered, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
 TRUST = 0.5
-ROUNDS = 3
+#: Turns at most; more raise an error. Scores only rise, so they settle.
+ROUNDS = 50
 BUCKETS = 65_536
 
 #: Possessive forms of the contract's patterns. A match can start inside a run of its first class only where another one
@@ -33,7 +35,6 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A separator that joins no two digits becomes a line feed (a hyphen \x01), one for one; digit chains are then runs of one class.
 NOT_CHAIN = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
-CHAIN = r"[^0-9\x20-]|(?<![0-9])[\x20-]|[\x20-](?![0-9])"
 CHAIN = r"[0-9\x20-]{2,}+"
 #: Where an identifier can begin inside a word, after a label: 'tel:+49...', '<a@b.c', 'no7'.
 GLUED = r"(?<=[^0-9a-z])(?=[0-9a-z+(])|(?<=[^0-9+(])(?=[0-9+(])"
@@ -41,17 +42,41 @@ GLUED = r"(?<=[^0-9a-z])(?=[0-9a-z+(])|(?<=[^0-9+(])(?=[0-9+(])"
 WIDTH = 48
 #: Candidates only.
 LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(][aA][tT][\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(][dD][oO][tT][\])]|\.) ?[A-Za-z0-9-]{1,63}+){1,8}"
-LOOSE_IP = r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}+:){3,7}+:?[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])"
-LOOSE_PHONE = r"(?<![0-9+(.-])\(?[0-9]{2,4}+\)?[\x20.-][0-9]{2,4}+[\x20.-][0-9]{3,4}+(?![0-9.-])"
+_HEX = "[0-9A-Fa-f]{1,4}+"
+LOOSE_IP = rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{3,7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::(?:{_HEX}:){{0,6}}{_HEX})(?![0-9A-Za-z:])"
+#: Two to six groups of digits, or one run; a full stop or a hyphen may follow, but no further digit.
+LOOSE_PHONE = r"(?<![0-9+(.-])(?:\(?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}+[0-9]{2,8}+){1,5}+|[0-9]{7,15}+)(?![0-9]|[.-][0-9])"
+LOOSE_DIGITS = (7, 15)
+BLANKS = "\t\n\x0b\x0c\r "
 
 
-def _found(kind: str, seed: bool, text: Column, pattern: str, if_: Column, show: Column | None = None) -> Column:
-    """struct(kind, seed, matches, gaps): matches of a pattern and, before each, the gap's length and the last characters so far."""
+def _found(kind: str, seed: bool, text: Column, pattern: str, if_: Column) -> Column:
+    """struct(kind, seed, matches, gaps): matches of a pattern and the texts before, between and behind them."""
     matches = F.when(if_, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    back = lambda g, k: F.concat(F.when(k > 0, F.get(matches, k - 1)).otherwise(F.lit("")), g)
-    gap = lambda g, k: F.struct(F.length(g).alias("length"), F.translate(F.right(F.rtrim(back(g, k), F.lit("\t\n\x0b\x0c\r ")), F.lit(WIDTH)), "\x01", "-").alias("tail"))
-    gaps = F.when(if_, F.transform(F.split(text, pattern, -1), gap))
-    return F.struct(F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), matches.alias("matches"), gaps.alias("gaps"))
+    return F.struct(F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), matches.alias("matches"), F.when(if_, F.split(text, pattern, -1)).alias("gaps"))
+
+
+def _surroundings(matches: Column, gaps: Column) -> Column:
+    """For each match: itself, the length of the gap before it, the last characters before it and the first ones after it."""
+    shown = lambda x: F.translate(x, "\x01", "-")
+    before = lambda k: F.concat(F.when(k > 0, F.get(matches, k - 1)).otherwise(F.lit("")), F.get(gaps, k))
+    return F.transform(
+        matches,
+        lambda x, k: F.struct(
+            x.alias("match"), F.length(F.get(gaps, k)).alias("gap"), shown(F.right(F.rtrim(before(k), F.lit(BLANKS)), F.lit(WIDTH))).alias("tail"),
+            shown(F.right(F.get(gaps, k), F.lit(1))).rlike(r"^[\x09-\x0D\x20]").alias("apart"), shown(F.left(F.get(gaps, k + 1), F.lit(WIDTH))).alias("head"),
+        ),
+    )
+
+
+def _contexts() -> Column:
+    """The word before (or the label glued to) a match, 'two words before' marked 2, 'the word after' marked R; whole words only."""
+    words, after = F.split(F.lower(F.col("m.tail")), r"[\x09-\x0D\x20]+"), F.split(F.lower(F.col("m.head")), r"[\x09-\x0D\x20]+")
+    whole = (F.size(words) > 2) | (F.size(words) == 2) & (F.length("m.tail") < WIDTH)
+    one = F.element_at(words, -1)
+    two = F.when(F.col("m.apart") & whole & (F.element_at(words, -2) != ""), F.concat(F.lit("2 "), F.element_at(words, -2), F.lit(" "), one))
+    right = F.when((F.size(after) > 2) & (F.get(after, 1) != ""), F.concat(F.lit("R "), F.get(after, 1)))
+    return F.filter(F.array(one, F.when(F.size(words) > 1, two), right), lambda c: c.isNotNull() & (c != ""))
 
 
 def _digits(x: Column) -> Column:
@@ -65,7 +90,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
-    """(uid, kind, seed, start, end, instance, context) from ``texts(uid, text)``."""
+    """(uid, kind, seed, start, end, instance, contexts) from ``texts(uid, text)``."""
     t = F.col("text")
     digit = t.rlike("[0-9]")
     chain_like = t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")
@@ -78,13 +103,13 @@ def occurrences(texts: DataFrame) -> DataFrame:
         _found("phone", True, t, PHONE, F.contains(t, F.lit("+"))),
         _found("email", False, t, LOOSE_EMAIL, t.rlike(r"[\[(][aA][tT][\])]")),
         _found("ip", False, t, LOOSE_IP, t.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f:]")),
-        _found("phone", False, t, LOOSE_PHONE, t.rlike(r"[0-9][\x20.-][0-9]")),
+        _found("phone", False, t, LOOSE_PHONE, t.rlike(r"[0-9][0-9)][0-9\x20./-]")),
     )
     hits = wanted.withColumn("marked", marked).select("uid", F.explode(F.filter(kinds, lambda k: F.size(k["matches"]) > 0)).alias("f"))
-    rows = hits.select("uid", "f.kind", "f.seed", F.posexplode(F.arrays_zip("f.matches", "f.gaps")).alias("k", "m")).where("m.matches is not null")
+    rows = hits.select("uid", "f.kind", "f.seed", F.posexplode(_surroundings(F.col("f.matches"), F.col("f.gaps"))).alias("k", "m"))
     before = Window.partitionBy("uid", "kind", "seed").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.col("m.gaps.length") + F.length("m.matches")).over(before).cast("long"))
-    x = F.col("m.matches")
+    rows = rows.withColumn("end", F.sum(F.col("m.gap") + F.length("m.match")).over(before).cast("long"))
+    x = F.col("m.match")
     digits = _digits(x)
     byte = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
     seeds = (
@@ -94,9 +119,8 @@ def occurrences(texts: DataFrame) -> DataFrame:
         .otherwise(F.length(digits).between(8, 15))
     )
     # of failing matches only a chain as long as a card number stays, as a candidate
-    rows = rows.withColumn("ok", seeds).where(~F.col("seed") | F.col("ok") | (F.col("kind") == "card") & F.length(digits).between(12, 19)).withColumn("seed", F.col("seed") & F.col("ok"))
-    words = F.split(F.lower(F.col("m.gaps.tail")), r"[\x09-\x0D\x20]+")
-    word = F.when(F.element_at(words, -1) != "", F.element_at(words, -1)).when(F.size(words) > 1, F.element_at(words, -2)).otherwise(F.lit(""))
+    loose = ~F.col("seed") & ((F.col("kind") != "phone") | F.length(digits).between(*LOOSE_DIGITS))
+    rows = rows.withColumn("ok", seeds).where(loose | F.col("seed") & (F.col("ok") | (F.col("kind") == "card") & F.length(digits).between(12, 19))).withColumn("seed", F.col("seed") & F.col("ok"))
     return rows.select(
         "uid",
         "kind",
@@ -104,22 +128,29 @@ def occurrences(texts: DataFrame) -> DataFrame:
         (F.col("end") - F.length(x)).alias("start"),
         "end",
         F.when(F.col("kind").isin("card", "phone"), digits).otherwise(F.lower(x)).alias("instance"),
-        word.alias("context"),
+        _contexts().alias("contexts"),
     )
 
 
-def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
-    """(uid, kind, start, end): candidates in trusted contexts, none overlapping a seed of the document."""
-    words = texts.select(F.explode(F.split(F.lower("text"), r"[\x09-\x0D\x20]+")).alias("w")).where("w <> ''")
-    # a context is a whole word, or a word's part before an identifier; both count wherever they stand
+def _counted(texts: DataFrame) -> DataFrame:
+    """(context): every occurrence of every possible context in the corpus."""
+    words = texts.select(F.filter(F.split(F.lower("text"), r"[\x09-\x0D\x20]+"), lambda w: w != "").alias("ws"))
+    words = words.select(F.explode(F.transform("ws", lambda w, k: F.struct(w.alias("w"), F.get(F.col("ws"), k - 1).alias("p")))).alias("x")).select("x.w", "x.p")
+    # a label is a whole word, or a word's part before an identifier; both count wherever they stand
     parts = F.split("w", GLUED)
     upto = lambda k: F.right(F.array_join(F.slice(parts, F.greatest(F.lit(1), k - WIDTH + 1), F.least(k, F.lit(WIDTH))), ""), F.lit(WIDTH))
     cut = F.when(F.col("w").rlike(GLUED), F.transform(F.sequence(F.lit(1), F.size(parts)), upto)).otherwise(F.array(F.right("w", F.lit(WIDTH))))
-    words = words.select(F.explode(cut).alias("context"))
+    return words.select(F.explode(F.concat(cut, F.array(F.concat(F.lit("R "), F.col("w")), F.concat(F.lit("2 "), F.col("p"), F.lit(" "), F.col("w"))))).alias("context")).where("context IS NOT NULL")
+
+
+def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
+    """(uid, kind, start, end): candidates in trusted contexts, none overlapping a seed of the document."""
+    words = _counted(texts)
+    placed = found.select("kind", "seed", "instance", F.explode("contexts").alias("context"))
     # inner joins on distinct keys, as the optimiser would move semi-joins below the counts;
     # only contexts of a candidate can report anything, and only they need corpus counts
-    open_ = found.where("NOT seed AND context <> ''").select("context").distinct()
-    seen = found.where("context <> ''").groupBy("kind", "context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(open_, "context")
+    open_ = placed.where("NOT seed").select("context").distinct()
+    seen = placed.groupBy("kind", "context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(open_, "context")
     rich = seen.groupBy("kind", "context").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= support)
     rich = keep(rich, "pii-rich")
     # words are first held against a bit map of the contexts' hashes, of fixed size whatever their number; the join decides
@@ -133,16 +164,28 @@ def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: f
     total = near.groupBy("context").agg(F.count("*").alias("total")).join(rich.select("context").distinct(), "context")
     graph = keep(seen.join(rich.select("kind", "context"), ["kind", "context"]).join(total, "context"), "pii-graph")
     belief = graph.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("belief"))
+    trusted, total_score, settled, tables = 0, 0.0, 0, []
     for _ in range(rounds):
         edges = graph.join(belief, ["kind", "instance"])
         scores = edges.groupBy("kind", "context").agg(
             (F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("raw"), F.sum((F.col("belief") > 0).cast("int")).alias("known")
         ).select("kind", "context", F.when(F.col("known") >= support, F.least("raw", F.lit(1.0))).otherwise(0.0).alias("score"))
         scores = keep(scores, "pii-scores")
+        tables.append(scores)
+        now = scores.where(F.col("score") >= trust).agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        settled = settled + 1 if now[0] == trusted and now[1] <= total_score * 1.01 else 0
+        trusted, total_score = now
+        if settled == 2 or not trusted:
+            break
         miss = F.sum(F.log1p(-F.least(F.when(F.col("score") >= trust, F.col("score")).otherwise(0.0), F.lit(1 - 1e-9))))
         belief = keep(graph.join(scores, ["kind", "context"]).groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(miss)).alias("belief")), "pii-belief")
+        tables.append(belief)
+    else:
+        raise RuntimeError(f"contexts still changed after {rounds} turns")
+    forget(rich, graph, *tables[:-1])
     good = scores.where(F.col("score") >= trust).select("kind", "context")
-    new = found.where("NOT seed").join(good, ["kind", "context"]).select("uid", "kind", "start", "end")
+    slots = found.where("NOT seed").select("uid", "kind", "start", "end", F.explode("contexts").alias("context"))
+    new = slots.join(good, ["kind", "context"]).select("uid", "kind", "start", "end").distinct()
     taken = found.where("seed").select(F.col("uid").alias("u"), F.col("start").alias("s"), F.col("end").alias("e"))
     return new.join(taken, F.expr("uid = u AND start < e AND s < end"), "left_anti")
 
@@ -158,18 +201,13 @@ def _joined(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["k"]), s["start"], s["end"])), ",")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    return keep(docs.withColumn("uid", F.monotonically_increasing_id()), "pii-docs")
-
-
 def personal_data(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of ``docs``.
 
     Counts and the digest cover the seeds; spans also hold what was learned. Null and empty texts have no spans. Repeated
     rows are reported each. An empty table gives an empty result. Spans are gathered for one document at a time.
     """
-    # ids follow the file splits of this one scan; they are written with the texts, so every later step sees the same
-    texts = identified(docs.select("doc_id", "text"))
+    texts = numbered(docs, ["doc_id", "text"], "pii-docs").select(F.col("_row").alias("uid"), "doc_id", "text")
     cell = F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("k"), "start", "end", "seed")
     per_doc = spans(texts.select("uid", "text"), **options).groupBy("uid").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     out = texts.select("uid", "doc_id").join(per_doc, "uid", "left").withColumn("cells", F.coalesce("cells", F.array().cast(per_doc.schema["cells"].dataType)))
@@ -182,7 +220,7 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
 def redacted(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each span of personal data in the text replaced by its kind in brackets; ``n_chars`` follows the text."""
     used = [c for c in ("text", "n_chars") if c in docs.columns]
-    all_ = identified(packed(docs, used))
+    all_ = numbered(docs, used, "pii-docs").withColumnRenamed("_row", "uid")
     merged = spans(all_.select("uid", "text"), **options).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cells"))
     # where spans overlap, the text is cut at the furthest end so far
     step = lambda a, s: F.struct(

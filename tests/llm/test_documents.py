@@ -309,6 +309,51 @@ def test_token_files_equal_the_library(docs, none):
     assert token_files.token_file_index(none, file).count() == 0
 
 
+def _learned(spark, texts):
+    got = {}
+    for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        base = {":".join(map(str, (KINDS[k - 1], a, b))) for k, a, b in _base(texts[r["doc_id"]])}
+        got[r["doc_id"]] = [x for x in r["spans"].split(",") if x and x not in base]
+    return got
+
+
+def test_contexts_of_several_words_before_and_after(spark):
+    """'reach' alone mostly stands before other words; only 'me at' together, and the word after, name a slot."""
+    seeds = [f"please reach me at +49 30 1234{k:03d} extension desk" for k in range(30)]
+    noise = [f"me we look at trees number {k}" for k in range(60)] + [f"you at home or me" for k in range(40)]
+    new = ["they said reach me at 030 9876543 or so", "or 5551234567 extension four", "meet me at 01 23 45 67 89.", "look at 030 9876543 trees", "me 5559999999 trees"]
+    got = _learned(spark, seeds + noise + new)
+    at = len(seeds) + len(noise)
+    assert [bool(got[at + k]) for k in range(5)] == [True, True, True, False, False]
+    assert not any(got[k] for k in range(at))
+    t = new[2]
+    assert got[at + 2] == [f"phone:{t.index('01')}:{t.index('89') + 2}"]
+
+
+def test_beliefs_run_until_they_settle(spark):
+    """A chain of contexts, each learned from the instances of the one before it."""
+    number = lambda k: f"030 55{k:05d}"
+    texts = [f"zero: +49 30 55{k:05d} x" for k in range(12)] + [f"zero: {number(100 + k)} x" for k in range(6)]
+    texts += [f"one: {number(100 + k)} x" for k in range(6)] + [f"one: {number(200 + k)} x" for k in range(5)]
+    texts += [f"two: {number(200 + k)} x" for k in range(5)] + [f"two: {number(300 + k)} x" for k in range(4)]
+    texts += [f"x {number(400 + k)} y" for k in range(9)]
+    got = _learned(spark, texts)
+    assert all(got[k] for k in range(12, len(texts) - 9)) and not any(got[k] for k in range(len(texts) - 9, len(texts)))
+
+
+def test_forms_of_candidates(spark):
+    import re as r
+
+    ok = ["555-987-0001", "01 23 45 67 89", "030 1234567", "5551234567", "(030) 555-1234", "555-1234"]
+    for x in ok:
+        m = r.search(pii.LOOSE_PHONE, f"a {x}. b")
+        assert m and m[0] == x, x
+    for x in ("2001:db8::1", "fe80::1", "::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"):
+        m = r.search(pii.LOOSE_IP, f"a {x} b")
+        assert m and m[0] == x, x
+    assert not r.search(pii.LOOSE_PHONE, "1" * 40) and not r.search(pii.LOOSE_IP, "12:30:45 and a::b::c::")
+
+
 def test_token_files_last(spark, docs, tmp_path):
     """Another session opens the folder and decodes all ids."""
     file, path = public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "files")
