@@ -330,6 +330,12 @@ def god_class(method_fields: DataFrame, cohesion: int = 2, methods: int = 20) ->
     return lcom4(method_fields).join(n, "class").where(f"lcom4 > {cohesion} AND methods > {methods}")
 
 
+def tree_first(tree: DataFrame, flat: DataFrame) -> DataFrame:
+    """Findings of syntax trees, and those of node rows for rules of which no tree has one anywhere (J-10)."""
+    known = tree.select("rule").distinct()  # as many rows as there are rules
+    return tree.unionByName(flat.join(F.broadcast(known), "rule", "left_anti"))
+
+
 def all_smells(nodes: DataFrame) -> DataFrame:
     """Every node-table detector, one row for each (rule, file, line)."""
     classes = class_table(nodes)

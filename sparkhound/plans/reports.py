@@ -27,14 +27,34 @@ def json_report(found: DataFrame, files: int) -> str:
 
 
 def _ordered(found: DataFrame) -> list[dict]:
-    cols = [c for c in ("rule", "severity", "file", "line", "message", "flow", "dependency", "suggestion") if c in found.columns]
+    cols = [c for c in ("rule", "severity", "file", "line", "message", "flow", "dependency", "reachability", "suggestion") if c in found.columns]
     rows = found.orderBy(F.desc(P.severity_rank(F.col("severity"))), "file", "line", "rule").select(*cols).collect()
     keep = {"rule", "severity", "file", "line", "message", "flow"}
     return [{k: v for k, v in r.asDict(recursive=True).items() if k in keep or v is not None} for r in rows]
 
 
-def sarif(found: DataFrame, tool: str = "sparkhound", version: str = "1.0") -> str:
-    """SARIF 2.1.0 with each rule once and code flows where known (K-03)."""
+def _reached(reach: dict) -> dict:
+    """A finding's reachability as properties; the way from the entry point as places."""
+    out = {"status": reach["status"]}
+    if reach.get("entry_function"):
+        out |= {"entryPoint": reach.get("entry_point"), "entryFunction": reach["entry_function"], "pathLength": reach.get("path_length"), "path": [f"{p['file']}:{p['line']}" for p in reach.get("path") or []]}
+    return {"reachability": out}
+
+
+def supply_chain(audited: DataFrame, advisories: DataFrame | None = None) -> str:
+    """JSON of audited dependencies, worst first, each with its advisories (K-09)."""
+    rows = audited.orderBy(F.expr("CASE level WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"), "name").collect()
+    known: dict[str, list] = {}
+    if advisories is not None:
+        for a in advisories.where("NOT failed").orderBy("name", "id").collect():
+            known.setdefault(a["name"], []).append({"id": a["id"], "summary": a["summary"], "severity": a["severity"]})
+    out = [{"name": r["name"], "version": r["version"], "level": r["level"], "vulnerabilities": r["n_vulns"], "advisories": known.get(r["name"], [])} for r in rows]
+    counts = {level: sum(r["level"] == level for r in rows) for level in ("critical", "warning", "clean")}
+    return json.dumps({"summary": counts, "dependencies": out}, ensure_ascii=False)
+
+
+def sarif(found: DataFrame, tool: str = "sparkhound", version: str = "1.0", audited: DataFrame | None = None) -> str:
+    """SARIF 2.1.0 with each rule once, code flows and reachability where known, and dependencies that are not clean (K-03)."""
     rows = _ordered(found)
     place = lambda file, line: {"physicalLocation": {"artifactLocation": {"uri": file}, "region": {"startLine": max(1, line or 1)}}}
     results = []
@@ -43,8 +63,13 @@ def sarif(found: DataFrame, tool: str = "sparkhound", version: str = "1.0") -> s
         if r.get("flow"):
             steps = [{"location": {**place(s["file"], s["line"]), "message": {"text": s["message"]}}} for s in r["flow"]]
             out["codeFlows"] = [{"threadFlows": [{"locations": steps}]}]
+        if r.get("reachability"):
+            out["properties"] = _reached(r["reachability"])
         results.append(out)
-    rules = [{"id": x} for x in dict.fromkeys(r["rule"] for r in rows)]
+    for d in audited.where("level <> 'clean'").orderBy("name").collect() if audited is not None else []:
+        text = f"{d['name']} {d['version'] or ''}".strip() + f" is {d['level']}, {d['n_vulns']} known vulnerabilities"
+        results.append({"ruleId": "dependency", "level": "error" if d["level"] == "critical" else "warning", "message": {"text": text}})
+    rules = [{"id": x} for x in dict.fromkeys(r["ruleId"] for r in results)]
     run = {"tool": {"driver": {"name": tool, "version": version, "rules": rules}}, "results": results}
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, ensure_ascii=False)
 

@@ -13,7 +13,9 @@ from .functions import predicates as P
 from .functions import words as W
 from .operators import matching, reach, scopes, smells, taint
 from .plans.fixpoint import durable
+from .sources import project
 from .sources.rules import sink_table
+from .sources.xml_trees import xml_trees
 
 FILES, KINDS = 97, 61
 #: (kind, name, argument type, argument) by the remainder of the part number; {k} is the supplier, {q} the quantity, {v} the part.
@@ -306,3 +308,39 @@ def findings_outside_checks(spark, sf_dir):
 )
 def callers_by_function(spark, sf_dir):
     return reach.call_edges(program(spark, sf_dir)).groupBy(F.col("callee").alias("name")).agg(F.count("*").alias("callers"))
+
+
+@query(
+    _rows("LongParameterList", _grade("q % 10 + 1", 5, 8), "name", "q % 10 + 1", "prog WHERE kind = 'def' AND name <> 'initialize' AND q % 10 + 1 >= 5 AND file = 'f1'")
+    + " UNION ALL"
+    + _rows("MessageChain", "'Medium'", "name", "5", "prog WHERE m = 29")
+)
+def smells_of_trees_first(spark, sf_dir):
+    """One file's findings stand for those of its trees; of their rules no other file's flat finding stays."""
+    n = program(spark, sf_dir)
+    flat = smells.long_parameter_list(n).unionByName(smells.message_chain(n))
+    return smells.tree_first(smells.long_parameter_list(n.where("file = 'f1'")), flat)
+
+
+@query(
+    """, files AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'crystal' WHEN 1 THEN 'elixir' WHEN 2 THEN 'typescript' END AS lang FROM part)
+    SELECT lang, count(*) AS n FROM files WHERE lang IS NOT NULL GROUP BY lang"""
+)
+def language_counts(spark, sf_dir):
+    ends = F.element_at(F.array(F.lit("cr"), F.lit("exs"), F.lit("tsx"), F.lit("txt")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(project.language(F.concat(F.lit("src/x"), F.col("p_partkey").cast("string"), F.lit("."), ends)).alias("lang")).where("lang IS NOT NULL")
+    return project.language_counts(files)
+
+
+@query(
+    """, t AS (SELECT n_regionkey AS file, 'nation' AS tag, 1 AS depth, n_name AS text, n_nationkey + 1 AS line FROM nation
+        UNION ALL SELECT r_regionkey, 'region', 0, '', 1 FROM region)
+    SELECT CAST(file AS VARCHAR) AS file, tag, depth, text, CAST(line AS INTEGER) AS line FROM t"""
+)
+def xml_nodes(spark, sf_dir):
+    """Regions as XML documents with their nations as children, read back as rows."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    child = F.concat(F.lit('<nation srow="'), F.col("n_nationkey").cast("string"), F.lit('">'), F.col("n_name"), F.lit("</nation>"))
+    inner = nation.groupBy(F.col("n_regionkey").alias("file")).agg(F.array_join(F.sort_array(F.collect_list(child)), "").alias("inner"))
+    docs = region.select(F.col("r_regionkey").alias("file")).join(inner, "file", "left").select("file", F.concat(F.lit('<region srow="0">'), F.coalesce("inner", F.lit("")), F.lit("</region>")).alias("content"))
+    return xml_trees(docs).select("file", "tag", "depth", "text", "line")

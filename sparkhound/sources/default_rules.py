@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_rules import language_rules_text
 from .rules import sink_table
 
 _WEB = ["crystal", "svelte"]
@@ -40,4 +41,5 @@ def default_rules_text() -> str:
 
 
 def default_sinks(spark: SparkSession) -> DataFrame:
-    return sink_table(spark, default_rules_text())
+    """Rules of all languages: those above and those of single languages."""
+    return sink_table(spark, default_rules_text() + "\n" + language_rules_text())

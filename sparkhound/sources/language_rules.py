@@ -1,0 +1,91 @@
+"""Rules for single languages, beside those of default_rules that hold for most.
+
+Fixed values: rule, severity, sink patterns with the argument that matters ("name 0"; without a number every argument does).
+A pattern that begins with $ is a method of any receiver. The messages are ours.
+"""
+
+from __future__ import annotations
+
+ELIXIR = [
+    ("Elixir-SSRF", "High", "HTTPoison.get 0, HTTPoison.post 0, HTTPoison.put 0, HTTPoison.delete 0, HTTPoison.request 0, Tesla.get 0, Tesla.post 0, Tesla.put 0, Tesla.delete 0, Tesla.patch 0, Req.get 0, Req.post 0, Req.put 0, Req.delete 0, Req.request 0, Mint.HTTP.connect 0", "{sink} calls an address built from {tainted_vars}"),
+    ("Elixir-SQL-Injection", "High", "Ecto.Repo.all 0, Ecto.Repo.query 0, Ecto.Repo.execute 0, Repo.all 0, Repo.query 0, Ecto.Adapters.SQL.query 1", "{sink} runs a statement built from {tainted_vars}"),
+    ("Elixir-Code-Execution", "Critical", "erlang.binary_to_term 0, Code.eval_string 0, Code.eval 0, Kernel.eval 0, Code.compile_string 0, Module.concat 0", "{sink} runs code made of {tainted_vars}"),
+    ("Elixir-XSS", "High", "Phoenix.HTML.Safe.to_string 0, raw 0, content_tag 1, text 1, html 0", "{sink} shows {tainted_vars} as markup"),
+    ("Elixir-Config-Secrets", "Critical", "config :secret, System.get_env 0", "{sink} keeps a secret in the configuration"),
+    ("Elixir-Command-Injection", "Critical", "System.cmd, :os.cmd, Port.open 1, :os.find_executable 0, System.shell 0, Porcelain.shell 0, Porcelain.exec 0", "{sink} runs a command built from {tainted_vars}"),
+    ("Elixir-Insecure-TLS", "High", "verify: :verify_none", "{sink} takes any certificate"),
+    ("Elixir-Timing-Attack", "Medium", "==", "{sink} compares {tainted_vars} in a time that tells where it differs"),
+    ("Elixir-Shell-Escape-Bypass", "Medium", "System.cmd, :os.cmd", "{sink} hands {tainted_vars} to a shell"),
+    ("Elixir-Unsafe-Redirect", "Medium", "Tesla.Middleware.FollowRedirects 0, Req.get 0, Req.post 0, HTTPoison.get 0", "{sink} follows wherever {tainted_vars} leads"),
+]
+JAVASCRIPT = [
+    ("CommandInjection", "Critical", "$exec 0, $execSync 0, $spawn 0, $spawnSync 0", "{sink} runs a command built from {tainted_vars}"),
+    ("PathTraversal", "High", "$readFile 0, $writeFile 0, $unlink 0, $readdir 0, $access 0, $stat 0, $open 0", "{sink} opens a path built from {tainted_vars}"),
+    ("SSRF", "Critical", "$fetch 0, $request 0, $get 0, $post 0, $put 0, $delete 0", "{sink} calls an address built from {tainted_vars}"),
+    ("XSS", "Critical", "innerHTML, outerHTML, document.write, dangerouslySetInnerHTML", "{sink} shows {tainted_vars} as markup"),
+    ("OpenRedirect", "Medium", "$redirect 0, location.assign 0, location.replace 0, res.redirect 0", "{sink} sends the user to {tainted_vars}"),
+    ("PrototypePollution", "High", "$merge 0, $extend 0, $assign 0, $deepMerge 0", "{sink} may set prototypes from {tainted_vars}"),
+    ("WeakCryptography", "Medium", "createHash 0, createCipher 0", "{sink} uses a weak method named by {tainted_vars}"),
+    ("EvalInjection", "Critical", "eval 0, Function 0, setTimeout 0, setInterval 0", "{sink} runs code made of {tainted_vars}"),
+    ("ScentLeakage", "High", "console.log, console.error, console.warn, console.info, $write, $send", "{sink} may show what {tainted_vars} holds"),
+    ("HardcodedSecrets", "Medium", "password=, secret=, api_key=, apikey=, token=, access_token=, private_key=", "{sink} sets a secret in the source"),
+]
+RUST = [
+    ("RustUnsafeBlock", "High", "unsafe", "{sink} leaves the checks of the compiler"),
+    ("RustCommandInjection", "High", "Command::new 0, Command::arg 0, Command::args 0", "{sink} runs a command built from {tainted_vars}"),
+    ("RustPathTraversal", "Medium", "fs::read 0, fs::read_to_string 0, fs::write 0, fs::create_dir 0, fs::remove_file 0, std::fs::File::open 0", "{sink} opens a path built from {tainted_vars}"),
+    ("RustSSRF", "High", "reqwest::blocking::get 0, reqwest::get 0, reqwest::post 0, ureq::get 0, ureq::post 0, attohttpc::get 0", "{sink} calls an address built from {tainted_vars}"),
+    ("RustIntegerOverflow", "Medium", "+, -, *", "{sink} may overflow with {tainted_vars}"),
+    ("RustPanicInLibrary", "Medium", "panic, unwrap, expect", "{sink} may end the program"),
+    ("RustHardcodedCredentials", "High", "password, api_key, secret, token", "{sink} sets a secret in the source"),
+]
+OCAML = [
+    ("OCamlCommandInjection", "Critical", "Unix.open_process_full 0, Unix.open_process_in 0, Unix.open_process_out 0, Sys.command 0, Stdlib.Sys.command 0, Core.Shell.run 0, Core.Process.exec 0", "{sink} runs a command built from {tainted_vars}"),
+    ("OCamlShellInterpolation", "High", "Printf.sprintf", "{sink} may put {tainted_vars} into a command"),
+    ("MissingErrorContext", "Medium", "Failed 0", "{sink} loses what failed"),
+    ("SilentErrorSwallow", "Low", "try", "{sink} drops errors"),
+    ("RaceConditionTempFile", "High", "Printf.sprintf, In_channel.read_all 0, Out_channel.write 0, Core.Out_channel.write 0, Core.In_channel.read_all 0, Stdlib.Buffer.add_channel 1", "{sink} uses a temporary file that others can foresee"),
+    ("InsecureTempFilePermissions", "Medium", "open_out 0, Stdlib.open_out 0", "{sink} makes a file that all can read"),
+    ("OCamlUnsafeOperations", "High", "Obj.magic 0, Obj.repr 0, Obj.set 0, Obj.obj 0, Marshal.from_string 0, Marshal.from_channel 0, Marshal.input_value 0, deriving 0", "{sink} leaves the checks of the compiler"),
+    ("OCamlMarshalDeserialization", "Critical", "Marshal.from_string 0, Marshal.from_channel 0, Marshal.input_value 0", "{sink} decodes {tainted_vars}"),
+]
+NIM = [
+    ("NimCommandInjection", "High", "os.execCmd 0, execCmd 0, os.execShellCmd 0, execShellCmd 0, osproc.startProcess 0, startProcess 0, osproc.execProcess 0, execProcess 0, os.shell 0", "{sink} runs a command built from {tainted_vars}"),
+    ("NimPathTraversal", "High", "system.open 0, open 0, system.readFile 0, readFile 0, system.writeFile 0, writeFile 0, os.removeFile 0, removeFile 0, os.removeDir 0, removeDir 0, os.createDir 0, createDir 0, os.copyFile 0, copyFile 0, os.moveFile 0, moveFile 0, os.symlink 0, symlink 0", "{sink} opens a path built from {tainted_vars}"),
+    ("NimSSRF", "Medium", "httpclient.getContent 0, httpclient.postContent 0, httpclient.get 0, httpclient.post 0", "{sink} calls an address built from {tainted_vars}"),
+    ("NimSQLInjection", "Critical", "db_sqlite.getValue 0, db_sqlite.getRow 0, db_sqlite.getAllRows 0, db_sqlite.exec 1, db_postgres.getValue 0, db_postgres.exec 1, db_mysql.getValue 0, db_mysql.exec 1", "{sink} runs a statement built from {tainted_vars}"),
+    ("NimDeserialization", "Medium", "marshal.load 0, marshal.store 0", "{sink} decodes {tainted_vars}"),
+    ("NimUncheckedException", "Low", "os.getEnv 0", "{sink} may raise"),
+    ("NimMissingTimeout", "Medium", "net.recv 0, net.recvLine 0, httpclient.getContent 0, httpclient.postContent 0", "{sink} may wait for ever"),
+]
+#: Rules of several languages that default_rules does not have; the last two values are excluded languages.
+SHARED = [
+    ("EnvInjection", "High", "ENV[]=, ENV.[]=, putenv, os.setenv, os.putenv, system.putenv", "{sink} sets the environment from {tainted_vars}"),
+    ("IgnoredPermission", "Hint", "File.chmod 0, chmod 0, File.chown 0, chown 0, File.chgrp 0, chgrp 0", "{sink} may fail without notice"),
+    ("NonAtomicFileOp", "Hint", "File.rename 0, rename 0, File.unlink 0, unlink 0", "{sink} leaves a gap in which others can act"),
+    ("TOCTOU", "Medium", "File.read 0, File.write 0, File.delete 0", "{sink} uses a file that may have changed since it was looked at"),
+    ("ScentLeakage", "Critical", "Logger.info, Logger.warn, Logger.error, Logger.debug, Logger.notice, Log.info, Log.warn, Log.error, Log.debug, Log.notice, puts, pp!, print, STDOUT.puts, STDOUT.write, STDERR.puts, STDERR.write, Log.write, IO.write", "{sink} may show what {tainted_vars} holds"),
+]
+#: Languages that a table's rules are kept to; None: those of the rule alone.
+TABLES = [(["elixir"], ELIXIR), (["javascript", "typescript"], JAVASCRIPT), (["rust"], RUST), (None, OCAML), (None, NIM), (None, SHARED)]
+#: Rules with patterns that must be the whole name, with languages of their own, or without a question of taint.
+EXACT = {("SilentErrorSwallow", "try"), ("TOCTOU", "open")}
+ONLY = {"SilentErrorSwallow": ["ocaml"]}
+EXCEPT = {"EnvInjection": ["crystal", "svelte"], "PrototypePollution": ["crystal", "svelte", "gleam", "rust", "ocaml", "elixir"]}
+PATTERN_ONLY = {"SilentErrorSwallow"}
+
+
+def language_rules_text() -> str:
+    """The rules in the rule language."""
+    out = []
+    for languages, table in TABLES:
+        for rule, severity, sinks, message in table:
+            lines = []
+            for sink in [*sinks.split(", "), *(f"{p} 0" for r, p in sorted(EXACT) if r == rule and p not in sinks)]:
+                name, _, arg = sink.rpartition(" ") if sink[-1:].isdigit() and " " in sink else (sink, "", "")
+                lines.append(f'        sink "{name}"' + (f" arg={arg}" if arg else "") + (' match="exact"' if (rule, name) in EXACT else ""))
+            keep = [f'include "{x}"' for x in ONLY.get(rule, languages or [])] + [f'exclude "{x}"' for x in EXCEPT.get(rule, [])]
+            head = f'rule "{rule}" severity="{severity}" {{\n' + (f"    languages {{ {'; '.join(keep)} }}\n" if keep else "")
+            conditions = "    conditions { skip_taint_check }\n" if rule in PATTERN_ONLY else ""
+            out.append(head + "    sinks {\n" + "\n".join(lines) + f'\n    }}\n{conditions}    message "{message}"\n}}\n')
+    return "\n".join(out)

@@ -17,6 +17,8 @@ LANGUAGES = {
 }
 ALWAYS_EXCLUDED = ["obj", "bin"]
 ROOT_EXCLUDED = ["node_modules", "_build", "build", "dist", "target", "deps", "vendor", "coverage"]
+#: A project with one of these keeps its dependencies in lib.
+SHARD_MANIFESTS = ["shard.yml"]
 CAP = 16 * 1024 * 1024
 
 
@@ -35,7 +37,8 @@ def discover(spark: SparkSession, root: str, langs: list[str] | None = None, inc
     base = F.lit("/" + root.rstrip("/").rsplit("/", 1)[-1] + "/")
     rel = F.substring_index("path", base, -1) if not re.match(r"^\w+://|^/", root) else F.expr(f"substring(path, instr(path, '{root.rstrip('/')}') + {len(root.rstrip('/')) + 1})")
     parts = F.split("rel", "/")
-    is_dep = F.element_at(parts, 1) == "lib"
+    manifest = not files.withColumn("rel", rel).where(F.col("rel").isin(*SHARD_MANIFESTS)).select("rel").isEmpty()
+    is_dep = (F.element_at(parts, 1) == "lib") & F.lit(manifest)
     out = files.withColumn("rel", rel).where(F.col("length") <= cap).where(~F.col("rel").rlike(r"(?:^|/)\.|\.svelte\.ts$"))
     out = out.where(~F.exists(parts, lambda p: p.isin(*ALWAYS_EXCLUDED)) & ~F.element_at(parts, 1).isin(*ROOT_EXCLUDED)).withColumn("lang", language(F.col("rel"))).where("lang IS NOT NULL")
     out = out.select(F.col("rel").alias("path"), "lang", is_dep.alias("is_dependency"), F.when(is_dep, F.element_at(parts, 2)).alias("dependency_name"), "content")
@@ -44,6 +47,11 @@ def discover(spark: SparkSession, root: str, langs: list[str] | None = None, inc
     return (out.where(F.col("lang").isin(*langs)) if langs else out).orderBy("path")
 
 
+def language_counts(files: DataFrame) -> DataFrame:
+    """(lang, n): source files by language, most first (A-13)."""
+    return files.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+
+
 def fingerprint(content: Column, schema: int = 1) -> Column:
     """A cache key that a new schema version invalidates (S-20)."""
     return F.concat(F.lit(f"v{schema}:"), F.md5(content))

@@ -135,3 +135,60 @@ def test_control_flow_equals_all_paths(spark):
     skipped = cfg.cfg_findings(il, rules, ("params",), ("clean",), params, limit=2).where("status = 'skipped'")
     assert skipped.count() > 0
     assert cfg.cfg_findings(il.limit(0), rules, ("params",), ("clean",), params).count() == 0
+
+
+def test_language_rules(spark):
+    from sparkhound.sources.default_rules import default_sinks
+    from sparkhound.sources.language_rules import language_rules_text
+    from sparkhound.sources.rules import parse_rules
+
+    rows = parse_rules(language_rules_text())
+    blocks = {(r["rule"], tuple(r["langs_in"])) for r in rows}
+    assert len(blocks) == 47 and ("CommandInjection", ("javascript", "typescript")) in blocks and ("SilentErrorSwallow", ("ocaml",)) in blocks
+    calls = [("HTTPoison.get", "elixir"), ("HTTPoison.get", "ruby"), ("fs.readFile", "typescript"), ("osproc.execProcess", "nim"), ("reqwest::get", "rust"), ("Marshal.from_string", "ocaml"), ("try", "ocaml"), ("retry", "ocaml")]
+    nodes = _nodes(spark, [("a", 1, "def", "f", [("var", "params")], {})] + [("a", k + 2, "call", name, [("var", "params")], {}) for k, (name, _) in enumerate(calls)])
+    nodes = nodes.withColumn("language", F.element_at(F.array(F.lit("x"), *[F.lit(x) for _, x in calls]), F.col("line")))
+    got = {(r["line"], r["rule"]) for r in matching.findings(nodes, default_sinks(spark), taint.analyse(nodes)).collect()}
+    assert {(2, "Elixir-SSRF"), (4, "PathTraversal"), (5, "NimCommandInjection"), (6, "RustSSRF"), (7, "OCamlMarshalDeserialization"), (7, "OCamlUnsafeOperations"), (8, "SilentErrorSwallow")} <= got
+    assert (3, "Elixir-SSRF") not in got and (9, "SilentErrorSwallow") not in got
+
+
+def test_xml_trees(spark):
+    import xml.etree.ElementTree as E
+
+    from sparkhound.sources.xml_trees import xml_trees
+
+    text = '<source_file srow="0" scol="0" erow="9" ecol="1"><def field="name" srow="1" scol="2" erow="3" ecol="4">a &lt; b<x/>tail</def><def>é😀<y><z/></y></def></source_file>'
+    docs = spark.createDataFrame([("a", text), ("b", "<r><broken></r>"), ("c", None), ("d", ""), ("e", '<!DOCTYPE r [<!ENTITY x "y">]><r>&x;</r>')], "file string, content string")
+    got = {}
+    for r in xml_trees(docs).orderBy("file", "node_id").collect():
+        got.setdefault(r["file"], []).append(r)
+    want, todo = [], [(E.fromstring(text), None, 0, 0)]
+    while todo:
+        node, parent, ix, depth = todo.pop()
+        want.append((len(want), parent, ix, depth, node.tag, (node.text or "").strip() + "".join((c.tail or "").strip() for c in node)))
+        todo += [(c, want[-1][0], k, depth + 1) for k, c in reversed(list(enumerate(node)))]
+    assert [(r["node_id"], r["parent_id"], r["child_ix"], r["depth"], r["tag"], r["text"]) for r in got["a"]] == want
+    assert [r["subtree_end"] for r in got["a"]] == [5, 2, 2, 5, 5, 5] and (got["a"][1]["line"], got["a"][1]["column"], got["a"][1]["field"]) == (2, 3, "name")
+    assert [r["tag"] for r in got["b"]] == ["r", "broken"] and "mismatched" in got["b"][0]["error"]
+    assert got["c"][0]["tag"] is None and got["c"][0]["error"] and len(got["d"]) == 1
+    assert got["e"][0]["text"] in ("", "y")
+
+
+def test_supply_chain_reports(spark):
+    import json
+
+    from sparkhound.plans import reports
+
+    audited = spark.createDataFrame([("a", "1", 2, "critical"), ("b", None, 0, "clean"), ("c", "3", 1, "warning")], "name string, version string, n_vulns long, level string")
+    known = spark.createDataFrame([("a", "X-2", "bad", "HIGH", False), ("a", "X-1", "worse", "CRITICAL", False), ("c", None, None, "", True)], "name string, id string, summary string, severity string, failed boolean")
+    out = json.loads(reports.supply_chain(audited, known))
+    assert out["summary"] == {"critical": 1, "warning": 1, "clean": 1} and [d["name"] for d in out["dependencies"]] == ["a", "c", "b"]
+    assert [a["id"] for a in out["dependencies"][0]["advisories"]] == ["X-1", "X-2"] and out["dependencies"][1]["advisories"] == []
+    from sparkhound.schema import FINDINGS
+
+    reach_ = ("Live", "http", "index", 2, [("a.cr", 3), ("b.cr", 9)])
+    found = spark.createDataFrame([("SSRF", "High", "b.cr", 9, "m", [], "crystal", None, reach_, None)], FINDINGS)
+    run = json.loads(reports.sarif(found, audited=audited))["runs"][0]
+    assert [r["ruleId"] for r in run["results"]] == ["SSRF", "dependency", "dependency"] and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["SSRF", "dependency"]
+    assert run["results"][0]["properties"]["reachability"]["path"] == ["a.cr:3", "b.cr:9"] and run["results"][1]["level"] == "error"

@@ -244,7 +244,11 @@ def test_project_files(spark, tmp_path):
         (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / f).write_text("x")
     got = [(r["path"], r["lang"]) for r in project.discover(spark, str(tmp_path)).collect()]
-    assert got == [("e.nim", "nim"), ("src/a.cr", "crystal")]
+    assert got == [("e.nim", "nim"), ("lib/dep/c.cr", "crystal"), ("src/a.cr", "crystal")]  # without a manifest lib is like any folder
+    (tmp_path / "shard.yml").write_text("name: x")
+    found = project.discover(spark, str(tmp_path))
+    assert [(r["path"], r["lang"]) for r in found.collect()] == [("e.nim", "nim"), ("src/a.cr", "crystal")]
+    assert [tuple(r) for r in project.language_counts(project.discover(spark, str(tmp_path), include_deps=True)).collect()] == [("crystal", 2), ("nim", 1)]
     assert project.discover(spark, str(tmp_path), ["crystal"], include_deps=True).select("dependency_name").where("is_dependency").first()[0] == "dep"
     conf = project.load_config('[analysis]\ncfg = true\n[claws.suppress]\nLongMethod = ["src/**"]\n', {"scan": {"path": "x"}})
     assert conf["analysis"]["cfg"] and conf["suppress"] == {"LongMethod": ["src/**"]} and conf["scan"]["path"] == "x"
