@@ -16,11 +16,24 @@ def function_scopes(nodes: DataFrame, kinds: tuple[str, ...] = ("def",)) -> Data
     )
 
 
+#: Scopes that scoped() works out once, by prefix.
+KINDS = {"scope": ("def",), "type": ("class", "module", "enum"), "class": ("class",)}
+
+
+def scoped(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with all scopes of KINDS from one shuffle by file; with_scope() takes them from there."""
+    for prefix, kinds in KINDS.items():
+        nodes = with_scope(nodes, kinds, prefix=prefix)
+    return nodes
+
+
 def with_scope(nodes: DataFrame, kinds: tuple[str, ...] = ("def",), strict: bool = False, prefix: str = "scope") -> DataFrame:
     """Adds ``{prefix}_name`` and ``{prefix}_line`` of the latest definition at or before a row (J-03, J-05).
 
     ``strict``: before the row only, so that a definition belongs to the previous one (J-04). One shuffle by file.
     """
+    if not strict and KINDS.get(prefix) == tuple(kinds) and f"{prefix}_line" in nodes.columns:
+        return nodes
     here = F.col("node_type").isin(*kinds)
     w = Window.partitionBy("file").orderBy("line", "ord").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     last = F.last(F.when(here, F.struct("name", "line")), ignorenulls=True).over(w)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import words as W
+from ..plans.fixpoint import durable
 from .reach import ancestors, components
-from .scopes import body_sizes, with_scope
+from .scopes import body_sizes, scoped, with_scope
 
 
 @dataclass(frozen=True)
@@ -288,9 +289,9 @@ def refused_bequest(classes: DataFrame, nodes: DataFrame, most: int = 10) -> Dat
 def knows_derived(classes: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
     """A base of three or more whose body names one of its children."""
     kids = classes.where("parent IS NOT NULL").select(F.col("parent").alias("name"), F.col("name").alias("child"))
-    inside = with_scope(nodes, ("class",), prefix="type").where("type_line IS NOT NULL AND node_type IN ('call', 'assign')").select(F.col("type_name").alias("name"), "file", "type_line", "line", F.col("name").alias("used"))
+    inside = with_scope(nodes, ("class",), prefix="class").where("class_line IS NOT NULL AND node_type IN ('call', 'assign')").select(F.col("class_name").alias("name"), "file", "class_line", "line", F.col("name").alias("used"))
     hit = inside.join(kids, "name").where(F.contains("used", "child")).join(children(classes).where(f"n_children >= {least}"), "name")
-    return hit.groupBy("name", "file", "type_line").agg(F.min("line").alias("line"), F.count_distinct("child").alias("n")).select(F.lit("BaseClassKnowsDerivedClass").alias("rule"), F.lit("Medium").alias("severity"), "file", "line", F.col("name").alias("subject"), F.col("n").alias("value"))
+    return hit.groupBy("name", "file", "class_line").agg(F.min("line").alias("line"), F.count_distinct("child").alias("n")).select(F.lit("BaseClassKnowsDerivedClass").alias("rule"), F.lit("Medium").alias("severity"), "file", "line", F.col("name").alias("subject"), F.col("n").alias("value"))
 
 
 def parallel_inheritance(classes: DataFrame) -> DataFrame:
@@ -305,8 +306,8 @@ def parallel_inheritance(classes: DataFrame) -> DataFrame:
 
 def anti_singleton(nodes: DataFrame) -> DataFrame:
     """Class variables assigned inside a class."""
-    hit = with_scope(nodes, ("class",), prefix="type").where("node_type = 'assign' AND name LIKE '@@%' AND type_line IS NOT NULL").where(~F.col("name").rlike("^@@(?:instance|mutex|lock|config|logger)"))
-    return hit.select(F.lit("AntiSingleton").alias("rule"), F.lit("Medium").alias("severity"), "file", "line", F.concat_ws(".", "type_name", "name").alias("subject"), F.lit(1).cast("bigint").alias("value"))
+    hit = with_scope(nodes, ("class",), prefix="class").where("node_type = 'assign' AND name LIKE '@@%' AND class_line IS NOT NULL").where(~F.col("name").rlike("^@@(?:instance|mutex|lock|config|logger)"))
+    return hit.select(F.lit("AntiSingleton").alias("rule"), F.lit("Medium").alias("severity"), "file", "line", F.concat_ws(".", "class_name", "name").alias("subject"), F.lit(1).cast("bigint").alias("value"))
 
 
 def data_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -337,8 +338,9 @@ def tree_first(tree: DataFrame, flat: DataFrame) -> DataFrame:
 
 
 def all_smells(nodes: DataFrame) -> DataFrame:
-    """Every node-table detector, one row for each (rule, file, line)."""
-    classes = class_table(nodes)
+    """Every node-table detector, one row for each (rule, file, line). Scopes and classes are worked out once."""
+    nodes = durable(scoped(nodes))
+    classes = durable(class_table(nodes))
     found = [
         high_complexity(nodes), long_method(nodes), spaghetti(nodes), long_parameter_list(nodes), deep_nesting(nodes), god_object(nodes), complex_conditional(nodes), message_chain(nodes),
         flag_argument(nodes), complex_match(nodes), dead_code(nodes), shotgun_surgery(nodes), hub_like_module(nodes), feature_envy(nodes), data_clumps(nodes), dry_violation(nodes),

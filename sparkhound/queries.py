@@ -528,7 +528,7 @@ def cfg_findings(spark, sf_dir):
 
 @query()
 def all_smells(spark, sf_dir):
-    return smells.all_smells(durable(nodes_of(spark, sf_dir)))
+    return smells.all_smells(nodes_of(spark, sf_dir))
 
 
 @query(

@@ -192,3 +192,22 @@ def test_supply_chain_reports(spark):
     run = json.loads(reports.sarif(found, audited=audited))["runs"][0]
     assert [r["ruleId"] for r in run["results"]] == ["SSRF", "dependency", "dependency"] and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["SSRF", "dependency"]
     assert run["results"][0]["properties"]["reachability"]["path"] == ["a.cr:3", "b.cr:9"] and run["results"][1]["level"] == "error"
+
+
+def test_all_smells_are_the_union_of_the_detectors(spark):
+    """Scopes worked out once give what each detector finds by itself, one row for each rule, file and line."""
+    from sparkhound.program_queries import program
+
+    nodes = program(spark, "/root/testdata/sf0.001").cache()
+    classes = smells.class_table(nodes).cache()
+    by_nodes = [smells.high_complexity, smells.long_method, smells.spaghetti, smells.long_parameter_list, smells.deep_nesting, smells.god_object, smells.complex_conditional, smells.message_chain, smells.flag_argument, smells.complex_match, smells.dead_code, smells.shotgun_surgery, smells.hub_like_module, smells.feature_envy, smells.data_clumps, smells.dry_violation, smells.orphaned_spawn, smells.muted_pack, smells.dead_letter, smells.anti_singleton]
+    by_classes = [smells.lazy_class, smells.large_class, smells.blob, smells.base_class_should_be_abstract, smells.speculative_generality, smells.deep_inheritance, smells.tradition_breaker, smells.parallel_inheritance]
+    found = [f(nodes) for f in by_nodes] + [f(classes) for f in by_classes] + [smells.refused_bequest(classes, nodes), smells.knows_derived(classes, nodes), smells.data_class(nodes, classes)]
+    want = {}
+    for df in found:
+        for r in df.collect():
+            key = (r["rule"], r["file"], r["line"])
+            want[key] = min(want.get(key, (r["subject"], r["severity"], r["value"])), (r["subject"], r["severity"], r["value"]))
+    got = smells.all_smells(nodes).collect()
+    assert len(got) == len(want) and {(r["rule"], r["file"], r["line"]): (r["subject"], r["severity"], r["value"]) for r in got} == want
+    assert len({k[0] for k in want}) >= 15
