@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import keep, numbered, unpacked, without
+from .store import keep, numbered, small_batches, unpacked, without
 
 SEED = 42
 BITS = 2
@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     never expanded into pairs. A null doc_id is never a component's id unless all its rows have none. An empty table gives
     an empty result; columns besides doc_id and text are left out.
     """
-    rows = keep(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "_fp"), "fingerprints")
+    with small_batches(docs.sparkSession):
+        rows = keep(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "_fp"), "fingerprints")
     return rows.join(classes(rows, bits), "_fp").select("doc_id", "_fp", "component_id")
 
 
@@ -167,7 +168,8 @@ def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> Da
     """
     used = ["doc_id", "text"]
     all_ = numbered(docs, used, "rows")
-    rows = keep(fingerprints(all_, shingle).select("doc_id", "_row", "_fp"), "fingerprints")
+    with small_batches(docs.sparkSession):
+        rows = keep(fingerprints(all_, shingle).select("doc_id", "_row", "_fp"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     least = rows.groupBy("_fp").agg(first.alias("least"))
     tree = components(links(rows, bits)).withColumnsRenamed({"node": "_fp"})

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .graph import components
 from .simhash import as_signed, from_hashes, hashes
 from .simhash import links as simhash_links
-from .store import forget, keep, likely, numbered, sliced, unpacked, without
+from .store import forget, keep, likely, numbered, sliced, small_batches, unpacked, without
 
 SHINGLE = 5
 #: Similarity 0.8 as a fraction of whole numbers, so that the bound itself is met exactly.
@@ -293,7 +293,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     used = ["doc_id", "text"]
     all_ = numbered(docs, used, "rows")
-    dropped = _dropped(all_)
+    with small_batches(docs.sparkSession):
+        dropped = _dropped(all_)
     return unpacked(without(all_, dropped), docs.columns, used)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -129,6 +130,18 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """What is computed inside crosses to Python so many rows at a time; the session's own setting holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sliced(batches, rows: int = 500):
     """Batches of at most ``rows`` rows: what Python holds at once stays small. Spark itself bounds a batch's bytes."""
     for b in batches:

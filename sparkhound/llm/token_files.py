@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .store import forget, keep, own_dir, shuffle_parts, sliced
+from .store import forget, keep, own_dir, shuffle_parts, sliced, small_batches
 
 MAGIC = b"TKF1"
 END = 1
@@ -279,14 +279,16 @@ def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
 def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end: int = END) -> None:
     """Write all documents' ids to token files in the folder ``path``, which must not exist."""
     width = int(word_tokens(tokenizer_file).type[2:])
-    tokens = keep(tokenized(docs, tokenizer_file, end), "tokens")
+    with small_batches(docs.sparkSession):
+        tokens = keep(tokenized(docs, tokenizer_file, end), "tokens")
     write_files(tokens, np.argsort(-id_counts(tokens, width), kind="stable"), width, path)
     forget(tokens)
 
 
 def index_of(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the token files in a folder, as read back from them."""
-    back = keep(read_files(*opened(spark, path)), "token-index")
+    with small_batches(spark, 16):
+        back = keep(read_files(*opened(spark, path)), "token-index")
     at, starts = 0, []
     for part, n in sorted(tuple(r) for r in back.groupBy("part").agg(F.sum("n_tokens")).collect()):
         starts.append((part, at))
