@@ -21,7 +21,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id (of repeated rows, the first).
 
-    Documents are near duplicates if at least 0.8 of their runs of five words are common to both.
+    Documents are near duplicates if at least 0.8 of their runs of five words are common to both. SimHash links come first, an
+    exact index finds the pairs whose fingerprints differ in more bits than those allow.
     """
     return similar.one_of_each(docs)
 
@@ -32,7 +33,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them: none, once or several times, whole or in part."""
+    """The mix itself: its blocks in the order of output shards and slots, a row for each document's part of a block."""
     return mixing.mixed_documents(docs)
 
 
