@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: each over its whole table, with production parameters."""
+"""Registered queries of the operators: each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, licences, mixing, mtree, pieces, pii, quality, sharding, simhash, token_files
+from . import anisotropic, audit, licences, mixing, mtree, pieces, pii, quality, ranked, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,25 @@ def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str | None
     return token_files.token_file_index(docs, tokenizer_file or public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_licences, op4_mixing, op5_pii, op6_anisotropic, op7_quality, op8_mtree, op9_token_files, op10_sharding)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_simhash, op3_licences, op4_mixing, op5_pii, op6_anisotropic, op7_quality, op8_mtree, op9_token_files, op10_sharding,
+        op12_filter_audit, op13_ranked_search,
+    )
+}
 ORACLES: dict[str, str] = {
     "op3_licences": licences.oracle(),
+    "op12_filter_audit": audit.ORACLE,
+    "op13_ranked_search": ranked.ORACLE,
     # floor(256 x) and integer inner products over whole tables
     "op8_mtree": """
         WITH v AS (
