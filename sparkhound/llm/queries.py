@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, audit, licences, mixing, mtree, pieces, pii, quality, ranked, sharding, simhash, token_files
+from . import anisotropic, audit, jaccard, licences, mixing, mtree, pieces, pii, quality, ranked, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str | None
     return token_files.token_file_index(docs, tokenizer_file or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes_of(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -68,11 +72,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_simhash, op3_licences, op4_mixing, op5_pii, op6_anisotropic, op7_quality, op8_mtree, op9_token_files, op10_sharding,
-        op12_filter_audit, op13_ranked_search,
+        op11_jaccard_join, op12_filter_audit, op13_ranked_search,
     )
 }
 ORACLES: dict[str, str] = {
     "op3_licences": licences.oracle(),
+    "op11_jaccard_join": jaccard.ORACLE,
     "op12_filter_audit": audit.ORACLE,
     "op13_ranked_search": ranked.ORACLE,
     # floor(256 x) and integer inner products over whole tables
