@@ -32,7 +32,7 @@ def expressions(trees: DataFrame, rules: DataFrame) -> DataFrame:
     A function outside of all functions begins a tree of its own, called name@node_id; rows outside are in the tree "" of their file. What a
     name is reached through, such as the call in ``f(x).g``, has child_ix -1. Files without nodes give no rows.
     """
-    t = trees.where("node_id IS NOT NULL").select("language", "file", "node_id", "pre_order", "subtree_end", "tag", "field", F.coalesce("text", F.lit("")).alias("text"), "line").repartition("file")
+    t = trees.where("node_id IS NOT NULL").select("language", "file", "node_id", "pre_order", "subtree_end", "tag", "field", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("line", F.lit(0)).alias("line")).repartition("file")
     t = _with_rules(t, rules)
     leaf = F.col("pre_order") == F.col("subtree_end")
     kind = F.when(F.col("rule").isNull() & leaf & (F.col("text") != ""), "var").otherwise(F.col("rule.kind"))

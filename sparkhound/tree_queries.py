@@ -17,14 +17,14 @@ from .sources.xml_trees import parse, xml_trees
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_GLEAM_CALL = '<function_call field="value"><identifier field="function">{f}</identifier><arguments field="arguments"><argument>{a}</argument></arguments></function_call>'
+_GLEAM_CALL = '<function_call srow="@l" field="value"><identifier field="function">{f}</identifier><arguments field="arguments"><argument>{a}</argument></arguments></function_call>'
 _GLEAM_LET = '<let><identifier field="pattern">v@v</identifier>{value}</let>'
-_JS_CALL = '<call_expression field="value"><identifier field="function">{f}</identifier><arguments field="arguments">{a}</arguments></call_expression>'
+_JS_CALL = '<call_expression srow="@l" field="value"><identifier field="function">{f}</identifier><arguments field="arguments">{a}</arguments></call_expression>'
 _JS_LET = '<lexical_declaration><variable_declarator><identifier field="name">v@v</identifier>{value}</variable_declarator></lexical_declaration>'
 _VAR, _OTHER = "<identifier>v@v</identifier>", "<identifier>v@w</identifier>"
 _GLEAM_TEXT = '<string><quoted_content>k@k</quoted_content></string>'
 _JS_TEXT = '<string><string_fragment>k@k</string_fragment></string>'
-#: Statements by language; @v and @w are variables' numbers, @k a key's.
+#: Statements by language; @v and @w are variables' numbers, @k a key's, @l the line's.
 STATEMENTS = {
     "gleam": [
         _GLEAM_LET.format(value=_GLEAM_CALL.format(f="get_param", a=_GLEAM_TEXT)),
@@ -34,7 +34,7 @@ STATEMENTS = {
         f'<case><case_subjects field="subjects">{_OTHER}</case_subjects><case_clauses field="clauses"><case_clause><case_clause_patterns field="patterns"><p><integer>1</integer></p></case_clause_patterns>{_GLEAM_CALL.format(f="exec", a=_VAR)}</case_clause>'
         f'<case_clause>{_GLEAM_LET.format(value=_OTHER)}</case_clause><case_clause>{_GLEAM_CALL.format(f="exec", a=_OTHER)}</case_clause></case_clauses></case>',
         _GLEAM_LET.format(value=f'<binary_expression field="value">++{_GLEAM_TEXT}{_OTHER}</binary_expression>'),
-        '<function_call><field_access field="function">' + _GLEAM_CALL.format(f="open", a=_OTHER).replace('"value"', '"record"') + '<label field="field">send</label></field_access><arguments field="arguments"><argument>'
+        '<function_call srow="@l"><field_access field="function">' + _GLEAM_CALL.format(f="open", a=_OTHER).replace('"value"', '"record"') + '<label field="field">send</label></field_access><arguments field="arguments"><argument>'
         + _GLEAM_CALL.format(f="trim", a=_VAR) + "</argument><argument><field_access><identifier field=\"record\">v@w</identifier><label field=\"field\">host</label></field_access></argument></arguments></function_call>",
         f"<comment>none</comment><block>{_GLEAM_LET.format(value=_OTHER)}{_GLEAM_CALL.format(f='exec', a=_VAR)}</block>",
     ],
@@ -46,7 +46,7 @@ STATEMENTS = {
         f'<if_statement><parenthesized_expression field="condition"><binary_expression>==<identifier field="left">v@w</identifier><number field="right">@k</number></binary_expression></parenthesized_expression>'
         f'<statement_block field="consequence">{_JS_LET.format(value=_JS_CALL.format(f="escape", a=_OTHER))}</statement_block><else_clause field="alternative"><statement_block>{_JS_CALL.format(f="exec", a=_VAR)}</statement_block></else_clause></if_statement>',
         _JS_LET.format(value=f'<ternary_expression field="value">{_VAR}{_OTHER}{_JS_TEXT}</ternary_expression>'),
-        f'<expression_statement><call_expression><member_expression field="function"><identifier field="object">list</identifier><property_identifier field="property">map</property_identifier></member_expression><arguments field="arguments"><arrow_function>'
+        f'<expression_statement><call_expression srow="@l"><member_expression field="function"><identifier field="object">list</identifier><property_identifier field="property">map</property_identifier></member_expression><arguments field="arguments"><arrow_function>'
         f"<formal_parameters><identifier>v@v</identifier></formal_parameters>{_JS_CALL.format(f='exec', a=_VAR)}</arrow_function></arguments></call_expression></expression_statement>",
         f'<try_statement><statement_block>{_JS_LET.format(value=_JS_CALL.format(f="load", a=_OTHER))}</statement_block><catch_clause><statement_block></statement_block></catch_clause></try_statement>',
     ],
@@ -66,7 +66,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = F.map_from_arrays(F.array(*[F.lit(x) for x in STATEMENTS]), F.array(*[F.array(*[F.lit(t) for t in ts]) for ts in STATEMENTS.values()]))
     template = F.get(by[language], (F.col("l_partkey") % KINDS).cast("int"))
     number = lambda c, n: (F.col(c) % n).cast("long").cast("string")
-    text = F.replace(F.replace(F.replace(template, F.lit("@v"), number("l_partkey", 7)), F.lit("@w"), number("l_suppkey", 7)), F.lit("@k"), number("l_suppkey", 5))
+    text = template
+    for place, value in (("@v", number("l_partkey", 7)), ("@w", number("l_suppkey", 7)), ("@k", number("l_suppkey", 5)), ("@l", F.col("l_linenumber").cast("string"))):
+        text = F.replace(text, F.lit(place), value)
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", text.alias("text"))
     d = li.groupBy("l_orderkey", language.alias("language")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["text"]), "").alias("body"))
     pick = lambda parts: F.when(F.col("language") == "gleam", parts["gleam"]).otherwise(parts["javascript"])
@@ -154,3 +156,54 @@ def _expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_expressions(spark, sf_dir):
     """Syntax trees of two languages as expression rows."""
     return _expressions(spark, sf_dir).select("file", "fn_id", "expr_id", "parent_id", "child_ix", "kind", "name", "literal_kind", "literal", "op", "depth", "subtree_end")
+
+
+#: The same events, sorted by paths from the root instead of positions.
+STATEMENTS_SQL = """,
+walk(file, expr_id, path, owner, used) AS (
+    SELECT file, expr_id, [expr_id], NULL::BIGINT, false FROM expr WHERE parent_id IS NULL
+    UNION ALL
+    SELECT e.file, e.expr_id, list_append(w.path, e.expr_id), CASE WHEN p.kind IN ('function', 'lambda') THEN p.expr_id ELSE w.owner END,
+        CASE WHEN p.kind IN ('app', 'binary', 'unary', 'let', 'assign', 'return', 'raise', 'field', 'tuple', 'list', 'record', 'error') THEN true
+            WHEN p.kind = 'block' AND e.child_ix = p.top OR p.kind IN ('if', 'ternary', 'case', 'while') AND e.child_ix > 0 THEN w.used ELSE false END
+    FROM walk w JOIN (SELECT e.*, (SELECT max(child_ix) FROM expr c WHERE c.file = e.file AND c.parent_id = e.expr_id) AS top FROM expr e) p ON p.file = w.file AND p.expr_id = w.expr_id
+    JOIN expr e ON e.file = p.file AND e.parent_id = p.expr_id),
+named AS (
+    SELECT e.*, w.path, w.used, w.owner, CASE WHEN kind IN ('var', 'field', 'param') AND subtree_end = e.expr_id AND name <> '' THEN name WHEN kind = 'literal' THEN concat('"', literal, '"') ELSE concat('%', e.expr_id) END AS operand
+    FROM expr e JOIN walk w USING (file, expr_id)),
+kids AS (SELECT file, parent_id AS expr_id, count(*) AS n, list(operand ORDER BY expr_id) AS vals, coalesce(list(operand ORDER BY expr_id) FILTER (child_ix >= 0), []) AS args, max(child_ix) AS top FROM named WHERE parent_id IS NOT NULL GROUP BY ALL),
+il_rows AS (
+    SELECT n.file, n.fn_id, n.owner, n.expr_id, n.path, n.kind, n.name, n.op, n.used, n.operand, n.child_ix, n.parent_id, coalesce(k.n, 0) AS n_kids, coalesce(k.vals, []) AS vals, coalesce(k.args, []) AS args, p.kind AS p_kind, pk.top AS p_top,
+        list_append(n.path, 1000000000) AS leave
+    FROM named n LEFT JOIN kids k ON k.file = n.file AND k.expr_id = n.expr_id LEFT JOIN expr p ON p.file = n.file AND p.expr_id = n.parent_id LEFT JOIN kids pk ON pk.file = n.file AND pk.expr_id = n.parent_id WHERE n.owner IS NOT NULL),
+events AS (
+    SELECT file, fn_id, owner, path AS place, 0 AS step, 'else' AS kind, NULL AS lhs, NULL AS callee, [] AS args FROM il_rows WHERE p_kind IN ('if', 'ternary', 'while') AND child_ix = 2
+    UNION ALL SELECT file, fn_id, owner, path, 0, 'branch', NULL, NULL, [] FROM il_rows WHERE p_kind = 'case' AND child_ix >= 1 AND child_ix < p_top
+    UNION ALL SELECT file, fn_id, owner, leave, 0, 'call', NULL, name, args FROM il_rows WHERE kind = 'app'
+    UNION ALL SELECT file, fn_id, owner, leave, 1, 'assign', concat('%', expr_id), CASE WHEN kind = 'app' THEN name WHEN kind IN ('binary', 'unary') THEN op END, CASE WHEN kind <> 'block' THEN vals WHEN n_kids = 0 THEN [] ELSE vals[len(vals):len(vals)] END
+        FROM il_rows WHERE used AND (kind IN ('app', 'binary', 'unary', 'tuple', 'list', 'record', 'block') OR kind = 'field' AND n_kids > 0)
+    UNION ALL SELECT file, fn_id, owner, leave, 2, 'assign', name, NULL, vals FROM il_rows WHERE kind IN ('let', 'assign') AND name <> ''
+    UNION ALL SELECT file, fn_id, owner, leave, 3, 'return', NULL, NULL, vals FROM il_rows WHERE kind IN ('return', 'raise', 'error')
+    UNION ALL SELECT file, fn_id, owner, leave, 3, 'call', NULL, 'try', ['%try'] FROM il_rows WHERE kind = 'try'
+    UNION ALL SELECT file, fn_id, owner, leave, 7, 'assign', concat('%', parent_id), NULL, [operand] FROM il_rows WHERE p_kind IN ('if', 'ternary', 'while', 'case') AND child_ix > 0 AND used
+    UNION ALL SELECT file, fn_id, owner, leave, 8, 'branch', NULL, NULL, [operand] FROM il_rows WHERE p_kind IN ('if', 'ternary', 'while') AND child_ix = 0
+    UNION ALL SELECT file, fn_id, owner, leave, 9, 'else', NULL, NULL, [] FROM il_rows WHERE p_kind = 'case' AND child_ix >= 1 AND child_ix < p_top
+    UNION ALL SELECT file, fn_id, owner, leave, 4, 'end', NULL, NULL, [] FROM il_rows WHERE kind IN ('if', 'ternary', 'while') AND n_kids > 0
+    UNION ALL SELECT file, fn_id, owner, leave, 4, 'end', NULL, NULL, [] FROM il_rows, range(1, greatest(n_kids - 1, 1)) WHERE kind = 'case'),
+il AS (SELECT file, CASE WHEN owner = 0 THEN fn_id ELSE concat(fn_id, '/', owner) END AS fn, row_number() OVER (PARTITION BY file, owner ORDER BY place, step) AS ord, kind, lhs, callee, args FROM events)"""
+
+
+@query(STATEMENTS_SQL + " SELECT file, fn, ord, kind, lhs, callee, array_to_string(args, ', ') AS args FROM il")
+def tree_statements(spark, sf_dir):
+    """The statements of the trees' functions in order, with temporaries and branches."""
+    return lowering.lower(_expressions(spark, sf_dir)).select("file", "fn", "ord", "kind", "lhs", "callee", F.array_join("args", ", ").alias("args"))
+
+
+SINKS = [{"rule": "CommandInjection", "pattern": "exec", "match": "exact", "arg": 0, "sanitizers": []}]
+
+
+@query()
+def tree_flow_findings(spark, sf_dir):
+    """Sinks reached by taint along the control flow of the trees' functions: from source text to finding."""
+    exprs = durable(_expressions(spark, sf_dir))
+    return cfg.cfg_findings(lowering.lower(exprs), SINKS, ("get_param", "user_"), ("escape",), lowering.parameters(exprs))
