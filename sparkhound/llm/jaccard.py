@@ -91,6 +91,26 @@ def apart(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.abs(folded(a, size) - folded(b, size)).sum())
 
 
+class Apart:
+    """apart() of one set and several, each pair at the parts that both have, PARTS at most."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts, self.size, self.folds = parts, np.minimum([len(p) for p in parts], PARTS), {}
+
+    def least(self, k: int, at: np.ndarray) -> np.ndarray:
+        out, sizes = np.zeros(len(at), np.int64), np.minimum(self.size[at], self.size[k])
+        for size in np.unique(sizes).tolist():
+            if size not in self.folds:
+                own = np.flatnonzero(self.size >= size)
+                place = np.full(len(self.parts), -1)
+                place[own] = np.arange(len(own))
+                self.folds[size] = place, np.array([folded(self.parts[j], size) for j in own]).astype(np.int32)
+            place, counts = self.folds[size]
+            some = sizes == size
+            out[some] = np.abs(counts[place[at[some]]] - counts[place[k]]).sum(1)
+        return out
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * both >= NUM * (len(a) + len(b) - both)
@@ -184,13 +204,12 @@ def _with_pivots(texts: DataFrame, nodes: DataFrame, met: DataFrame, size: int)
 def _may(n: np.ndarray, i: np.ndarray, c: np.ndarray, parts: list[bytes]) -> np.ndarray:
     """Members of a posting with a possible partner in another component."""
     out = np.zeros(len(n), bool)
-    size = min([PARTS, *map(len, parts)])
-    counts = np.array([folded(np.frombuffer(p, np.uint8), size) for p in parts]).astype(np.int32)
+    apart_ = Apart([np.frombuffer(p, np.uint8) for p in parts])
     for k in range(len(n)):
         both = n + n[k]
         like = (c != c[k]) & (np.maximum(n, n[k]) * NUM <= np.minimum(n, n[k]) * DEN) & ((NUM + DEN) * np.minimum(n - i, n[k] - i[k]) >= NUM * both)
         at = np.flatnonzero(like)
-        out[k] = len(at) and (np.abs(counts[at] - counts[k]).sum(1) <= _most_apart(n[at], n[k])).any()
+        out[k] = len(at) and (apart_.least(k, at) <= _most_apart(n[at], n[k])).any()
     return out
 
 
@@ -236,8 +255,7 @@ def joined(nodes: list[int], comps: list[int], sets: list[np.ndarray], own: list
     order = [ordered(x, classes) for x in sets]
     prefixes = [x[: prefix_length(len(x))] for x in order]
     here = [np.isin(x, o) for x, o in zip(prefixes, own, strict=True)]
-    least = min(PARTS, *(len(parts_of(x)) for x in sets))
-    parts = np.array([folded(parts_of(x), least) for x in sets]).astype(np.int32)
+    apart_ = Apart([parts_of(x) for x in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     by = np.argsort(flat, kind="stable")
@@ -259,7 +277,7 @@ def joined(nodes: list[int], comps: list[int], sets: list[np.ndarray], own: list
         n, m = len(x), sizes[:k]
         ok = mine & (at_k >= 0) & (comp[:k] != comp[k]) & (np.maximum(n, m) * NUM <= np.minimum(n, m) * DEN) & ((NUM + DEN) * np.minimum(n - at_k, m - at_j) >= NUM * (n + m))
         left = np.flatnonzero(ok)
-        left = left[np.abs(parts[left] - parts[k]).sum(1) <= _most_apart(n, m[left])] if len(left) else left
+        left = left[apart_.least(k, left) <= _most_apart(n, m[left])] if len(left) else left
         if not len(left):
             continue
         at = np.searchsorted(words, x)
