@@ -1,7 +1,7 @@
 """Expression trees as rows: reader, projection to nodes, tree smells and lint templates.
 
-A tree row has its pre-order number and the number of its subtree's last row, so "inside" is a range test within one function
-and most detectors are an aggregate or a parent-child equi-join.
+A tree row has its pre-order number and the number of its subtree's last row. What is open around a row is counted by windows
+(intervals); most other detectors are an aggregate or a parent-child equi-join. No row is compared with all others of its function.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..schema import ARG, EXPRS
+from .intervals import with_level, within
 
 _COLUMNS = [c.split()[0] for c in EXPRS.split(", ")]
 _BY = ["file", "fn_id"]
@@ -66,10 +67,9 @@ def with_kids(exprs: DataFrame) -> DataFrame:
 
 def subtree_vars(exprs: DataFrame) -> DataFrame:
     """(file, fn_id, expr_id, vars): variables inside composite expressions, sixteen levels deep at most (P-02)."""
-    tops = exprs.where("kind IN ('binary', 'unary')").select(*_BY, "expr_id", "pre_order", "subtree_end", "depth")
-    v = exprs.where("kind = 'var'").select(*_BY, F.col("name").alias("var"), F.col("pre_order").alias("p"), F.col("depth").alias("d"))
-    inside = tops.join(v, _BY).where("p > pre_order AND p <= subtree_end AND d <= depth + 16")
-    return inside.groupBy(*_BY, "expr_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "var"))), lambda x: x["var"]).alias("vars"))
+    composite = F.col("kind").isin("binary", "unary")
+    inside = within(exprs, _BY, composite, F.col("kind") == "var", [F.col("expr_id"), F.col("depth")]).where("depth <= outer.depth + 16")
+    return inside.groupBy(*_BY, F.col("outer.expr_id").alias("expr_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pre_order", "name"))), lambda x: x["name"]).alias("vars"))
 
 
 def to_nodes(exprs: DataFrame, language: str = "") -> DataFrame:
@@ -96,7 +96,7 @@ def to_nodes(exprs: DataFrame, language: str = "") -> DataFrame:
         F.when(F.col("kind") == "function", params)
         .when(F.col("kind") == "case", F.array(one(F.lit("literal"), F.size("kids").cast("string"))))
         .when(F.col("kind") == "import", F.array(one(F.lit("literal"), F.col("name"))))
-        .when(F.col("kind").isin("app", "let", "assign"), F.transform("kids", kid))
+        .when(F.col("kind").isin("app", "let", "assign"), F.transform(F.filter("kids", lambda k: k["child_ix"] >= 0), kid))
         .otherwise(F.array().cast(f"array<{ARG}>"))
     )
     out = rows.withColumns({"node_type": kind, "n": name, "args": args}).where("node_type IS NOT NULL")
@@ -153,18 +153,15 @@ def followed_by(exprs: DataFrame, first: Column, then: Column, rule: str, severi
 
 def nested_deeper(exprs: DataFrame, which: Column, least: int, rule: str, severity: str) -> DataFrame:
     """A6: chains of at least ``least`` rows of a kind, each directly inside another such row."""
-    mine = exprs.where(which)
-    up = mine.select(*_BY, F.col("expr_id").alias("a_id"), F.col("pre_order").alias("a"), F.col("subtree_end").alias("b"))
-    inside = mine.join(up, _BY).where("pre_order >= a AND pre_order <= b")
-    deep = inside.groupBy(*_BY, "expr_id", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    deep = with_level(exprs.where(which), _BY, F.lit(True), "n").withColumn("n", F.col("n_level") + 1).where(F.col("n") >= least)
     return _hit(deep, rule, severity, F.col("n").cast("string"))
 
 
 def unused_bindings(exprs: DataFrame, rule: str = "unused-binding", severity: str = "Hint") -> DataFrame:
     """A7: bound names that nothing later in the function reads; names that begin with _ are meant to be unused."""
     bound = exprs.where("kind IN ('let', 'param') AND name NOT LIKE '\\_%'")
-    used = exprs.where("kind IN ('var', 'app', 'field')").select(*_BY, P.first_segment(F.col("name")).alias("name"), F.col("pre_order").alias("at"))
-    return _hit(bound.join(used.withColumnsRenamed({"file": "f", "fn_id": "g", "name": "n"}), F.expr("file = f AND fn_id = g AND name = n AND at > pre_order"), "left_anti"), rule, severity)
+    last = exprs.where("kind IN ('var', 'app', 'field')").groupBy(*_BY, P.first_segment(F.col("name")).alias("name")).agg(F.max("pre_order").alias("at"))
+    return _hit(bound.join(last, [*_BY, "name"], "left").where("at IS NULL OR at <= pre_order"), rule, severity)
 
 
 def shadowed(exprs: DataFrame, rule: str = "shadow-variable", severity: str = "Hint") -> DataFrame:
@@ -179,10 +176,10 @@ def shadowed(exprs: DataFrame, rule: str = "shadow-variable", severity: str = "H
 def complexity(exprs: DataFrame, limits: tuple[int, int] = (10, 20)) -> DataFrame:
     """One more than the decisions; an if with else counts two, a case its branches; conditions are not looked into."""
     rows = with_kids(exprs)
-    cond = rows.where("kind IN ('if', 'case') AND size(kids) > 0").select(*_BY, F.col("kids")[0]["pre_order"].alias("c1"), F.col("kids")[0]["subtree_end"].alias("c2"))
+    asked = rows.where("kind IN ('if', 'case') AND size(kids) > 0").select(*_BY, F.col("kids")[0]["expr_id"].alias("expr_id"), F.lit(True).alias("asked"))
     score = F.when(F.col("kind") == "if", F.when(F.size("kids") > 2, 2).otherwise(1)).when(F.col("kind") == "case", F.greatest(F.size("kids") - 1, F.lit(0))).when((F.col("kind") == "binary") & F.col("op").isin("&&", "||"), 1)
-    open_ = rows.withColumn("score", score).where("score IS NOT NULL").alias("r")
-    free = open_.join(cond.alias("c"), F.expr("r.file = c.file AND r.fn_id = c.fn_id AND r.pre_order BETWEEN c1 AND c2"), "left_anti")
+    marked = rows.withColumn("score", score).join(asked, [*_BY, "expr_id"], "left")
+    free = with_level(marked, _BY, F.col("asked"), "c").where("score IS NOT NULL AND asked IS NULL AND c_level = 0")
     n = free.groupBy(*_BY).agg((F.sum("score") + 1).alias("n"), F.min("line").alias("line"))
     sev = F.when(F.col("n") >= limits[1], "High").when(F.col("n") >= limits[0], "Medium")
     return _hit(n.withColumn("s", sev).where("s IS NOT NULL"), "HighComplexity", F.col("s"), F.col("n").cast("string"))
@@ -201,8 +198,7 @@ def empty_catch(exprs: DataFrame) -> DataFrame:
 
 
 def return_from_finally(exprs: DataFrame) -> DataFrame:
-    ends = exprs.where("kind = 'ensure'").select(*_BY, F.col("pre_order").alias("a"), F.col("subtree_end").alias("b"))
-    return _hit(exprs.where("kind = 'return'").join(ends, _BY).where("pre_order > a AND pre_order <= b").dropDuplicates([*_BY, "expr_id"]), "ReturnFromFinally", "High")
+    return _hit(with_level(exprs.where("kind IN ('return', 'ensure')"), _BY, F.col("kind") == "ensure", "e").where("kind = 'return' AND e_level > 0"), "ReturnFromFinally", "High")
 
 
 def float_equality(exprs: DataFrame) -> DataFrame:
@@ -213,10 +209,12 @@ def duplicate_trees(exprs: DataFrame, length: int = 40, depth: int = 4, least: i
     """(hash, n, files, file, line): subtrees equal up to variable names, long enough and not too deep, at four places in two files (P-12)."""
     text = F.concat_ws(":", "kind", F.when(F.col("kind").isin("var", "param", "let", "assign"), "_").otherwise(F.col("name")), F.coalesce("op", F.lit("")), F.coalesce("literal", F.lit("")))
     rows = exprs.select(*_BY, "expr_id", "line", "depth", "pre_order", "subtree_end", text.alias("t"))
-    tops = rows.where("subtree_end > pre_order")
-    inside = rows.select(*_BY, F.col("pre_order").alias("p"), F.col("depth").alias("d"), F.col("t").alias("x"))
-    part = tops.join(inside, _BY).where(f"p BETWEEN pre_order AND subtree_end AND d <= depth + {depth}")
-    form = part.groupBy(*_BY, "expr_id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", (F.col("d") - F.col("depth")).alias("l"), "x"))), lambda s: F.concat_ws("/", s["l"], s["x"])), " ").alias("form"))
+    top = F.col("subtree_end") > F.col("pre_order")
+    at = [F.col(c) for c in ("expr_id", "line", "depth")]
+    # a row is in its own tree and in those of the nearest rows around it, as many as the depth allows
+    part = within(rows, _BY, top, F.lit(True), at, depth).unionByName(rows.where(top).withColumn("outer", F.struct(*at)))
+    part = part.select(*_BY, "outer.expr_id", "outer.line", F.struct(F.col("pre_order").alias("p"), (F.col("depth") - F.col("outer.depth")).alias("l"), F.col("t").alias("x")).alias("s"))
+    form = part.where(f"s.l <= {depth}").groupBy(*_BY, "expr_id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: F.concat_ws("/", s["l"], s["x"])), " ").alias("form"))
     n = form.where(F.length("form") >= length).groupBy(F.md5("form").alias("hash")).agg(F.count_distinct("file", "line").alias("n"), F.count_distinct("file").alias("files"), F.min(F.struct("file", "line")).alias("at"))
     return n.where(f"n >= {least} AND files >= 2").select("hash", "n", "files", "at.file", "at.line")
 

@@ -35,10 +35,14 @@ def with_nearest(rows: DataFrame, keys: list[str], which: Column, prefix: str, t
     return found.withColumn(prefix, F.when(F.col(level) > 0, F.col(prefix))).drop("_mark", "_q")
 
 
-def within(rows: DataFrame, keys: list[str], outer: Column, inner: Column, take: list[Column]) -> DataFrame:
-    """One row for each row that meets ``inner`` and each row that meets ``outer`` around it, with the latter's columns as the struct ``outer``."""
+def within(rows: DataFrame, keys: list[str], outer: Column, inner: Column, take: list[Column], nearest: int | None = None) -> DataFrame:
+    """One row for each row that meets ``inner`` and each row that meets ``outer`` around it, with the latter's columns as the struct ``outer``.
+
+    ``nearest``: only so many of them, from the inside.
+    """
     leveled = with_level(rows.withColumn("_mark", F.coalesce(outer, F.lit(False))), keys, F.col("_mark"), "_o")
-    ask = F.when(F.coalesce(inner, F.lit(False)) & (F.col("_o_level") > 0), F.transform(F.sequence(F.lit(1), F.col("_o_level")), lambda b: F.struct(b.alias("b"), F.lit(True).alias("asks"))))
+    first = F.lit(1) if nearest is None else F.greatest(F.lit(1), F.col("_o_level") - (nearest - 1))
+    ask = F.when(F.coalesce(inner, F.lit(False)) & (F.col("_o_level") > 0), F.transform(F.sequence(first, F.col("_o_level")), lambda b: F.struct(b.alias("b"), F.lit(True).alias("asks"))))
     give = F.when(F.col("_mark"), F.array(F.struct((F.col("_o_level") + 1).alias("b"), F.lit(False).alias("asks"))))
     none = F.array().cast("array<struct<b:int,asks:boolean>>")
     both = leveled.withColumn("_q", F.explode(F.concat(F.coalesce(ask, none), F.coalesce(give, none))))

@@ -1,6 +1,6 @@
 """XML as node rows: the form in which parsers hand over concrete syntax trees (S-09).
 
-A document is one row and is parsed by itself, event by event; nothing larger than one document's nodes is held.
+A document is one row and is parsed by itself, event by event; nothing larger than one document's nodes and a batch is held.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 NODES = "file string, node_id long, parent_id long, child_ix int, depth int, pre_order long, subtree_end long, tag string, field string, text string, line int, column int, end_line int, end_column int, error string"
+#: Rows that are sent on together, about.
+ROWS = 8192
 #: Attributes of a node's place; rows and columns count from 0.
 PLACE = ("srow", "scol", "erow", "ecol")
 
@@ -64,11 +66,19 @@ def xml_trees(documents: DataFrame, text: str = "content") -> DataFrame:
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.int32()] * 4, pa.string()]
     names = [c.split()[0] for c in NODES.split(", ")]
 
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     def run(batches):
+        rows = []
         for b in batches:
             for file, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 nodes, error = parse(body)
-                rows = [(file, *n) for n in nodes] or [(file, *[None] * 13, error)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                rows += [(file, *n) for n in nodes] or [(file, *[None] * 13, error)]
+                if len(rows) >= ROWS:  # a document's rows and so many others at once, at most
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
 
     return documents.selectExpr("cast(file AS string) AS file", f"cast(`{text}` AS string) AS body").mapInArrow(run, NODES)
