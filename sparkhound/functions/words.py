@@ -46,3 +46,13 @@ FLAG_NAMES = ["verbose", "debug", "dry_run", "strict", "quiet"]
 SQL_WORDS = ["select", "insert", "update", "delete", "create"]
 SECRET_PREFIXES = ["sk_", "sk_live_", "sk_test_", "ghp_", "gho_", "ghu_", "ghs_", "AKIA", "ASIA", "AIza", "xoxb-", "xoxp-", "xoxa-", "eyJ", "-----BEGIN RSA PRIVATE KEY-----"]
 SAFE_HTTP_CLIENTS = ["http_client.", "client.", "conn.", "connection."]
+
+#: Methods of a database that take a statement, and the names of arguments that bind values to it.
+DATABASE_METHODS = ["query", "query_one?", "query_one", "query_all", "exec", "execute", "scalar"]
+BOUND_ARGUMENTS = ["args", "params"]
+#: What a relative import's path may lack, in the order in which it is tried, by language.
+IMPORT_SUFFIXES = {
+    "crystal": (".cr", "/index.cr"),
+    "javascript": ("", ".js", "/index.js"),
+    "typescript": ("", ".ts", ".tsx", "/index.ts"),
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import program_queries, tree_queries
+from . import module_queries, program_queries, tree_queries
 from .functions import predicates as P
 from .operators import cfg, changes, matching, reach, scopes, smells, taint, text_lint
 from .plans.fixpoint import durable
@@ -586,5 +586,5 @@ def conversation_mix(spark, sf_dir):
     return c.groupBy(F.when(F.col("turn") >= 3, "later").otherwise("first").alias("part"), "role").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("bigint").alias("longest"))
 
 
-QUERIES |= program_queries.QUERIES | tree_queries.QUERIES
-ORACLES |= program_queries.ORACLES | tree_queries.ORACLES
+QUERIES |= program_queries.QUERIES | tree_queries.QUERIES | module_queries.QUERIES
+ORACLES |= program_queries.ORACLES | tree_queries.ORACLES | module_queries.ORACLES
