@@ -39,7 +39,9 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Members of a posting up to which possible partners are looked up; beyond it every member counts as having one.
 LOOKED_UP = 4096
 #: Parts of the hash space in which sets are compared inside a task, at most.
-PARTS = 64
+PARTS = 4096
+#: Members of a posting up to which postings are gone through together, and rows that are.
+SMALL, TOGETHER = 128, 16384
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,23 +208,54 @@ def _may(n: np.ndarray, i: np.ndarray, c: np.ndarray, parts: list[bytes]) -> np.
     out = np.zeros(len(n), bool)
     apart_ = Apart([np.frombuffer(p, np.uint8) for p in parts])
     for k in range(len(n)):
-        both = n + n[k]
-        like = (c != c[k]) & (np.maximum(n, n[k]) * NUM <= np.minimum(n, n[k]) * DEN) & ((NUM + DEN) * np.minimum(n - i, n[k] - i[k]) >= NUM * both)
+        like = (c != c[k]) & _allowed(n, i, n[k], i[k])
         at = np.flatnonzero(like)
         out[k] = len(at) and (apart_.least(k, at) <= _most_apart(n[at], n[k])).any()
     return out
 
 
+def _allowed(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """_like() on arrays."""
+    return (np.maximum(n, m) * NUM <= np.minimum(n, m) * DEN) & ((NUM + DEN) * np.minimum(n - i, m - j) >= NUM * (n + m))
+
+
+def _may_together(starts: np.ndarray, n: np.ndarray, i: np.ndarray, c: np.ndarray, parts: list[bytes]) -> np.ndarray:
+    """_may() of many small postings, which begin at ``starts``."""
+    size = np.diff(np.append(starts, len(n)))
+    out, own = np.zeros(len(n), bool), np.repeat(np.arange(len(starts)), size)
+    left = np.repeat(np.arange(len(n)), size[own])
+    right = np.arange(len(left)) - np.repeat(np.cumsum(size[own]) - size[own], size[own]) + starts[own][left]
+    like = (left < right) & (c[left] != c[right])
+    left, right = left[like], right[like]
+    like = _allowed(n[left], i[left], n[right], i[right])
+    most = _most_apart(n[left[like]], n[right[like]])
+    for x, y, k in zip(left[like].tolist(), right[like].tolist(), most.tolist(), strict=True):
+        if not (out[x] and out[y]) and apart(np.frombuffer(parts[x], np.uint8), np.frombuffer(parts[y], np.uint8)) <= k:
+            out[x] = out[y] = True
+    return out
+
+
 def _partners(batches):
     """(p, node, c, n, s) of members that may be similar to another one of their posting; rows come by posting."""
-    held, size, key = [], 0, None
-
-    def chosen(rows, every):
-        s, node, n, i, c, p = (np.concatenate([r[k] for r in rows]) for k in range(6))
-        at = np.ones(len(node), bool) if every else _may(n, i, c, [x for r in rows for x in r[6]])
+    waiting, rows, long_, key = [], 0, False, None  # whole postings; or what a long posting has gathered
+
+    def sent(every: bool):
+        s, node, n, i, c, p = (np.concatenate([r[k] for r in waiting]) for k in range(6))
+        parts = [x for r in waiting for x in r[6]]
+        at = np.ones(len(node), bool)
+        if not every:
+            starts = np.flatnonzero(np.append(True, np.diff(s) != 0))
+            size = np.diff(np.append(starts, len(s)))
+            small = np.repeat(size <= SMALL, size)
+            rank = np.cumsum(small) - 1
+            at[small] = _may_together(rank[starts[size <= SMALL]], n[small], i[small], c[small], [x for x, k in zip(parts, small.tolist(), strict=True) if k])
+            for a, k in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                at[a : a + k] = _may(n[a : a + k], i[a : a + k], c[a : a + k], parts[a : a + k])
         at &= node != p  # its pivot was compared with all of them
+        waiting.clear()
         return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (p, node, c, n, s)], ["p", "node", "c", "n", "s"])
 
+    in_posting = 0
     for b in batches:
         columns = [b.column(k).to_numpy().astype(np.int64) for k in range(6)]
         parts = b.column(6).to_pylist()
@@ -232,16 +265,27 @@ def _partners(batches):
                 continue
             part = [*(x[at:end] for x in columns), parts[at:end]]
             if part[0][0] != key:
-                if size:
-                    yield chosen(held, size > LOOKED_UP)
-                held, size, key = [], 0, part[0][0]
-            elif size > LOOKED_UP:  # what a long posting has gathered so far goes on
-                yield chosen(held, True)
-                held = []
-            held.append(part)
-            size += end - at
-    if held:
-        yield chosen(held, size > LOOKED_UP)
+                if waiting and (long_ or rows >= TOGETHER):
+                    yield sent(long_)
+                    rows = 0
+                key, in_posting, long_ = part[0][0], 0, False
+            in_posting += end - at
+            if in_posting > LOOKED_UP:
+                if not long_:  # what came before it is whole; it goes on by itself, as far as it has been read
+                    before = [r for r in waiting if r[0][0] != key]
+                    own = [r for r in waiting if r[0][0] == key]
+                    if before:
+                        waiting[:] = before
+                        yield sent(False)
+                    waiting[:], long_ = own, True
+                waiting.append(part)
+                yield sent(True)
+                rows = 0
+                continue
+            waiting.append(part)
+            rows += end - at
+    if waiting:
+        yield sent(long_)
 
 
 def joined(nodes: list[int], comps: list[int], sets: list[np.ndarray], own: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, int]]:
@@ -275,7 +319,7 @@ def joined(nodes: list[int], comps: list[int], sets: list[np.ndarray], own: list
             for to, value in zip(posting, (k, i, bool(here[k][i])), strict=True):
                 to.append(value)
         n, m = len(x), sizes[:k]
-        ok = mine & (at_k >= 0) & (comp[:k] != comp[k]) & (np.maximum(n, m) * NUM <= np.minimum(n, m) * DEN) & ((NUM + DEN) * np.minimum(n - at_k, m - at_j) >= NUM * (n + m))
+        ok = mine & (at_k >= 0) & (comp[:k] != comp[k]) & _allowed(n, at_k, m, at_j)
         left = np.flatnonzero(ok)
         left = left[apart_.least(k, left) <= _most_apart(n, m[left])] if len(left) else left
         if not len(left):
