@@ -14,6 +14,7 @@ from .functions import words as W
 from .operators import matching, reach, scopes, smells, taint
 from .plans.fixpoint import durable
 from .sources import project
+from .sources.default_rules import default_sinks
 from .sources.rules import sink_table
 from .sources.xml_trees import xml_trees
 
@@ -302,6 +303,18 @@ def findings_outside_checks(spark, sf_dir):
     return matching.outside_scopes(found, matching.validation_scopes(n)).select("rule", "file", "line")
 
 
+@query(
+    FLOW
+    + """, rule(name, rule, severity) AS (VALUES ('File.read', 'PathTraversal', 'High'), ('File.read', 'UnboundedRead', 'Low'), ('File.read', 'TOCTOU', 'Medium'), ('redirect_to', 'OpenRedirect', 'Medium'))
+    SELECT DISTINCT r.rule, r.severity, p.file, p.line FROM prog p JOIN rule r USING (name) WHERE p.kind = 'call' AND EXISTS (SELECT 1 FROM tainted t WHERE t.file = p.file AND t.var = p.other AND t.field = '')""",
+    recursive=True,
+)
+def default_rule_findings(spark, sf_dir):
+    """All rules that come with the library, over all calls."""
+    n, known = _tainted(spark, sf_dir)
+    return matching.findings(n, default_sinks(spark), known).select("rule", "severity", "file", "line")
+
+
 @query(
     ", e AS (SELECT scope_name AS caller, name AS callee FROM inside WHERE kind = 'call' AND scope_name IS NOT NULL AND name IN (SELECT name FROM prog WHERE kind = 'def') GROUP BY ALL)"
     " SELECT callee AS name, count(*) AS callers FROM e GROUP BY callee"

@@ -1,45 +1,26 @@
-"""Rules that hold where a project brings none of its own.
-
-Fixed values: rule, severity, excluded languages, sink patterns with the argument that matters, condition. The messages are ours.
-"""
+"""Rules that hold where a project brings none of its own: the rule files beside this module, one for each language and one for several."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .language_rules import language_rules_text
-from .rules import sink_table
-
-_WEB = ["crystal", "svelte"]
-_ANY = None  # every argument matters
-
-DEFAULT_RULES = [
-    ("CommandInjection", "Critical", _WEB, [("system", 0), ("Process.run", 0), ("os.command", 0), ("os.cmd", 0), ("shell.cmd", 0), ("cmd.run", 0), (":os.cmd", 0), ("erlexec.Shell", 0)], "", "{sink} runs a command built from {tainted_vars}"),
-    ("SQLInjection", "Critical", [], [("db.exec", 0), ("db.query", 0), ("db.scalar", 0), ("db.query_one", 0), ("db.query_all", 0), ("db.execute", 0), ("database.exec", 0), ("database.query", 0)], "", "{sink} runs a statement built from {tainted_vars}"),
-    ("PathTraversal", "High", _WEB, [("File.read", 0), ("File.write", 0), ("File.delete", 0), ("File.open", 0), ("Dir.glob", 0), ("Dir.entries", 0), ("simplifile.read", 0), ("simplifile.write", 0), ("simplifile.delete", 0)], "", "{sink} opens a path built from {tainted_vars}"),
-    ("SSRF", "High", _WEB, [("HTTP::Client.get", 0), ("HTTP::Client.post", 0), ("HTTP::Client.put", 0), ("HTTP::Client.patch", 0), ("HTTP::Client.delete", 0), ("HTTP::Client.exec", 0), ("http.get", 0), ("http.post", 0), ("Crest.get", 0), ("Crest.post", 0), ("hackney.get", 0), ("hackney.post", 0), ("req.get", 0), ("req.post", 0)], "", "{sink} calls an address built from {tainted_vars}"),
-    ("OpenRedirect", "Medium", _WEB, [("redirect_to", 0), ("response.redirect", 0), ("send_redirect", 0)], "", "{sink} sends the user to {tainted_vars}"),
-    ("InsecureDeserialization", "High", [*_WEB, "gleam", "rust", "ocaml"], [("JSON.parse", _ANY), ("YAML.parse", _ANY), ("XML.parse", _ANY), ("Marshal.load", _ANY), ("Oj.load", _ANY), ("json.decode", _ANY), ("yaml.parse", _ANY)], "", "{sink} decodes {tainted_vars}"),
-    ("LDAPInjection", "High", [], [("LDAP.search", _ANY), ("LDAP.query", _ANY), ("ldap.search", _ANY), ("ldap.bind", _ANY)], "", "{sink} asks with {tainted_vars}"),
-    ("WeakCryptography", "Medium", [], [("Digest::MD5", _ANY), ("Digest::SHA1", _ANY), ("hashlib.md5", _ANY), ("hashlib.sha1", _ANY)], "skip_taint_check true", "{sink} is a weak digest"),
-    ("InsecureRandom", "Low", [], [("int.random", _ANY), ("float.random", _ANY), ("list.random", _ANY), ("Math.random", _ANY), ("Random.rand", _ANY), ("random", _ANY)], "skip_taint_check true", "{sink} can be foreseen"),
-    ("ReDoS", "Medium", [], [("Regex.new", _ANY), ("Regex.compile", _ANY), ("re.compile", _ANY), ("regexp.compile", _ANY)], 'check_args_contain "+)+" "+)*" "*)+" "*)*" "?)"', "{sink} compiles nested repetitions"),
-    ("MissingTimeout", "Medium", [], [("HTTP::Client.new", _ANY), ("HTTP::Client.start", _ANY)], 'check_args_missing "timeout"', "{sink} may wait for ever"),
-    ("UnboundedRead", "Low", [], [("File.read", 0)], "", "{sink} reads a whole file of any size"),
-]
-
-
-def default_rules_text() -> str:
-    """The rules in the rule language."""
-    out = []
-    for rule, severity, excluded, sinks, condition, message in DEFAULT_RULES:
-        places = "\n".join(f'        sink "{p}"' + ("" if a is None else f" arg={a}") for p, a in sinks)
-        languages = "    languages { " + "; ".join(f'exclude "{x}"' for x in excluded) + " }\n" if excluded else ""
-        conditions = f"    conditions {{ {condition} }}\n" if condition else ""
-        out.append(f'rule "{rule}" severity="{severity}" {{\n{languages}    sinks {{\n{places}\n    }}\n{conditions}    message "{message}"\n}}\n')
-    return "\n".join(out)
+from .rules import rule_sources, sink_table
+
+FOLDER = Path(__file__).parent / "rules"
+
+
+def default_rules_text(*names: str) -> str:
+    """The rules in the rule language: of all files, or of those named."""
+    return "\n".join((FOLDER / f"{n}.kdl").read_text() for n in names or ("common", "elixir", "javascript", "nim", "ocaml", "rust"))
 
 
 def default_sinks(spark: SparkSession) -> DataFrame:
-    """Rules of all languages: those above and those of single languages."""
-    return sink_table(spark, default_rules_text() + "\n" + language_rules_text())
+    """All rules' sinks, as rows."""
+    return sink_table(spark, default_rules_text())
+
+
+def default_sources() -> list[str]:
+    """Names that all rules call sources, once each, in order: for taint.seeds beside its own."""
+    return list(dict.fromkeys(name for _, name, _ in rule_sources(default_rules_text())))
