@@ -23,7 +23,7 @@ def entry_points(nodes: DataFrame, custom: list[str] | None = None) -> DataFrame
     return nodes.where("node_type = 'def'").select("name", "file", "line", kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def reachable(edges: DataFrame, entries: DataFrame, cap: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(name, entry, parent, hops): breadth first from entries(name); each function's smallest parent at its least distance (G-22)."""
     edges = durable(edges.select("caller", "callee").distinct())
     start = entries.select("name").distinct().select("name", F.col("name").alias("entry"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops"))
@@ -32,7 +32,7 @@ def reachable(edges: DataFrame, entries: DataFrame, cap: int = 100) -> DataFrame
         out = delta.join(edges, F.col("name") == F.col("caller")).groupBy("callee").agg(F.min(F.struct("entry", "name")).alias("m"), F.max("hops").alias("h"))
         return out.select(F.col("callee").alias("name"), "m.entry", F.col("m.name").alias("parent"), (F.col("h") + 1).alias("hops"))
 
-    return fixpoint(start, step, ["name"], cap)
+    return fixpoint(start, step, ["name"])
 
 
 def paths(reached: DataFrame) -> DataFrame:
@@ -61,18 +61,18 @@ def heatmap(tagged_findings: DataFrame) -> DataFrame:
     return tagged_findings.groupBy("file").agg(live.alias("live"), dormant.alias("dormant"), F.count("*").alias("total")).orderBy(F.desc("live"), "file")
 
 
-def ancestors(classes: DataFrame, cap: int = 64) -> DataFrame:
+def ancestors(classes: DataFrame) -> DataFrame:
     """(name, ancestor, depth): every ancestor at its least distance; cycles end (G-24)."""
     parent = durable(classes.where("parent IS NOT NULL").select(F.col("name").alias("ancestor"), F.col("parent").alias("next")).distinct())
     start = classes.where("parent IS NOT NULL").select("name", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    return fixpoint(start, lambda d: d.join(parent, "ancestor").select("name", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth")), ["name", "ancestor"], cap)
+    return fixpoint(start, lambda d: d.join(parent, "ancestor").select("name", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth")), ["name", "ancestor"])
 
 
-def components(links: DataFrame, group: str, cap: int = 100) -> DataFrame:
+def components(links: DataFrame, group: str) -> DataFrame:
     """(group, node, label): least node reachable inside each group of links(group, a, b) (G-25)."""
     both = durable(links.select(group, "a", "b").unionByName(links.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = durable(both.select(group, F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(cap):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), [group, "b"]).groupBy(group, F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, [group, "node"]).select(group, "node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
         # a label is a node itself: follow its label too, so long chains halve each round
@@ -81,7 +81,6 @@ def components(links: DataFrame, group: str, cap: int = 100) -> DataFrame:
         labels = new.select(group, "node", "label")
         if new.where("moved").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def classified(edges: DataFrame, entries: DataFrame, sinks: DataFrame, reached: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ semantics hold. Records are (file, var, field).
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +16,12 @@ from ..functions import predicates as P
 from ..functions import words as W
 from ..functions.words import SANITIZERS, SOURCES
 from ..plans.fixpoint import durable, fixpoint
+from ..schema import STEP
 from .scopes import last_call_on_line, with_scope
 
 KEYS = ["file", "var", "field"]
+#: Edges of a file up to which one task goes through it.
+LARGE = 1_000_000
 
 
 def _arg_values(kind: str):
@@ -62,24 +68,84 @@ def flows(nodes: DataFrame, sanitizers: list[str] = SANITIZERS) -> DataFrame:
     return plain.unionByName(uri).unionByName(alias).join(clean, ["file", "dst"], "left_anti").distinct()
 
 
-def propagate(seed: DataFrame, edges: DataFrame, cap: int = 100) -> DataFrame:
-    """All tainted (file, var, field, source): the closure of the seeds over the edges (G-13).
+def propagate(seed: DataFrame, edges: DataFrame, large: int = LARGE) -> DataFrame:
+    """All tainted (file, var, field, source): the closure of the seeds over the edges (G-13); an edge without a field passes on any.
 
-    ``edges`` is read once a round, so it should be durable. An edge without a field passes on whatever field comes.
+    Value flows inside files only, so each file is gone through once, by itself, in the task that holds it. Files of more than ``large`` edges
+    are joined round by round instead. Of several sources of a fact one stays.
     """
+    many = edges.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > large).select("file")
+    if many.isEmpty():
+        return _by_file(seed, edges)
+    many = F.broadcast(durable(many))
+    few = _by_file(seed.join(many, "file", "left_anti"), edges.join(many, "file", "left_anti"))
+    own = durable(edges.join(many, "file", "left_semi"))
 
     def step(delta: DataFrame) -> DataFrame:
-        out = delta.withColumnRenamed("var", "src").join(edges, ["file", "src"]).where("src_field IS NULL OR src_field = field")
+        out = delta.withColumnRenamed("var", "src").join(own, ["file", "src"]).where("src_field IS NULL OR src_field = field")
         return out.select("file", F.col("dst").alias("var"), F.coalesce("dst_field", "field").alias("field"), "source")
 
-    return fixpoint(seed.select(*KEYS, "source"), step, KEYS, cap)
-
-
-def tainted_returns(nodes: DataFrame, taint: DataFrame) -> DataFrame:
+    return few.unionByName(fixpoint(seed.select(*KEYS, "source").join(many, "file", "left_semi"), step, KEYS))
+
+
+def _by_file(seed: DataFrame, edges: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    facts = seed.select("file", F.col("var").alias("a"), F.col("field").alias("b"), F.col("source").alias("c"), none.alias("d"), F.lit(True).alias("seed"))
+    flow = edges.select("file", F.col("src").alias("a"), F.col("src_field").alias("b"), F.col("dst").alias("c"), F.col("dst_field").alias("d"), F.lit(False).alias("seed"))
+    rows = facts.unionByName(flow).repartition("file").sortWithinPartitions("file", "seed", "a", "b", "c", "d")
+    return rows.mapInArrow(_closures, "file string, var string, field string, source string")
+
+
+def _closure(seeds: list[tuple], edges: dict[str, list[tuple]]) -> dict[tuple, str]:
+    """Source of each reached (var, field), breadth first."""
+    known = {}
+    for var, field, source in seeds:
+        known.setdefault((var, field), source)
+    todo = deque(known)
+    while todo:
+        var, field = todo.popleft()
+        for src_field, dst, dst_field in edges.get(var, ()):
+            if src_field is None or src_field == field:
+                new = (dst, field if dst_field is None else dst_field)
+                if new not in known:
+                    known[new] = known[var, field]
+                    todo.append(new)
+    return known
+
+
+def _closures(batches):
+    """Closures of one file after the other; a file's edges come before its seeds."""
+    file, edges, seeds = None, {}, []
+
+    def batch():
+        known = _closure(seeds, edges)
+        columns = [[file] * len(known), [v for v, _ in known], [f for _, f in known], list(known.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", "var", "field", "source"])
+
+    for b in batches:
+        for at, x, y, z, d, seed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if at != file:
+                if seeds:
+                    yield batch()
+                file, edges, seeds = at, {}, []
+            if seed:
+                seeds.append((x, y, z))
+            else:
+                edges.setdefault(x, []).append((y, z, d))
+    if seeds:
+        yield batch()
+
+
+def _assignments_inside(nodes: DataFrame) -> DataFrame:
+    """(file, name, taint, func_name) of assignments inside functions."""
+    return with_scope(nodes).where("node_type = 'assign' and scope_line is not null").select("file", "name", "taint", F.col("scope_name").alias("func_name"))
+
+
+def tainted_returns(nodes: DataFrame, taint: DataFrame, inside: DataFrame | None = None) -> DataFrame:
     """(file, func_name): functions in whose body a tainted or flagged assignment stands (G-14)."""
-    inside = with_scope(nodes).where("node_type = 'assign' and scope_line is not null")
+    inside = _assignments_inside(nodes) if inside is None else inside
     known = taint.where("field = ''").select("file", F.col("var").alias("name"), F.lit(True).alias("hit")).distinct()
-    return inside.join(known, ["file", "name"], "left").where("hit or taint").select("file", F.col("scope_name").alias("func_name")).distinct()
+    return inside.join(known, ["file", "name"], "left").where("hit or taint").select("file", "func_name").distinct()
 
 
 def from_returns(nodes: DataFrame, returns: DataFrame, imports: DataFrame | None = None, sanitizers: list[str] = SANITIZERS) -> DataFrame:
@@ -95,14 +161,15 @@ def from_returns(nodes: DataFrame, returns: DataFrame, imports: DataFrame | None
 
 def analyse(nodes: DataFrame, imports: DataFrame | None = None, sources: list[str] = SOURCES, sanitizers: list[str] = SANITIZERS) -> DataFrame:
     """The whole pipeline: seed, propagate, returns, interprocedural, propagate again (G-17)."""
-    edges = durable(flows(nodes, sanitizers))
-    taint = propagate(seeds(nodes, sources, sanitizers), edges)
+    edges, inside = durable(flows(nodes, sanitizers)), durable(_assignments_inside(nodes))
+    taint = durable(propagate(seeds(nodes, sources, sanitizers), edges))
     while True:
-        more = from_returns(nodes, tainted_returns(nodes, taint), imports, sanitizers).join(taint.select(KEYS), KEYS, "left_anti")
-        more = durable(more)
+        more = from_returns(nodes, tainted_returns(nodes, taint, inside), imports, sanitizers).join(taint.select(KEYS), KEYS, "left_anti")
+        # only what is new flows on
+        more = durable(propagate(more, edges).join(taint.select(KEYS), KEYS, "left_anti"))
         if more.isEmpty():
             return taint
-        taint = propagate(taint.unionByName(more), edges)
+        taint = taint.unionByName(more)
 
 
 def guard_lines(nodes: DataFrame) -> DataFrame:
@@ -121,25 +188,43 @@ def sink_hits(calls: DataFrame, taint: DataFrame, guards: DataFrame | None = Non
     return out.select("file", "ord", "line", "name", "var", "position")
 
 
-def traced_flow(nodes: DataFrame, hits: DataFrame, taint: DataFrame, depth: int = 50) -> DataFrame:
-    """(file, ord, var, flow): each hit's variable traced back over its last assignment, source first (G-20).
+def traced_flow(nodes: DataFrame, hits: DataFrame, taint: DataFrame) -> DataFrame:
+    """(file, ord, var, flow): each hit's variable traced back over its last assignment, source first (G-20); a flow is whole, however long.
 
-    Tracing stops after ``depth`` assignments; a longer flow is kept with those nearest the sink.
+    It begins where nothing is assigned, no variable is, or a variable comes up a second time. Files are gone through one by one.
     """
     w = Window.partitionBy("file", "name").orderBy(F.desc("line"), F.desc("ord"))
-    last = nodes.where("node_type = 'assign'").withColumn("r", F.row_number().over(w)).where("r = 1").select("file", F.col("name").alias("at"), F.col("line").alias("a_line"), F.get(F.transform(F.filter("args", lambda a: a["arg_type"] == "var"), lambda a: a["value"]), 0).alias("next"))
-    last = durable(last)
-    now = hits.select("file", "ord", "var", F.col("var").alias("at"), F.array(F.struct("file", "line", F.concat(F.lit("sink "), F.col("name")).alias("message"))).alias("flow"), F.array("var").alias("seen"))
-    done = None
-    for _ in range(depth):
-        step = now.join(last, ["file", "at"], "left")
-        flow = F.concat(F.array(F.struct("file", F.col("a_line").alias("line"), F.concat(F.lit("assign "), F.col("at")).alias("message"))), "flow")
-        source = F.concat(F.array(F.struct("file", F.lit(0).alias("line"), F.concat(F.lit("source "), F.col("at")).alias("message"))), "flow")
-        stop = F.col("a_line").isNull() | F.col("next").isNull() | F.array_contains("seen", F.col("next"))
-        ended = step.where(stop).select("file", "ord", "var", F.when(F.col("a_line").isNull(), source).otherwise(flow).alias("flow"))
-        done = ended if done is None else done.unionByName(ended)
-        now = durable(step.where(~stop).select("file", "ord", "var", F.col("next").alias("at"), flow.alias("flow"), F.concat("seen", F.array("next")).alias("seen")))
-        if now.isEmpty():
-            return done
-    left = now.select("file", "ord", "var", "flow")
-    return left if done is None else done.unionByName(left)
+    last = nodes.where("node_type = 'assign'").withColumn("r", F.row_number().over(w)).where("r = 1")
+    none = F.lit(None).cast("long")
+    at = last.select("file", F.col("name").alias("var"), "line", F.get(F.transform(F.filter("args", lambda a: a["arg_type"] == "var"), lambda a: a["value"]), 0).alias("other"), none.alias("ord"), F.lit(False).alias("hit"))
+    ends = hits.select("file", "var", "line", F.col("name").alias("other"), "ord", F.lit(True).alias("hit"))
+    rows = at.unionByName(ends).repartition("file").sortWithinPartitions("file", "hit", "ord", "var")
+    return rows.mapInArrow(_traced, f"file string, ord bigint, var string, flow array<{STEP}>")
+
+
+def _traced(batches):
+    file, last = None, {}
+
+    def flow(var: str, line: int, sink: str) -> list[dict]:
+        steps, at, seen = [(line, f"sink {sink}")], var, set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            if at not in last:
+                steps.append((0, f"source {at}"))
+                break
+            steps.append((last[at][0], f"assign {at}"))
+            at = last[at][1]
+        return [{"file": file, "line": n, "message": m} for n, m in reversed(steps)]
+
+    step = pa.struct([("file", pa.string()), ("line", pa.int32()), ("message", pa.string())])
+    for b in batches:
+        out = []
+        for f, var, line, other, ord_, hit in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if f != file:
+                file, last = f, {}
+            if hit:
+                out.append((f, ord_, var, flow(var, line, other)))
+            else:
+                last[var] = line, other
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.list_(step)), strict=True)], ["file", "ord", "var", "flow"])

@@ -514,6 +514,29 @@ def vulnerability_flows(spark, sf_dir):
     return flows.join(hits.select("file", "ord", "line"), ["file", "ord"]).select("file", "line", "var", F.size("flow").alias("steps"))
 
 
+@query(
+    TAINT
+    + """, hits AS (SELECT n.file, n.line, n.name AS sink, n.arg_var AS var FROM nodes n JOIN closure c ON c.file = n.file AND c.var = n.arg_var WHERE n.node_type = 'call'),
+    last AS (SELECT file, name, arg_max(arg_var, line) AS next, max(line) AS a_line FROM nodes WHERE node_type = 'assign' GROUP BY ALL),
+    trace AS (
+        SELECT file, line, sink, var, [var] AS seen FROM hits
+        UNION ALL
+        SELECT t.file, t.line, t.sink, t.var, list_append(seen, l.next) FROM trace t JOIN last l ON l.file = t.file AND l.name = t.seen[-1] WHERE NOT list_contains(seen, l.next)),
+    longest AS (SELECT file, line, sink, var, arg_max(seen, len(seen)) AS seen FROM trace GROUP BY ALL),
+    steps AS (SELECT file, line, sink, var, unnest(seen) AS name, generate_subscripts(seen, 1) AS nth FROM longest)
+    SELECT s.file, s.line, s.var, concat(string_agg(CASE WHEN a_line IS NULL THEN concat('0 source ', s.name) ELSE concat(a_line, ' assign ', s.name) END, '; ' ORDER BY nth DESC), '; ', s.line, ' sink ', any_value(sink)) AS flow
+    FROM steps s LEFT JOIN last l ON l.file = s.file AND l.name = s.name GROUP BY s.file, s.line, s.var""",
+    recursive=True,
+)
+def vulnerability_flow_steps(spark, sf_dir):
+    """Every step of every flow, source first."""
+    n = durable(nodes_of(spark, sf_dir))
+    known = taint.analyse(n)
+    hits = durable(taint.sink_hits(n.where("node_type = 'call'"), known))
+    flows = taint.traced_flow(n, hits, known).join(hits.select("file", "ord", "line"), ["file", "ord"])
+    return flows.select("file", "line", "var", F.array_join(F.transform("flow", lambda x: F.concat_ws(" ", x["line"], x["message"])), "; ").alias("flow"))
+
+
 @query()
 def cfg_findings(spark, sf_dir):
     """Functions of the fixture as straight code with open branches; the first parameter is tainted."""

@@ -16,14 +16,53 @@ def _nodes(spark, rows):
     return spark.createDataFrame(full, NODE)
 
 
-def test_flows_longer_than_the_limit_are_kept(spark):
-    rows = [("a", 1, "assign", "x0", [("call", "params.get")], {})] + [("a", k + 1, "assign", f"x{k}", [("var", f"x{k - 1}")], {}) for k in range(1, 9)] + [("a", 20, "call", "system", [("var", "x8")], {})]
+def test_flows_of_500_assignments_are_whole(spark):
+    rows = [("a", 1, "assign", "x0", [("call", "params.get")], {})] + [("a", k + 1, "assign", f"x{k}", [("var", f"x{k - 1}")], {}) for k in range(1, 500)] + [("a", 900, "call", "system", [("var", "x499")], {})]
+    rows += [("b", 1, "assign", "p", [("var", "q")], {}), ("b", 2, "assign", "q", [("var", "p")], {}), ("b", 3, "call", "system", [("var", "p")], {}), ("c", 1, "call", "system", [("var", "z")], {})]
     nodes = _nodes(spark, rows)
-    hits = nodes.where("node_type = 'call'").select("file", "ord", "line", "name", F.lit("x8").alias("var"))
-    whole = taint.traced_flow(nodes, hits, None).collect()
-    assert len(whole) == 1 and [s["line"] for s in whole[0]["flow"]] == [*range(1, 10), 20]
-    cut = taint.traced_flow(nodes, hits, None, depth=3).collect()
-    assert len(cut) == 1 and [s["line"] for s in cut[0]["flow"]] == [7, 8, 9, 20]
+    hits = nodes.where("node_type = 'call'").select("file", "ord", "line", "name", F.col("args")[0]["value"].alias("var"))
+    got = {r["file"]: [(s["line"], s["message"]) for s in r["flow"]] for r in taint.traced_flow(nodes, hits, None).collect()}
+    assert got["a"] == [*((k + 1, f"assign x{k}") for k in range(500)), (900, "sink system")]
+    assert got["b"] == [(2, "assign q"), (1, "assign p"), (3, "sink system")] and got["c"] == [(0, "source z"), (1, "sink system")]  # a ring; nothing assigned
+    known = taint.analyse(nodes).collect()
+    assert len([r for r in known if r["file"] == "a"]) == 500
+
+
+def test_large_files_are_joined_instead(spark):
+    import random
+
+    r = random.Random(3)
+    seeds = [(f"f{k % 3}", f"v{r.randrange(30)}", r.choice(["", "host"]), "s") for k in range(9)]
+    edges = [(f"f{r.randrange(3)}", f"v{r.randrange(30)}", f, f"v{r.randrange(30)}", d) for f, d in (r.choice([(None, None), ("", ""), ("", "host"), ("host", "host")]) for _ in range(150))]
+    want = {(f, v, x) for f, v, x, _ in seeds}
+    while True:
+        more = {(f, d, x if df is None else df) for f, s, sf, d, df in edges for g, v, x in want if f == g and s == v and sf in (None, x)} - want
+        if not more:
+            break
+        want |= more
+    s = spark.createDataFrame(seeds, "file string, var string, field string, source string")
+    e = spark.createDataFrame(edges, "file string, src string, src_field string, dst string, dst_field string")
+    for large in (1_000_000, 50, 0):
+        got = [tuple(x)[:3] for x in taint.propagate(s, e, large).select("file", "var", "field").collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert taint.propagate(s.limit(0), e).count() == 0 and taint.propagate(s, e.limit(0)).count() == len({x[:3] for x in seeds})
+
+
+def test_checks_swept_in_order_equal_comparing_all(spark):
+    import random
+
+    from sparkhound.functions import words as W
+
+    r = random.Random(5)
+    rules = [W.AUTH_RULES[0], W.VALIDATED_RULES[0], "Other"]
+    found = [(r.choice(rules), r.choice("ab"), r.randrange(60), [("var", r.choice(["x", "y.z", "w"]), "") for _ in range(r.randrange(3))]) for _ in range(200)]
+    checks = [(r.choice("ab"), *r.choice([("auth", None), ("check", "x"), ("check", "y")]), lo, lo + r.randrange(12)) for lo in (r.randrange(60) for _ in range(25))]
+
+    def covered(rule, file, line, args):
+        return any(f == file and lo <= line < hi and ((kind == "auth" and rule in W.AUTH_RULES) or (kind == "check" and rule in W.VALIDATED_RULES and var in [a[1].split(".")[0] for a in args])) for f, kind, var, lo, hi in checks)
+
+    df = matching.outside_scopes(spark.createDataFrame(found, f"rule string, file string, line int, args array<{ARG}>"), spark.createDataFrame(checks, "file string, kind string, var string, from_line int, to_line int"))
+    assert sorted((x["rule"], x["file"], x["line"], [tuple(a) for a in x["args"]]) for x in df.collect()) == sorted(f for f in found if not covered(*f))
 
 
 def test_paths_have_no_limit(spark):
