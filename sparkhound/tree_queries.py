@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import cfg, lowering, trees
+from .operators import cfg, exprs, lowering, trees, types
 from .plans.fixpoint import durable
+from .sources.return_types import return_types
 from .sources.tree_rules import LANGUAGES, tree_rules
 from .sources.xml_trees import parse, xml_trees
 
@@ -207,3 +208,87 @@ def tree_flow_findings(spark, sf_dir):
     """Sinks reached by taint along the control flow of the trees' functions: from source text to finding."""
     exprs = durable(_expressions(spark, sf_dir))
     return cfg.cfg_findings(lowering.lower(exprs), SINKS, ("get_param", "user_"), ("escape",), lowering.parameters(exprs))
+
+
+#: What the fixture's calls return.
+RETURNS = {"gleam": {"result": ["exec"], "safe": ["escape", "trim"], "nullable": ["open"]}, "javascript": {"nullable": ["load", "get_param"], "safe": ["escape", "map"]}}
+_RETURN_ROWS = ", ".join(f"('{language}', '{name}', '{kind}')" for language, kinds in RETURNS.items() for kind, names in kinds.items() for name in names)
+TYPES_SQL = f""",
+ret(lang, name, k) AS (VALUES {_RETURN_ROWS}),
+tops_ AS (SELECT file, parent_id AS expr_id, max(child_ix) AS top FROM expr WHERE parent_id IS NOT NULL GROUP BY ALL),
+binding AS (SELECT file, expr_id, name FROM expr WHERE kind IN ('let', 'assign', 'param') AND name <> ''),
+last_bound AS (SELECT v.file, v.expr_id, max(b.expr_id) AS at FROM expr v JOIN binding b ON b.file = v.file AND b.expr_id < v.expr_id AND b.name = CASE WHEN v.kind IN ('app', 'field') THEN split_part(v.name, '.', 1) ELSE v.name END WHERE v.kind IN ('var', 'app', 'field') GROUP BY ALL),
+flow AS (
+    SELECT e.file, e.expr_id AS src, p.expr_id AS dst FROM expr e JOIN expr p ON p.file = e.file AND p.expr_id = e.parent_id JOIN tops_ t ON t.file = p.file AND t.expr_id = p.expr_id
+    WHERE p.kind IN ('let', 'assign', 'block') AND e.child_ix = t.top OR p.kind IN ('if', 'ternary', 'case') AND e.child_ix > 0
+    UNION ALL SELECT v.file, l.at, v.expr_id FROM expr v JOIN last_bound l USING (file, expr_id) WHERE v.kind = 'var'),
+langs AS (SELECT DISTINCT file, lang FROM items),
+reached(file, expr_id, k) AS (
+    SELECT e.file, e.expr_id, CASE WHEN e.kind = 'app' THEN coalesce(r.k, r2.k, 'unknown') WHEN e.kind = 'literal' THEN 'safe' WHEN e.kind IN ('binary', 'list', 'tuple', 'lambda') THEN 'safe' WHEN e.kind = 'if' THEN 'nullable' ELSE 'unknown' END
+    FROM expr e JOIN langs USING (file) LEFT JOIN ret r ON r.lang = langs.lang AND r.name = e.name LEFT JOIN ret r2 ON r2.lang = langs.lang AND r2.name = split_part(e.name, '.', -1) LEFT JOIN tops_ t ON t.file = e.file AND t.expr_id = e.expr_id LEFT JOIN last_bound l ON l.file = e.file AND l.expr_id = e.expr_id
+    WHERE e.kind IN ('app', 'literal', 'binary', 'list', 'tuple', 'lambda', 'field', 'param', 'try') OR e.kind = 'if' AND t.top = 1 OR e.kind = 'var' AND l.at IS NULL
+    UNION
+    SELECT f.file, f.dst, r.k FROM reached r JOIN flow f ON f.file = r.file AND f.src = r.expr_id),
+kinds AS (SELECT file, expr_id, CASE WHEN count(*) = 1 THEN min(k) WHEN bool_and(k IN ('safe', 'nullable')) THEN 'nullable' ELSE 'unknown' END AS value FROM reached GROUP BY ALL)"""
+
+
+def _typed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = documents(spark, sf_dir)
+    nodes = xml_trees(docs).join(docs.select("file", "language"), "file")
+    exprs = durable(trees.expressions(nodes, tree_rules(spark)).join(docs.select("file", "language"), "file"))
+    return exprs, types.kinds(exprs, return_types(spark, RETURNS), F.col("language"))
+
+
+@query(TYPES_SQL + " SELECT e.file, e.fn_id, k.expr_id, k.value FROM kinds k JOIN expr e USING (file, expr_id)")
+def tree_value_kinds(spark, sf_dir):
+    """Which expressions may be nil or an error, from what calls return."""
+    return _typed(spark, sf_dir)[1]
+
+
+
+
+@query(
+    TYPES_SQL
+    + """, hits AS (
+    SELECT 'ignored-result' AS rule, e.file, e.line_name AS subject FROM (SELECT e.*, e.name AS line_name FROM expr e JOIN expr p ON p.file = e.file AND p.expr_id = e.parent_id AND p.kind = 'block' JOIN tops_ t ON t.file = p.file AND t.expr_id = p.expr_id
+        JOIN kinds k ON k.file = e.file AND k.expr_id = e.expr_id AND k.value = 'result' WHERE e.kind = 'app' AND e.child_ix <> t.top) e
+    UNION ALL SELECT 'unchecked-nullable', file, name FROM (
+        SELECT e.file, e.expr_id, e.name FROM expr e JOIN last_bound l USING (file, expr_id) JOIN kinds k ON k.file = e.file AND k.expr_id = l.at AND k.value = 'nullable' WHERE e.kind IN ('app', 'field') AND contains(e.name, '.')
+        UNION SELECT e.file, e.expr_id, e.name FROM expr e JOIN expr c ON c.file = e.file AND c.parent_id = e.expr_id AND c.child_ix = -1 JOIN kinds k ON k.file = c.file AND k.expr_id = c.expr_id AND k.value = 'nullable' WHERE e.kind IN ('app', 'field'))
+    UNION ALL SELECT 'named-call', file, name FROM expr WHERE kind IN ('app', 'field') AND name IN ('exec', 'load')
+    UNION ALL SELECT 'text-in-operation', file, p.name FROM expr p WHERE kind = 'binary' AND EXISTS (SELECT 1 FROM expr c WHERE c.file = p.file AND c.parent_id = p.expr_id AND c.kind = 'literal')
+    UNION ALL SELECT 'many-calls', file, CAST(count(*) AS VARCHAR) FROM expr WHERE kind = 'app' GROUP BY file HAVING count(*) >= 5
+    UNION ALL SELECT 'key-text', file, literal FROM expr WHERE kind = 'literal' AND literal = 'k3'
+    UNION ALL SELECT 'run-after-read', e.file, e.name FROM expr e WHERE kind = 'app' AND name = 'exec' AND EXISTS (SELECT 1 FROM expr b WHERE b.file = e.file AND b.kind = 'app' AND b.name = 'get_param' AND b.expr_id < e.expr_id)
+    UNION ALL SELECT 'nested-block', file, CAST(n AS VARCHAR) FROM (SELECT e.file, e.expr_id, count(*) AS n FROM expr e JOIN expr o ON o.file = e.file AND o.kind = 'block' AND o.expr_id <= e.expr_id AND e.expr_id <= o.subtree_end WHERE e.kind = 'block' GROUP BY ALL) WHERE n >= 2
+    UNION ALL SELECT 'unused-binding', e.file, e.name FROM expr e WHERE kind IN ('let', 'param') AND NOT EXISTS (SELECT 1 FROM expr u WHERE u.file = e.file AND u.kind IN ('var', 'app', 'field') AND split_part(u.name, '.', 1) = e.name AND u.expr_id > e.expr_id)
+    UNION ALL SELECT 'shadow-variable', file, name FROM (SELECT file, name, row_number() OVER (PARTITION BY file, name ORDER BY expr_id) AS r FROM expr WHERE kind IN ('let', 'param')) WHERE r > 1)
+    SELECT rule, file, subject, count(*) AS n FROM hits GROUP BY ALL"""
+)
+def tree_lint(spark, sf_dir):
+    """Each lint template over the trees, and the two rules that need kinds of values."""
+    e, known = _typed(spark, sf_dir)
+    known, name, kind = durable(known), F.col("name"), F.col("kind")
+    names = spark.createDataFrame([("named-call", "Hint", "exec", ""), ("named-call", "Hint", "load", "")], "rule string, severity string, name string, hint string")
+    found = [
+        types.ignored_results(e, known), types.unchecked_nullables(e, known), exprs.name_lookup(e, names), exprs.shape(e, kind == "binary", F.col("c_kind") == "literal", "text-in-operation", "Hint"),
+        exprs.count_over(e, kind == "app", 5, "many-calls", "Hint"), exprs.literal_match(e, F.col("literal") == "k3", "key-text", "Hint"), exprs.followed_by(e, name == "get_param", name == "exec", "run-after-read", "Hint"),
+        exprs.nested_deeper(e, kind == "block", 2, "nested-block", "Hint"), exprs.unused_bindings(e), exprs.shadowed(e),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("rule", "file", "subject").agg(F.count("*").alias("n"))
+
+
+@query(
+    """, form0 AS (SELECT *, concat_ws(':', kind, CASE WHEN kind IN ('var', 'param', 'let', 'assign') THEN '_' ELSE name END, coalesce(op, ''), coalesce(literal, '')) AS t FROM expr),
+    forms AS (
+        SELECT a.file, a.expr_id, string_agg(concat_ws('/', d.depth - a.depth, d.t), ' ' ORDER BY d.expr_id) AS form FROM form0 a JOIN form0 d ON d.file = a.file AND d.expr_id BETWEEN a.expr_id AND a.subtree_end AND d.depth <= a.depth + 4
+        WHERE a.subtree_end > a.expr_id GROUP BY ALL)
+    SELECT md5(form) AS hash, count(DISTINCT file) AS files FROM forms WHERE length(form) >= 40 GROUP BY form HAVING count(DISTINCT file) >= 4"""
+)
+def tree_duplicates(spark, sf_dir):
+    """Subtrees equal up to variable names in four files at least, 40 characters long and four levels deep."""
+    e = _expressions(spark, sf_dir).withColumn("line", F.col("expr_id").cast("int"))  # places of one line apart
+    return exprs.duplicate_trees(e).where("files >= 4").select("hash", "files")
