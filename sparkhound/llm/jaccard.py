@@ -203,14 +203,14 @@ def _with_pivots(texts: DataFrame, nodes: DataFrame, met: DataFrame, size: int)
     return found
 
 
-def _may(n: np.ndarray, i: np.ndarray, c: np.ndarray, parts: list[bytes]) -> np.ndarray:
-    """Members of a posting with a possible partner in another component."""
+def _may(n: np.ndarray, i: np.ndarray, c: np.ndarray, parts: list[bytes] | None) -> np.ndarray:
+    """Members of a posting with a possible partner in another component, by length and position and, where parts are given, by those."""
     out = np.zeros(len(n), bool)
-    apart_ = Apart([np.frombuffer(p, np.uint8) for p in parts])
+    apart_ = Apart([np.frombuffer(p, np.uint8) for p in parts]) if parts else None
     for k in range(len(n)):
         like = (c != c[k]) & _allowed(n, i, n[k], i[k])
         at = np.flatnonzero(like)
-        out[k] = len(at) and (apart_.least(k, at) <= _most_apart(n[at], n[k])).any()
+        out[k] = len(at) and (apart_ is None or (apart_.least(k, at) <= _most_apart(n[at], n[k])).any())
     return out
 
 
@@ -219,7 +219,7 @@ def _allowed(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.n
     return (np.maximum(n, m) * NUM <= np.minimum(n, m) * DEN) & ((NUM + DEN) * np.minimum(n - i, m - j) >= NUM * (n + m))
 
 
-def _may_together(starts: np.ndarray, n: np.ndarray, i: np.ndarray, c: np.ndarray, parts: list[bytes]) -> np.ndarray:
+def _may_together(starts: np.ndarray, n: np.ndarray, i: np.ndarray, c: np.ndarray, parts: list[bytes] | None) -> np.ndarray:
     """_may() of many small postings, which begin at ``starts``."""
     size = np.diff(np.append(starts, len(n)))
     out, own = np.zeros(len(n), bool), np.repeat(np.arange(len(starts)), size)
@@ -228,6 +228,9 @@ def _may_together(starts: np.ndarray, n: np.ndarray, i: np.ndarray, c: np.ndarra
     like = (left < right) & (c[left] != c[right])
     left, right = left[like], right[like]
     like = _allowed(n[left], i[left], n[right], i[right])
+    if parts is None:
+        out[left[like]] = out[right[like]] = True
+        return out
     most = _most_apart(n[left[like]], n[right[like]])
     for x, y, k in zip(left[like].tolist(), right[like].tolist(), most.tolist(), strict=True):
         if not (out[x] and out[y]) and apart(np.frombuffer(parts[x], np.uint8), np.frombuffer(parts[y], np.uint8)) <= k:
@@ -236,34 +239,35 @@ def _may_together(starts: np.ndarray, n: np.ndarray, i: np.ndarray, c: np.ndarra
 
 
 def _partners(batches):
-    """(p, node, c, n, s) of members that may be similar to another one of their posting; rows come by posting."""
+    """Members that may be similar to another one of their posting, of rows (s, node, n, i, c, p) or with parts; rows come by posting."""
     waiting, rows, long_, key = [], 0, False, None  # whole postings; or what a long posting has gathered
 
     def sent(every: bool):
         s, node, n, i, c, p = (np.concatenate([r[k] for r in waiting]) for k in range(6))
-        parts = [x for r in waiting for x in r[6]]
+        parts = [x for r in waiting for x in r[6]] if waiting[0][6] is not None else None
         at = np.ones(len(node), bool)
         if not every:
             starts = np.flatnonzero(np.append(True, np.diff(s) != 0))
             size = np.diff(np.append(starts, len(s)))
             small = np.repeat(size <= SMALL, size)
             rank = np.cumsum(small) - 1
-            at[small] = _may_together(rank[starts[size <= SMALL]], n[small], i[small], c[small], [x for x, k in zip(parts, small.tolist(), strict=True) if k])
+            at[small] = _may_together(rank[starts[size <= SMALL]], n[small], i[small], c[small], parts and [x for x, k in zip(parts, small.tolist(), strict=True) if k])
             for a, k in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                at[a : a + k] = _may(n[a : a + k], i[a : a + k], c[a : a + k], parts[a : a + k])
-        at &= node != p  # its pivot was compared with all of them
+                at[a : a + k] = _may(n[a : a + k], i[a : a + k], c[a : a + k], parts and parts[a : a + k])
         waiting.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (p, node, c, n, s)], ["p", "node", "c", "n", "s"])
+        columns = [pa.array(x[at]) for x in (s, node, n, i, c, p)]
+        more = [pa.array([x for x, k in zip(parts, at.tolist(), strict=True) if k], pa.binary())] if parts else []
+        return pa.RecordBatch.from_arrays(columns + more, ["s", "node", "n", "i", "c", "p", "parts"][: 6 + len(more)])
 
     in_posting = 0
     for b in batches:
         columns = [b.column(k).to_numpy().astype(np.int64) for k in range(6)]
-        parts = b.column(6).to_pylist()
+        parts = b.column(6).to_pylist() if b.num_columns > 6 else None
         ends = [*np.flatnonzero(np.diff(columns[0])) + 1, b.num_rows]
         for at, end in zip([0, *ends], ends, strict=False):
             if at == end:
                 continue
-            part = [*(x[at:end] for x in columns), parts[at:end]]
+            part = [*(x[at:end] for x in columns), parts and parts[at:end]]
             if part[0][0] != key:
                 if waiting and (long_ or rows >= TOGETHER):
                     yield sent(long_)
@@ -363,9 +367,12 @@ def _met(held, size: int):
 def _in_stars(texts: DataFrame, nodes: DataFrame, met: DataFrame, held, size: int) -> DataFrame:
     """(a, b): links across components ``c`` of ``met(s, node, n, i, p, c)`` between members that are not their posting's pivot."""
     open_ = met.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi AND k > 2").select("s")
-    rows = met.join(open_, "s").join(nodes.select("node", "parts"), "node").select("s", "node", "n", "i", "c", F.col("p.node").alias("p"), "parts")
-    rows = rows.repartition("s").sortWithinPartitions("s")
-    member = keep(rows.mapInArrow(_partners, "p bigint, node bigint, c bigint, n bigint, s bigint").groupBy("p", "node", "c").agg(F.max("n").alias("n"), F.collect_set("s").alias("own")), "stars")
+    # a posting's pivot was compared with all of its members
+    rows = met.where("node <> p.node").join(open_, "s").select("s", "node", "n", "i", "c", F.col("p.node").alias("p"))
+    kinds = "s bigint, node bigint, n bigint, i bigint, c bigint, p bigint"
+    rows = keep(rows.repartition("s").sortWithinPartitions("s").mapInArrow(_partners, kinds), "partners")
+    rows = rows.join(nodes.select("node", "parts"), "node").select(*rows.columns, "parts").repartition("s").sortWithinPartitions("s")
+    member = keep(rows.mapInArrow(_partners, f"{kinds}, parts binary").groupBy("p", "node", "c").agg(F.max("n").alias("n"), F.collect_set("s").alias("own")), "stars")
     sizes = member.groupBy("p", "c").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
     star = sizes.groupBy("p").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("k_main"), F.max_by("m", F.struct("k", "c")).alias("m_main"), F.sum("k").alias("k"), F.sum("m").alias("m"), F.count("*").alias("comps")).where("comps > 1")
     blocks = lambda k, m: F.greatest(F.ceil(k / F.lit(BLOCK)), F.ceil(m / F.lit(BLOCK_SHINGLES)))
@@ -397,9 +404,12 @@ def _links(texts: DataFrame, nodes: DataFrame, classes: np.ndarray, size: int) -
     """(a, b): links that connect all similar sets of ``texts(_row, text)``; None if no two are similar."""
     held = texts.sparkSession.sparkContext.broadcast(classes)
     posts = keep(texts.select("_row", "text").mapInArrow(_posted(held, size), "s bigint, node bigint, n int, i int"), "prefixes")
-    pivots = posts.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("i", "n", "node")).alias("p")).where("k > 1").select("s", "p")
-    met = keep(posts.join(pivots, "s"), "met")
+    shared = posts.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
+    some = keep(posts.join(shared, "s"), "shared")
     forget(posts)
+    pivots = some.groupBy("s").agg(F.min(F.struct("i", "n", "node")).alias("p"))
+    met = keep(some.join(pivots, "s"), "met")
+    forget(some)
     links = _with_pivots(texts, nodes, met, size)
     none = links.isEmpty()
     tree = None if none else components(links).select("node", F.col("root").alias("c"))
