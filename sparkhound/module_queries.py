@@ -92,6 +92,19 @@ def cross_file_taint(spark, sf_dir):
     return _taint(spark, sf_dir)[1].select("file", "var").distinct()
 
 
+@query(
+    """, wide AS (SELECT from_kind, from_file, from_name, kind, file, name FROM edges
+        UNION SELECT DISTINCT 'v', file, name, 'n', '', name FROM (SELECT file, var AS name FROM rows_ WHERE m BETWEEN 2 AND 6) UNION SELECT DISTINCT 'n', '', other, 'v', file, other FROM rows_ WHERE m IN (3, 4)
+        UNION SELECT DISTINCT 'v', file, other, 'n', '', other FROM rows_ WHERE m IN (3, 4)),
+    known AS (SELECT DISTINCT 'v' AS kind, file, var AS name FROM rows_ WHERE m = 2 UNION SELECT e.kind, e.file, e.name FROM known f JOIN wide e ON e.from_kind = f.kind AND e.from_file = f.file AND e.from_name = f.name)
+    SELECT file, name AS var FROM known WHERE kind = 'v'"""
+)
+def same_name_taint(spark, sf_dir):
+    """Taint that also crosses files by variables' names."""
+    n = durable(modules(spark, sf_dir))
+    return taint.analyse(n, imports.reexported(imports.resolved_imports(n, n)), by_name=True).select("file", "var").distinct()
+
+
 @query(" SELECT file, var FROM static")
 def static_variables(spark, sf_dir):
     return statics.static_variables(modules(spark, sf_dir))

@@ -159,12 +159,26 @@ def from_returns(nodes: DataFrame, returns: DataFrame, imports: DataFrame | None
     return local.distinct().select("file", "var", F.lit("").alias("field"), F.lit("return").alias("source"))
 
 
-def analyse(nodes: DataFrame, imports: DataFrame | None = None, sources: list[str] = SOURCES, sanitizers: list[str] = SANITIZERS) -> DataFrame:
-    """The whole pipeline: seed, propagate, returns, interprocedural, propagate again (G-17)."""
+def same_names(taint: DataFrame, edges: DataFrame) -> DataFrame:
+    """Variables that another file taints under the same name, where a file passes them on (J-14, G-12).
+
+    Names are few against their uses, so they are made distinct before they meet the files.
+    """
+    names = taint.where("field = ''").select(F.col("var").alias("src")).distinct()
+    return edges.select("file", "src").distinct().join(names, "src").select("file", F.col("src").alias("var"), F.lit("").alias("field"), F.lit("name").alias("source"))
+
+
+def analyse(nodes: DataFrame, imports: DataFrame | None = None, sources: list[str] = SOURCES, sanitizers: list[str] = SANITIZERS, by_name: bool = False) -> DataFrame:
+    """The whole pipeline: seed, propagate, returns, interprocedural, propagate again (G-17).
+
+    ``by_name``: a tainted variable taints those of its name in all files. It is off, as files that have nothing to do with each other share names.
+    """
     edges, inside = durable(flows(nodes, sanitizers)), durable(_assignments_inside(nodes))
     taint = durable(propagate(seeds(nodes, sources, sanitizers), edges))
     while True:
-        more = from_returns(nodes, tainted_returns(nodes, taint, inside), imports, sanitizers).join(taint.select(KEYS), KEYS, "left_anti")
+        more = from_returns(nodes, tainted_returns(nodes, taint, inside), imports, sanitizers)
+        more = more.unionByName(same_names(taint, edges)) if by_name else more
+        more = more.join(taint.select(KEYS), KEYS, "left_anti")
         # only what is new flows on
         more = durable(propagate(more, edges).join(taint.select(KEYS), KEYS, "left_anti"))
         if more.isEmpty():
