@@ -178,12 +178,11 @@ def analyse(nodes: DataFrame, imports: DataFrame | None = None, sources: list[st
     while True:
         more = from_returns(nodes, tainted_returns(nodes, taint, inside), imports, sanitizers)
         more = more.unionByName(same_names(taint, edges)) if by_name else more
-        more = more.join(taint.select(KEYS), KEYS, "left_anti")
-        # only what is new flows on
-        more = durable(propagate(more, edges).join(taint.select(KEYS), KEYS, "left_anti"))
+        more = durable(more.join(taint.select(KEYS), KEYS, "left_anti"))
         if more.isEmpty():
             return taint
-        taint = taint.unionByName(more)
+        # only what is new flows on
+        taint = taint.unionByName(durable(propagate(more, edges).join(taint.select(KEYS), KEYS, "left_anti")))
 
 
 def guard_lines(nodes: DataFrame) -> DataFrame:
