@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
 Each source is one stream of words, its documents in doc_id order; the stream is packed into blocks of a fixed length (the
-last one may be short). The mix is a sequence of slots. Its output shards draw their source counts one after the other from
+last one may be short). Blocks have 64 words; where a source's words or its target are fewer than 64 such blocks, a block
+has a 64th of them, at least one word, so that the taken words can come near the target. The mix is a sequence of slots. Its output shards draw their source counts one after the other from
 a multinomial over the slots that each source still has to give, so that the draws add up to the targets. The i-th slot of a
 source takes block perm(i mod blocks) of pass i div blocks, where perm is a pseudorandom permutation of the block numbers
 (a Feistel network that walks until it is inside), and slots are joined to blocks by source and block number. Where a document
@@ -42,10 +43,16 @@ def targets(sizes: list[int], most: float = MOST, weights: list[float] | None =
         for k in over:
             out[k] = float(most * sizes[k])
             left -= out[k]
-        open_ = [k for k in open_ if k not in set(over)]
+        full = set(over)
+        open_ = [k for k in open_ if k not in full]
     return out
 
 
+def block_length(size: int, target: float, block: int | None) -> int:
+    """Words in a block of a source with ``size`` words that should give ``target``; a given length holds for all sources."""
+    return block or min(BLOCK, max(1, int(min(size, target)) // BLOCK))
+
+
 def drawn(slots: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     """Counts (shards x sources): multinomial draws over what is left of each source; the columns add up to ``slots``."""
     rng, left = np.random.default_rng(seed), np.array(slots, np.int64)
@@ -81,29 +88,31 @@ class Mix:
     """A mix of ``docs(doc_id, text, source)``, other columns aside.
 
     Null texts and texts without words have size 0 and give no words. Null sources are one source, last in order. Repeated
-    rows are documents of their own. Sizes, targets and draws depend on the rows alone, so reruns agree.
+    rows are documents of their own. Sizes, targets and draws depend on the rows alone, so reruns agree. ``block`` sets one
+    length for the blocks of all sources; without it the length follows the source (``block_length``).
     """
 
-    def __init__(self, docs: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHARDS, most: int = MOST, seed: int = SEED, carry: tuple[str, ...] = ()):
-        self.spark, self.block, self.seed, self.most = docs.sparkSession, block, seed, most
+    def __init__(self, docs: DataFrame, block: int | None = None, shards: int = OUTPUT_SHARDS, most: int = MOST, seed: int = SEED, carry: tuple[str, ...] = ()):
+        self.spark, self.seed, self.most = docs.sparkSession, seed, most
         rows = docs.select(*carry, "doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_tie"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         laid = positions(rows, [F.col("source").asc_nulls_last(), "doc_id", "_tie"], "size", "mix-rows")
         found = [(r["source"], r["n"]) for r in laid.groupBy("source").agg(F.sum("size").alias("n")).collect()]
         self.sources = sorted(found, key=lambda x: (x[0] is None, x[0] or ""))
         self.sizes = [n for _, n in self.sources]
         self.targets = targets(self.sizes, most)
-        self.blocks = [-(-n // block) for n in self.sizes]
+        self.lengths = [block_length(n, t, block) for n, t in zip(self.sizes, self.targets, strict=True)]
+        self.blocks = [-(-n // k) for n, k in zip(self.sizes, self.lengths, strict=True)]
         #: slots of a source: the whole number whose words come nearest its target, at most ``most`` passes
         self.slots = [min(most * b, max(0, round(t / n * b))) if n else 0 for t, n, b in zip(self.targets, self.sizes, self.blocks, strict=True)]
         self.counts = drawn(self.slots, shards, seed)
         starts = np.concatenate(([0], np.cumsum(self.sizes))).tolist()
-        known = [(s, k, n, t, starts[k]) for k, ((s, n), t) in enumerate(zip(self.sources, self.targets, strict=True))]
-        of = F.broadcast(self.spark.createDataFrame(known, f"source {dict(docs.dtypes)['source']}, _s int, source_size long, target double, _start long"))
+        known = [(s, k, n, t, starts[k], self.lengths[k]) for k, ((s, n), t) in enumerate(zip(self.sources, self.targets, strict=True))]
+        of = F.broadcast(self.spark.createDataFrame(known, f"source {dict(docs.dtypes)['source']}, _s int, source_size long, target double, _start long, _length long"))
         #: documents with their place in their source's stream: [begin, end)
         self.docs = (
             laid.alias("d")
             .join(of.alias("o"), F.expr("d.source <=> o.source"))
-            .select(*[f"d.{c}" for c in carry], "d.doc_id", "d.source", "d.size", "d.row", "_tie", "_s", "source_size", "target", (F.col("upto") - F.col("_start")).alias("end"))
+            .select(*[f"d.{c}" for c in carry], "d.doc_id", "d.source", "d.size", "d.row", "_tie", "_s", "_length", "source_size", "target", (F.col("upto") - F.col("_start")).alias("end"))
             .withColumn("begin", F.col("end") - F.col("size"))
         )
 
@@ -132,8 +141,8 @@ class Mix:
 
     def segments(self) -> DataFrame:
         """(row, _s, block, words, from): the words of a document that lie in a block, counted from the document's start."""
-        n = self.block
-        cut = self.docs.where("size > 0").select("row", "_s", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / n), F.floor((F.col("end") - 1) / n))).alias("block"))
+        n = F.col("_length")
+        cut = self.docs.where("size > 0").select("row", "_s", "_length", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / n), F.floor((F.col("end") - 1) / n))).alias("block"))
         low, high = F.greatest("begin", F.col("block") * n), F.least("end", (F.col("block") + 1) * n)
         return cut.select("row", "_s", "block", (high - low).alias("words"), (low - F.col("begin")).alias("from"))
 
@@ -157,7 +166,8 @@ class Mix:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, block after block in the order of output shards and slots: a row for each document's part of a block.
 
-    A part keeps the white space between its words; a part that is all of a document's words is the text as it is. Columns as
+    A part keeps the white space between its words; a part that is all of a document's words is the text as it is. A long text
+    is cut into its parts inside its own row; only the parts go on, so work grows with the text and not with its square. Columns as
     in ``docs``; ``n_chars`` follows the text where there is such a column. Documents without words give no rows.
     """
     used = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
@@ -167,12 +177,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     cuts = mix.placed().join(mix.docs.select("row", "_id", "size"), "row").groupBy("_id", "row", "size").agg(F.collect_list(F.struct("shard", "slot", "from", "words")).alias("cuts"))
     words = F.regexp_extract_all("text", F.lit(SPACED), F.lit(0))
     cut = lambda c: F.regexp_replace(F.array_join(F.slice(F.col("_words"), c["from"].cast("int") + 1, c["words"].cast("int")), ""), r"^[\x20\x09-\x0D]+", "")
-    part = lambda c: F.struct(c["shard"].alias("shard"), c["slot"].alias("slot"), F.when(c["words"] < F.col("size"), cut(c)).alias("text"))
+    part = lambda c: F.struct(c["shard"].alias("shard"), c["slot"].alias("slot"), F.when(c["words"] < F.col("size"), cut(c)).otherwise(F.col("text")).alias("text"))
     # _words is named twice, or the optimiser would split the text anew for each cut
     parts = F.when(F.size("_words") >= 0, F.transform("cuts", part))
     out = base.join(cuts, "_id").withColumn("_words", F.when(F.exists("cuts", lambda c: c["words"] < F.col("size")), words).otherwise(F.array().cast("array<string>")))
-    out = out.select(*[c for c in base.columns if c != "text"], "row", F.col("text").alias("_whole"), F.explode(parts).alias("_part"))
-    out = out.withColumn("text", F.coalesce("_part.text", "_whole")).withColumns({"_shard": F.col("_part.shard"), "_slot": F.col("_part.slot")}).drop("_part", "_whole")
+    out = out.select(*[c for c in base.columns if c != "text"], "row", F.explode(parts).alias("_part"))
+    out = out.withColumns({"text": F.col("_part.text"), "_shard": F.col("_part.shard"), "_slot": F.col("_part.slot")}).drop("_part")
     if "n_chars" in used:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     laid = out.repartitionByRange(shuffle_parts(docs.sparkSession), "_shard", "_slot").sortWithinPartitions("_shard", "_slot", "row")

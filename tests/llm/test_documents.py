@@ -193,6 +193,28 @@ def test_mixed_documents(docs, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_small_sources_meet_their_targets(spark):
+    sizes = [1 + k * 7 % 9 for k in range(3000)] + [64, 100, 1000, 4095, 4096, 5000]
+    rows = [(k, "w " * n, f"site{k:05d}") for k, n in enumerate(sizes)]
+    got = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).taken().collect()
+    assert sum(r["taken"] for r in got) == pytest.approx(sum(sizes), rel=0.02)
+    for r in got:
+        assert r["taken"] <= 3 * r["size"] and abs(r["taken"] - r["target"]) <= max(1, 0.02 * r["target"]), r
+
+
+def test_a_long_text_is_cut_into_parts(spark):
+    words = [f"w{k}" for k in range(200_000)]
+    rows = [(1, " ".join(words), "a"), (2, "x y z " * 5000, "b"), (3, " ".join(words[:100]), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    parts, m = mixing.mixed_documents(docs), mixing.Mix(docs)
+    counts = dict(parts.groupBy("doc_id").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect())
+    assert counts == {r["doc_id"]: r["taken"] for r in m.taken().collect() if r["taken"]}
+    long = [r["text"].split() for r in parts.where("doc_id = 1").collect()]
+    # parts are runs of the text's words, and no word comes more than three times
+    assert max(map(len, long)) <= mixing.BLOCK and all(p == words[int(p[0][1:]) : int(p[0][1:]) + len(p)] for p in long)
+    assert max(Counter(w for p in long for w in p).values()) <= 3
+
+
 KINDS = ("email", "ip", "card", "phone")
 
 
