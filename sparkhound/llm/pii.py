@@ -2,11 +2,19 @@
 
 Seeds are exact recognisers for e-mail addresses, IP addresses, card and phone numbers. Looser recognisers give candidates
 that only *might* be such identifiers: written-out addresses, compressed IPv6 addresses, any run of digits and separators.
-An occurrence of either stands in lexical contexts: the word before it (or the label that is glued to it), the two words
-before it, and the word after it. Seeds and contexts form a bipartite graph that Spark scores in turns:
+An occurrence of either stands in lexical contexts, literal ones and patterns over them:
+  * the word before it (or the label that is glued to it), the two words before it, the word after it;
+  * L: the class of the label before it, which is its letters without case, digits and outer punctuation ('Tel.:', '(tel');
+  * W: the class of the word two before it, whatever word stands between ('hotline anna +49...');
+  * P: the class of the word after it.
+Words are known by their last ``WIDTH`` characters; a word after that ends beyond them is no context. Seeds and contexts
+form a bipartite graph that Spark scores in turns:
   * a context's score is the share of all its corpus occurrences that have an identifier of the kind in their slot, each
     weighted by the instance's current belief, if at least ``SUPPORT`` different instances stand there;
-  * a candidate's belief is 1 - prod(1 - score) over its contexts that reach ``TRUST``; seeds keep belief 1.
+  * a candidate's belief is 1 - (1 - before) * (1 - after), the best scores of its contexts on either side that reach
+    ``TRUST`` (forms of one side are the same evidence); seeds keep belief 1.
+Candidates that overlap a seed take no part. Corpus counts are made only if some context has ``SUPPORT`` seeds, as nothing
+is trusted otherwise: of the distinct words, and of word pairs only where a pair can reach ``SUPPORT``.
 Instances that come to be believed induce further contexts in the next turn, until in two turns no further context reaches
 ``TRUST`` and the scores hardly rise. Then candidates in trusted contexts are reported beside the seeds, which are never dropped.
 
@@ -26,7 +34,6 @@ SUPPORT = 5
 TRUST = 0.5
 #: Turns at most; more raise an error. Scores only rise, so they settle.
 ROUNDS = 50
-BUCKETS = 65_536
 
 #: Possessive forms of the contract's patterns. A match can start inside a run of its first class only where another one
 #: ended (\G); else the run's first character would have started it. So each run is tried once and time stays linear.
@@ -41,7 +48,10 @@ GLUED = r"(?<=[^0-9a-z])(?=[0-9a-z+(])|(?<=[^0-9+(])(?=[0-9+(])"
 #: Characters of a context at most, its last ones.
 WIDTH = 48
 #: Candidates only.
-LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(][aA][tT][\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(][dD][oO][tT][\])]|\.) ?[A-Za-z0-9-]{1,63}+){1,8}"
+_SPELT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(][aA][tT][\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(][dD][oO][tT][\])]|\.) ?[A-Za-z0-9-]{1,63}+){1,8}"
+#: Addresses with letters of any script; those of ASCII letters alone are seeds.
+_ANY_SCRIPT = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}+"
+LOOSE_EMAIL = f"{_SPELT}|{_ANY_SCRIPT}"
 _HEX = "[0-9A-Fa-f]{1,4}+"
 LOOSE_IP = rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{3,7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::(?:{_HEX}:){{0,6}}{_HEX})(?![0-9A-Za-z:])"
 #: Two to six groups of digits, or one run; a full stop or a hyphen may follow, but no further digit.
@@ -69,14 +79,22 @@ def _surroundings(matches: Column, gaps: Column) -> Column:
     )
 
 
+def _class(word: Column) -> Column:
+    """A lower-case word without what is no letter at its ends, runs of digits as 0; null if nothing is left."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(word, r"^[^\p{L}]++|(?<=\p{L})[^\p{L}]++$", ""), "[0-9]++", "0"), F.lit(""))
+
+
 def _contexts() -> Column:
-    """The word before (or the label glued to) a match, 'two words before' marked 2, 'the word after' marked R; whole words only."""
+    """The word before (or the label glued to) a match, 'two words before' marked 2, 'the word after' marked R, and their
+    classes marked L, W and P; whole words only."""
     words, after = F.split(F.lower(F.col("m.tail")), r"[\x09-\x0D\x20]+"), F.split(F.lower(F.col("m.head")), r"[\x09-\x0D\x20]+")
     whole = (F.size(words) > 2) | (F.size(words) == 2) & (F.length("m.tail") < WIDTH)
     one = F.element_at(words, -1)
-    two = F.when(F.col("m.apart") & whole & (F.element_at(words, -2) != ""), F.concat(F.lit("2 "), F.element_at(words, -2), F.lit(" "), one))
-    right = F.when((F.size(after) > 2) & (F.get(after, 1) != ""), F.concat(F.lit("R "), F.get(after, 1)))
-    return F.filter(F.array(one, F.when(F.size(words) > 1, two), right), lambda c: c.isNotNull() & (c != ""))
+    far = F.when((F.size(words) > 1) & F.col("m.apart") & whole & (F.get(words, F.size(words) - 2) != ""), F.get(words, F.size(words) - 2))
+    near = F.when((F.size(after) > 2) & (F.get(after, 1) != ""), F.get(after, 1))
+    forms = [one, F.concat(F.lit("2 "), far, F.lit(" "), one), F.concat(F.lit("R "), near)]
+    forms += [F.concat(F.lit(mark), _class(x)) for mark, x in (("L ", one), ("W ", far), ("P ", near))]
+    return F.filter(F.array(*forms), lambda c: c.isNotNull() & (c != ""))
 
 
 def _digits(x: Column) -> Column:
@@ -101,7 +119,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
         _found("ip", True, t, IP, t.rlike(r"[0-9]\.[0-9]")),
         _found("card", True, F.col("marked"), CHAIN, F.col("marked").isNotNull()),
         _found("phone", True, t, PHONE, F.contains(t, F.lit("+"))),
-        _found("email", False, t, LOOSE_EMAIL, t.rlike(r"[\[(][aA][tT][\])]")),
+        _found("email", False, t, LOOSE_EMAIL, F.contains(t, F.lit("@")) | t.rlike(r"[\[(][aA][tT][\])]")),
         _found("ip", False, t, LOOSE_IP, t.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f:]")),
         _found("phone", False, t, LOOSE_PHONE, t.rlike(r"[0-9][0-9)][0-9\x20./-]")),
     )
@@ -132,37 +150,60 @@ def occurrences(texts: DataFrame) -> DataFrame:
     )
 
 
-def _counted(texts: DataFrame) -> DataFrame:
-    """(context): every occurrence of every possible context in the corpus."""
-    words = texts.select(F.filter(F.split(F.lower("text"), r"[\x09-\x0D\x20]+"), lambda w: w != "").alias("ws"))
-    words = words.select(F.explode(F.transform("ws", lambda w, k: F.struct(w.alias("w"), F.get(F.col("ws"), k - 1).alias("p")))).alias("x")).select("x.w", "x.p")
-    # a label is a whole word, or a word's part before an identifier; both count wherever they stand
+def _words(texts: DataFrame) -> DataFrame:
+    return texts.select(F.filter(F.split(F.lower("text"), r"[\x09-\x0D\x20]+"), lambda w: w != "").alias("ws"))
+
+
+def _totals(texts: DataFrame, rich: DataFrame) -> DataFrame:
+    """(context, total): every occurrence in the corpus of each context of ``rich(context)``.
+
+    Words are counted before anything is made of them: contexts of one word are forms of the distinct words. A label is a
+    whole word, or a word's part before an identifier; both count wherever they stand.
+    """
+    wanted = rich.select("context").distinct()
+    distinct = _words(texts).select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     parts = F.split("w", GLUED)
     upto = lambda k: F.right(F.array_join(F.slice(parts, F.greatest(F.lit(1), k - WIDTH + 1), F.least(k, F.lit(WIDTH))), ""), F.lit(WIDTH))
     cut = F.when(F.col("w").rlike(GLUED), F.transform(F.sequence(F.lit(1), F.size(parts)), upto)).otherwise(F.array(F.right("w", F.lit(WIDTH))))
-    return words.select(F.explode(F.concat(cut, F.array(F.concat(F.lit("R "), F.col("w")), F.concat(F.lit("2 "), F.col("p"), F.lit(" "), F.col("w"))))).alias("context")).where("context IS NOT NULL")
+    classes = F.array_distinct(F.filter(F.transform("cut", _class), lambda c: c.isNotNull()))
+    marked = lambda mark: F.transform("classes", lambda c: F.concat(F.lit(mark), c))
+    forms = distinct.withColumn("cut", cut).withColumn("classes", classes)
+    forms = forms.select("n", F.explode(F.concat("cut", F.array(F.concat(F.lit("R "), F.col("w"))), marked("L "), marked("W "), marked("P "))).alias("context"))
+    totals = forms.join(wanted, "context").groupBy("context").agg(F.sum("n").alias("total"))
+    pairs = wanted.where(F.col("context").startswith("2 "))
+    if pairs.isEmpty():
+        return totals
+    # pairs are held against the wanted ones by their second words first; of these few are left to be shuffled
+    seconds = pairs.select(F.element_at(F.split("context", " "), -1).alias("w")).distinct()
+    both = _words(texts).select(F.explode(F.transform("ws", lambda w, k: F.struct(w.alias("w"), F.get(F.col("ws"), k - 1).alias("p")))).alias("x")).select("x.w", "x.p")
+    both = both.join(seconds, "w").select(F.concat(F.lit("2 "), F.col("p"), F.lit(" "), F.col("w")).alias("context")).where("context IS NOT NULL")
+    return totals.unionByName(both.groupBy("context").agg(F.count("*").alias("total")).join(pairs, "context"))
+
+
+def _free(found: DataFrame) -> DataFrame:
+    """Seeds, and the candidates that overlap none of their document's seeds: running ends before, running starts behind."""
+    by_start = Window.partitionBy("uid").orderBy("start", "end", "kind", "seed")
+    ended = F.max(F.when(F.col("seed"), F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    begun = F.min(F.when(F.col("seed"), F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing))
+    marked = found.withColumns({"_ended": ended, "_begun": begun})
+    clear = (F.coalesce("_ended", F.lit(-1)) <= F.col("start")) & (F.col("_begun").isNull() | (F.col("_begun") >= F.col("end")))
+    return marked.where(F.col("seed") | clear).drop("_ended", "_begun")
 
 
 def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
     """(uid, kind, start, end): candidates in trusted contexts, none overlapping a seed of the document."""
-    words = _counted(texts)
+    found = keep(_free(found), "pii-free")
+    none = found.select("uid", "kind", "start", "end").limit(0)
     placed = found.select("kind", "seed", "instance", F.explode("contexts").alias("context"))
     # inner joins on distinct keys, as the optimiser would move semi-joins below the counts;
     # only contexts of a candidate can report anything, and only they need corpus counts
-    open_ = placed.where("NOT seed").select("context").distinct()
-    seen = placed.groupBy("kind", "context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(open_, "context")
-    rich = seen.groupBy("kind", "context").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= support)
+    open_ = placed.where("NOT seed").select("kind", "context").distinct()
+    seen = placed.groupBy("kind", "context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(open_, ["kind", "context"])
+    rich = seen.groupBy("kind", "context").agg(F.count("*").alias("kinds"), F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("kinds") >= support)
     rich = keep(rich, "pii-rich")
-    # words are first held against a bit map of the contexts' hashes, of fixed size whatever their number; the join decides
-    bucket = F.pmod(F.xxhash64("context"), F.lit(BUCKETS))
-    bits = [0] * (BUCKETS // 64)
-    for r in rich.select(bucket.cast("int").alias("b")).distinct().collect():
-        bits[r["b"] // 64] |= 1 << r["b"] % 64
-    cells = F.lit([x - (1 << 64) if x >> 63 else x for x in bits])
-    is_set = F.expr("shiftrightunsigned(cell, cast(bucket % 64 AS int)) & 1") == 1
-    near = words.withColumn("bucket", bucket).withColumn("cell", F.get(cells, F.floor(F.col("bucket") / 64).cast("int"))).where(is_set)
-    total = near.groupBy("context").agg(F.count("*").alias("total")).join(rich.select("context").distinct(), "context")
-    graph = keep(seen.join(rich.select("kind", "context"), ["kind", "context"]).join(total, "context"), "pii-graph")
+    if rich.where(F.col("seeds") >= support).isEmpty():
+        return none
+    graph = keep(seen.join(rich.select("kind", "context"), ["kind", "context"]).join(_totals(texts, rich), "context"), "pii-graph")
     belief = graph.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("belief"))
     trusted, total_score, settled, tables = 0, 0.0, 0, []
     for _ in range(rounds):
@@ -177,17 +218,17 @@ def learned(texts: DataFrame, found: DataFrame, support: int = SUPPORT, trust: f
         trusted, total_score = now
         if settled == 2 or not trusted:
             break
-        miss = F.sum(F.log1p(-F.least(F.when(F.col("score") >= trust, F.col("score")).otherwise(0.0), F.lit(1 - 1e-9))))
-        belief = keep(graph.join(scores, ["kind", "context"]).groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(miss)).alias("belief")), "pii-belief")
+        best = lambda side: F.coalesce(F.max(F.when(side & (F.col("score") >= trust), F.col("score"))), F.lit(0.0))
+        after = F.col("context").startswith("R ") | F.col("context").startswith("P ")
+        both = 1 - (1 - best(~after)) * (1 - best(after))
+        belief = keep(graph.join(scores, ["kind", "context"]).groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(both).alias("belief")), "pii-belief")
         tables.append(belief)
     else:
         raise RuntimeError(f"contexts still changed after {rounds} turns")
     forget(rich, graph, *tables[:-1])
     good = scores.where(F.col("score") >= trust).select("kind", "context")
     slots = found.where("NOT seed").select("uid", "kind", "start", "end", F.explode("contexts").alias("context"))
-    new = slots.join(good, ["kind", "context"]).select("uid", "kind", "start", "end").distinct()
-    taken = found.where("seed").select(F.col("uid").alias("u"), F.col("start").alias("s"), F.col("end").alias("e"))
-    return new.join(taken, F.expr("uid = u AND start < e AND s < end"), "left_anti")
+    return slots.join(good, ["kind", "context"]).select("uid", "kind", "start", "end").distinct()
 
 
 def spans(texts: DataFrame, **options) -> DataFrame:
