@@ -1,22 +1,32 @@
-"""Findings as JSON, SARIF, Markdown, DOT, terminal text and rule lists. Reports are for people: they collect what they show."""
+"""Findings as JSON, SARIF, Markdown, DOT, terminal text and rule lists, as strings for people: they collect what they show.
+
+``report_files`` writes the same documents from the tasks, whatever their size.
+"""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 
 # SARIF levels.
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note"}
+# Colours of call graph nodes by class.
+COLOURS = {"Entry": "green", "Sink": "red", "Reachable": "orange", "Dormant": "gray"}
 
 
 def finding_json(found: DataFrame) -> DataFrame:
     """(json): one object a finding; dependency, reachability and suggestion only where set (K-06)."""
+    return found.select(finding_object(found).alias("json"))
+
+
+def finding_object(found: DataFrame) -> Column:
+    """The JSON object of a row of ``found``."""
     cols = [c for c in ("rule", "severity", "file", "line", "message", "flow", "dependency", "reachability", "suggestion") if c in found.columns]
-    return found.select(F.to_json(F.struct(*cols)).alias("json"))
+    return F.to_json(F.struct(*cols))
 
 
 def json_report(found: DataFrame, files: int) -> str:
@@ -26,9 +36,10 @@ def json_report(found: DataFrame, files: int) -> str:
     return json.dumps({"files_scanned": files, "summary": {k: counts.get(k, 0) for k in ("Error", "Warning", "Info")}, "findings": rows}, ensure_ascii=False)
 
 
-def _ordered(found: DataFrame) -> list[dict]:
+def _ordered(found: DataFrame, limit: int | None = None) -> list[dict]:
     cols = [c for c in ("rule", "severity", "file", "line", "message", "flow", "dependency", "reachability", "suggestion") if c in found.columns]
-    rows = found.orderBy(F.desc(P.severity_rank(F.col("severity"))), "file", "line", "rule").select(*cols).collect()
+    sorted_ = found.orderBy(F.desc(P.severity_rank(F.col("severity"))), "file", "line", "rule").select(*cols)
+    rows = (sorted_ if limit is None else sorted_.limit(limit)).collect()
     keep = {"rule", "severity", "file", "line", "message", "flow"}
     return [{k: v for k, v in r.asDict(recursive=True).items() if k in keep or v is not None} for r in rows]
 
@@ -85,18 +96,18 @@ def markdown(found: DataFrame) -> str:
     return "\n".join(parts)
 
 
-def terminal(found: DataFrame) -> tuple[str, int]:
-    """(text, exit code): 1 if there are findings (K-01)."""
-    rows = _ordered(found)
-    lines = [f"[{r['severity']}] {r['rule']} {r['file']}:{r['line']} {r['message']}" for r in rows]
-    return "\n".join([*lines, f"{len(rows)} findings"]), int(bool(rows))
+def terminal(found: DataFrame, limit: int = 1000) -> tuple[str, int]:
+    """(text, exit code): the gravest ``limit`` findings, which is what a terminal can show, and the number of all; 1 if there are any (K-01)."""
+    total = found.count()
+    lines = [f"[{r['severity']}] {r['rule']} {r['file']}:{r['line']} {r['message']}" for r in _ordered(found, limit)]
+    more = [f"{total - len(lines)} more"] if total > len(lines) else []
+    return "\n".join([*lines, *more, f"{total} findings"]), int(total > 0)
 
 
 def dot(edges: DataFrame, classes: DataFrame) -> str:
     """The call graph; colours by class (K-05)."""
-    colour = {"Entry": "green", "Sink": "red", "Reachable": "orange", "Dormant": "gray"}
     quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
-    nodes = [f"  {quote(r['name'])} [color={colour[r['class']]}];" for r in classes.orderBy("name").collect()]
+    nodes = [f"  {quote(r['name'])} [color={COLOURS[r['class']]}];" for r in classes.orderBy("name").collect()]
     links = [f"  {quote(r['caller'])} -> {quote(r['callee'])};" for r in edges.select("caller", "callee").distinct().orderBy("caller", "callee").collect()]
     return "\n".join(["digraph calls {", *nodes, *links, "}"])
 
