@@ -250,12 +250,6 @@ def encode_decode(docs: DataFrame, model_file: str, with_text: bool = True) -> D
     """
     def run(batches):
         c = codec(model_file)
-        try:
-            yield from encoded(c, batches)
-        finally:
-            c.known.clear()  # workers live on and serve other stages; what they remember of this task should not stay with them
-
-    def encoded(c, batches):
         for b in sliced(batches):
             counts, ids_sha, texts_sha, ids, texts = [], [], [], [], []
             for text in b.column(1).to_pylist():
