@@ -1,8 +1,17 @@
-"""Steps whose sides grow with the input do not send them whole through the driver."""
+"""Steps whose sides grow with the input do not send them whole through the driver, and do not shuffle what is whole in a task."""
 
-from sparkhound.operators import imports, taint
+import pytest
+from pyspark.sql import functions as F
+from test_syntax_trees import GLEAM, JS
+
+from sparkhound import tree_queries
+from sparkhound.operators import imports, taint, trees
 from sparkhound.plans.fixpoint import durable
+from sparkhound.schema import EXPRS
+from sparkhound.sources.tree_rules import tree_rules
+from sparkhound.sources.xml_trees import xml_trees
 
+SF = "/root/testdata/sf0.001"
 ARGS = "array<struct<arg_type:string,value:string,field:string>>"
 
 
@@ -17,3 +26,34 @@ def test_taint_and_imports_are_merged_not_broadcast(spark):
     seen = durable(spark.createDataFrame([("a", "b")], "file string, imported_file string"))
     for df in (taint.flows(n), taint.tainted_returns(n, known), taint.from_returns(n, taint.tainted_returns(n, known), seen), imports.resolved_imports(n, n)):
         assert "Broadcast" not in _plan(df)
+
+
+def test_trees_are_contracted_where_they_are_parsed(spark):
+    docs = durable(spark.createDataFrame([("f", GLEAM, "gleam")], "file string, content string, language string"))
+    plan = _plan(trees.document_expressions(docs, tree_rules(spark)))
+    assert "Exchange" not in plan and "Join" not in plan and "Sort" not in plan
+
+
+ODD = [
+    ("empty", ""), ("null", None), ("broken", "<function><identifier field='name'>f</identifier><block><identifier>x"), ("text", "no xml"), ("deep", "<block>" * 300 + "<identifier>z</identifier>" + "</block>" * 300),
+    ("outside", "<source_file><let><identifier field='pattern'>a</identifier><integer>1</integer></let><function><identifier field='name'>g</identifier><function><identifier field='name'>h</identifier><identifier>q</identifier></function></function><let><identifier field='pattern'>b</identifier><identifier>a</identifier></let></source_file>"),
+    ("dropped", "<block><comment><identifier>x</identifier></comment><string>'</string><string>\"\"</string></block>"), ("gleam", GLEAM), ("js", JS),
+]
+
+
+@pytest.mark.parametrize("language", ["gleam", "javascript", "unknown"])
+def test_contraction_in_a_task_equals_the_windows(spark, language):
+    docs = spark.createDataFrame(ODD, "file string, content string").withColumn("language", F.lit(language))
+    _equal(spark, docs)
+
+
+def test_contraction_of_the_fixture_equals_the_windows(spark):
+    _equal(spark, tree_queries.documents(spark, SF).where("pmod(xxhash64(file), 10) = 0"))
+
+
+def _equal(spark, docs):
+    columns = [c.split()[0] for c in EXPRS.split(", ")]
+    nodes = xml_trees(docs).join(docs.select("file", "language"), "file")
+    want = trees.expressions(nodes, tree_rules(spark)).select(columns)
+    got = trees.document_expressions(docs, tree_rules(spark)).select(columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
