@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_syntax_trees import GLEAM, JS
 
 from sparkhound import tree_queries
-from sparkhound.operators import imports, taint, trees
+from sparkhound.operators import imports, statics, taint, trees
 from sparkhound.plans.fixpoint import durable
 from sparkhound.schema import EXPRS
 from sparkhound.sources.tree_rules import tree_rules
@@ -28,6 +28,14 @@ def test_taint_and_imports_are_merged_not_broadcast(spark):
         assert "Broadcast" not in _plan(df)
 
 
+def test_static_variables_are_merged_not_broadcast(spark):
+    rows = [("a", k, k, "assign", v, [(t, x, "")], False, "crystal", {}) for k, (v, t, x) in enumerate([("x", "literal", "1"), ("y", "var", "x"), ("z", "call", "f"), ("w", "var", "z"), ("r", "var", "s"), ("s", "var", "r")])]
+    n = durable(spark.createDataFrame(rows, f"file string, ord long, line int, node_type string, name string, args {ARGS}, taint boolean, language string, metadata map<string,string>"))
+    found = statics.static_variables(n)
+    assert "Broadcast" not in _plan(found)
+    assert {r["var"] for r in found.collect()} == {"x", "y", "r", "s"}
+
+
 def test_trees_are_contracted_where_they_are_parsed(spark):
     docs = durable(spark.createDataFrame([("f", GLEAM, "gleam")], "file string, content string, language string"))
     plan = _plan(trees.document_expressions(docs, tree_rules(spark)))
