@@ -9,7 +9,11 @@ frequency, and all others by hash; the sample decides about the length of postin
 Each posting has a pivot, the member with the smallest hash, so near copies share few pivots. Members are first compared with
 their pivots, which joins most of a group in linear time. Members that are still in another component than a possible partner
 in their posting then meet in the pivot's star: its sets are dealt into blocks, blocks of the star's largest component never
-meet each other, and a task counts the shared shingles of two blocks and reports a forest of links, never pairs.
+meet each other, and a task looks at two blocks.
+Chance meetings are many and texts long, so pairs are first looked at by sketches, about one bit a shingle: each shingle flips one
+bit, so two sketches differ in at most as many bits as their sets in shingles. Only pairs that this bound leaves open get their
+texts. Where two blocks leave more than MANY pairs a set open, the texts of the blocks meet instead: their task counts shared
+shingles and reports a forest of links, never pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ NUM, DEN = 4, 5
 SAMPLE = 10_000
 #: Sets and shingles in a block of a star, about.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Bits of a sketch at most; longer sets are only told apart less well by it.
+SKETCH = 1 << 17
+#: Open pairs of a meeting of blocks for each set, beyond which texts meet in blocks and not in pairs.
+MANY = 8
 #: Members of a posting up to which possible partners are looked up; beyond it every member counts as having one.
 LOOKED_UP = 4096
 
@@ -54,7 +62,25 @@ def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarr
     return found[:size]
 
 
-_DIGEST = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType())])
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of the set's shingles by their low bits, as many bits as shingles, rounded up to a power of two."""
+    bits = max(64, min(SKETCH, 1 << max(0, len(found) - 1).bit_length()))
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded: at most the shingles that only one of the sets has."""
+    x, y, p, q = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a), len(b)
+    while p != q:
+        if p < q:
+            x, y, p, q = y, x, q, p
+        p //= 2
+        x = x >> 8 * p ^ x & (1 << 8 * p) - 1
+    return (x ^ y).bit_count()
+
+
+_DIGEST = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("bits", T.BinaryType())])
 
 
 @F.pandas_udf(_DIGEST)
@@ -63,8 +89,8 @@ def _digest(texts: pd.Series) -> pd.DataFrame:
     for t in texts:
         h = hashes(t, SHINGLE)
         s = np.unique(h)
-        out.append((as_signed(xxhash.xxh3_64_intdigest(s.tobytes())), len(s), as_signed(from_hashes(h))))
-    return pd.DataFrame({k: np.array([x[j] for x in out], kind) for j, (k, kind) in enumerate((("key", np.int64), ("n", np.int32), ("fp", np.int64)))})
+        out.append((as_signed(xxhash.xxh3_64_intdigest(s.tobytes())), len(s), as_signed(from_hashes(h)), sketch(s)))
+    return pd.DataFrame({k: np.array([x[j] for x in out], kind) for j, (k, kind) in enumerate((("key", np.int64), ("n", np.int32), ("fp", np.int64), ("bits", object)))})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -117,6 +143,19 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+@F.pandas_udf(T.BooleanType())
+def _open(a: pd.Series, b: pd.Series, both: pd.Series) -> pd.Series:
+    """Whether the sketches leave it open that two sets with ``both`` shingles together are similar."""
+    return pd.Series([(NUM + DEN) * apart(x, y) <= (2 * DEN - NUM - DEN) * n for x, y, n in zip(a, b, both, strict=True)], dtype=bool)
+
+
+def _left_open(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` that the sketches of ``nodes(node, n, bits)`` do not rule out."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    sized = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(sized).where(_open("bits_a", "bits_b", F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The similar ones of ``pairs(a, b)``, from whole texts."""
     pairs = keep(pairs, "pairs")
@@ -177,6 +216,63 @@ def _partners(batches):
         yield chosen(held, size > LOOKED_UP)
 
 
+def close(sketches: list[bytes], n: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs across components that sizes and sketches leave open."""
+    length = np.array([len(x) // 8 for x in sketches])
+    out_a, out_b = [], []
+    for w in np.unique(length).tolist():
+        own, longer = np.flatnonzero(length == w), np.flatnonzero(length == 2 * w)
+        load = lambda at, width: np.frombuffer(b"".join([sketches[k] for k in at.tolist()]), np.uint64).reshape(-1, width)
+        x, fold = load(own, w), load(longer, 2 * w)
+        y, other = np.concatenate([x, fold[:, :w] ^ fold[:, w:]]), np.concatenate([own, longer])
+        step = max(1, (1 << 20) // (w * len(other)))
+        for at in range(0, len(own), step):
+            rows = own[at : at + step, None]
+            bits = np.bitwise_count(x[at : at + step, None, :] ^ y[None]).sum(2, dtype=np.int64)
+            both, low, high = n[rows] + n[other], np.minimum(n[rows], n[other]), np.maximum(n[rows], n[other])
+            good = ((NUM + DEN) * bits <= (2 * DEN - NUM - DEN) * both) & (DEN * low >= NUM * high) & (comps[rows] != comps[other])
+            good[:, : len(own)] &= own > rows  # each pair once
+            a, b = np.nonzero(good)
+            out_a.append(rows[a, 0])
+            out_b.append(other[b])
+    return np.concatenate([np.zeros(0, np.int64), *out_a]), np.concatenate([np.zeros(0, np.int64), *out_b])
+
+
+def _closer(many: int):
+    """(a, b) left open by sketches inside each meeting of blocks; (p, i, j) of meetings with too many. Rows come by meeting."""
+
+    def run(batches):
+        out, key, held = [], None, []
+
+        def look():
+            if len(held) > 1 and len({r[1] for r in held}) > 1:
+                a, b = close([r[3] for r in held], np.array([r[2] for r in held], np.int64), np.array([r[1] for r in held], np.int64))
+                if len(a) > many * len(held):
+                    out.append((None, None, *key))
+                else:
+                    out.extend((min(held[j][0], held[k][0]), max(held[j][0], held[k][0]), None, None, None) for j, k in zip(a.tolist(), b.tolist(), strict=True))
+
+        def gone():
+            rows = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], ["a", "b", "p", "i", "j"])
+            out.clear()
+            return rows
+
+        for batch in sliced(batches, 4096):
+            p, i, j, node, comp, n, bits = (batch.column(k).to_pylist() for k in range(7))
+            for k, at in enumerate(zip(p, i, j, strict=True)):
+                if at != key:
+                    look()
+                    key, held = at, []
+                held.append((node[k], comp[k], n[k], bits[k]))
+            if out:
+                yield gone()
+        look()
+        if out:
+            yield gone()
+
+    return run
+
+
 def linked(sets: list[np.ndarray], comps: list[int]) -> list[tuple[int, int]]:
     """Links (places in the list) of a forest that connects all similar sets across components."""
     root = {c: c for c in comps}
@@ -229,7 +325,7 @@ def _linked(batches):
         yield found(held)
 
 
-def _stars(texts: DataFrame, now: DataFrame, open_: DataFrame) -> DataFrame:
+def _stars(texts: DataFrame, nodes: DataFrame, now: DataFrame, open_: DataFrame) -> DataFrame:
     """(a, b): links across components ``c`` of ``now(s, i, node, n, c)``, found in the stars of the open postings' pivots."""
     rows = now.join(open_, "s").select("s", "node", "n", "i", "c", F.col("p.node").alias("p"))
     rows = rows.repartition("s").sortWithinPartitions("s")
@@ -252,12 +348,19 @@ def _stars(texts: DataFrame, now: DataFrame, open_: DataFrame) -> DataFrame:
             F.transform(F.sequence(F.lit(1).cast("long"), F.col("mains")), lambda j: F.struct(own.alias("i"), (-j).alias("j"))),
         )
     )
-    places = dealt.select("p", "node", "c", F.explode(met).alias("at")).select("p", "at.i", "at.j", "node", "c")
-    asked = keep(member.join(star.select("p"), "p").select(F.col("node").alias("_row")).distinct(), "asked")
-    some = likely(texts, asked).select(F.col("_row").alias("node"), "text")
-    laid = places.join(some, "node").select("p", "i", "j", "node", "c", "text").repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
-    found = keep(laid.mapInArrow(_linked, "a long, b long").distinct(), "similar")
-    forget(member, asked)
+    places = dealt.join(nodes.select("node", "bits"), "node").select("p", "node", "c", "n", "bits", F.explode(met).alias("at")).select("p", "at.i", "at.j", "node", "c", "n", "bits")
+    laid = places.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
+    looked = keep(laid.mapInArrow(_closer(MANY), "a long, b long, p long, i long, j long"), "looked")
+    found = _verified(texts, looked.where("a IS NOT NULL").select("a", "b").distinct())
+    dense = looked.where("a IS NULL").select("p", "i", "j").distinct()
+    if not dense.isEmpty():
+        whole = keep(places.drop("n", "bits").join(dense, ["p", "i", "j"]), "dense")
+        asked = keep(whole.select(F.col("node").alias("_row")).distinct(), "asked")
+        some = likely(texts, asked).select(F.col("_row").alias("node"), "text")
+        rows = whole.join(some, "node").select("p", "i", "j", "node", "c", "text").repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
+        found = found.unionByName(keep(rows.mapInArrow(_linked, "a long, b long").distinct(), "similar"))
+        forget(whole, asked)
+    forget(member, looked)
     return found
 
 
@@ -275,9 +378,9 @@ def links(texts: DataFrame, nodes: DataFrame) -> DataFrame | None:
             open_ = now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot).where("lo < hi").select("s", "p")
             if turn == "pivots":
                 pairs = now.join(open_, "s").where("c <> p.c").where(_like(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i")))
-                new = _verified(texts, pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
+                new = _verified(texts, _left_open(nodes, pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()))
             else:
-                new = _stars(texts, now, open_)
+                new = _stars(texts, nodes, now, open_)
             forget(now)
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
@@ -301,11 +404,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def _dropped(all_: DataFrame) -> DataFrame:
     """(_row): the rows of ``all_(_row, doc_id, text)`` that are not the first of their class."""
     rows = all_.select("doc_id", "_row", _digest("text").alias("_d"))
-    rows = keep(rows.select("doc_id", "_row", F.col("_d.key").alias("_key"), F.col("_d.n").alias("_n"), F.col("_d.fp").alias("_fp")), "digests")
+    rows = keep(rows.select("doc_id", "_row", F.col("_d.key").alias("_key"), F.col("_d.n").alias("_n"), F.col("_d.fp").alias("_fp"), F.col("_d.bits").alias("_bits")), "digests")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    least = keep(rows.groupBy("_key").agg(first.alias("least"), F.first("_n").alias("n"), F.first("_fp").alias("fp")), "least")
+    least = keep(rows.groupBy("_key").agg(first.alias("least"), F.first("_n").alias("n"), F.first("_fp").alias("fp"), F.first("_bits").alias("bits")), "least")
     copies = keep(rows.select("_row", "_key").join(least.select("_key", "least"), "_key").where("_row <> least._row").select("_row"), "copies")
-    nodes = least.select(F.col("least._row").alias("node"), "n", "fp")
+    nodes = least.select(F.col("least._row").alias("node"), "n", "fp", "bits")
     found = links(without(all_.select("_row", "text"), copies), nodes)
     if found is None:
         return copies

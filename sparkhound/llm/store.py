@@ -132,14 +132,16 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500):
-    """What is computed inside crosses to Python so many rows at a time; the session's own setting holds again afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """What is computed inside crosses to Python so many rows, or some 4 MB, at a time; the session's own settings hold again afterwards."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def sliced(batches, rows: int = 500):

@@ -139,3 +139,44 @@ def test_possible_partners_lose_none():
     i = np.minimum(i, n - 1)
     want = [any(9 * min(n[a] - i[a], n[b] - i[b]) >= 4 * (n[a] + n[b]) and c[a] != c[b] for b in range(700)) for a in range(700)]
     assert similar._may(n, i, c).tolist() == want
+
+
+def test_sketches_leave_every_similar_pair_open():
+    import numpy as np
+
+    from sparkhound.llm import similar
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in rng.integers(1, 300, 40)]
+    sets += [np.unique(np.concatenate([s[rng.random(len(s)) < 0.92], rng.integers(0, 1 << 63, len(s) // 12).astype(np.uint64)])) for s in sets]
+    sets = [s for s in sets if len(s)]
+    n, comps = np.array([len(s) for s in sets]), rng.integers(0, 70, len(sets))
+    sketches = [similar.sketch(s) for s in sets]
+    got = {(min(p), max(p)) for p in zip(*(x.tolist() for x in similar.close(sketches, n, comps)), strict=True)}
+    for b in range(len(sets)):
+        for a in range(b):
+            assert similar.apart(sketches[a], sketches[b]) <= len(np.setxor1d(sets[a], sets[b]))
+            if comps[a] != comps[b] and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])):
+                assert (a, b) in got
+    assert 0 < len(got) < 100
+
+
+def test_chance_meetings_bring_no_texts(spark, monkeypatch):
+    from sparkhound.llm import similar
+
+    texts = [[f"v{k}_{j}" for j in range(4)] + [f"b{j}" for j in range(6)] for k in range(30)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    verified, seen = similar._verified, []
+    monkeypatch.setattr(similar, "_verified", lambda t, pairs: seen.append(pairs.count()) or verified(t, pairs))
+    assert similar.one_of_each(docs).count() == 30
+    assert sum(seen) == 0
+
+
+def test_meetings_with_many_open_pairs_compare_texts_in_blocks(spark, monkeypatch):
+    from sparkhound.llm import similar
+
+    monkeypatch.setattr(similar, "MANY", 0)
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    texts = _near_copies(11)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in similar.one_of_each(docs).collect()) == _smallest_of_each(texts)
