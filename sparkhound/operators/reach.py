@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import predicates as P
 from ..plans.fixpoint import durable, fixpoint
 from .scopes import with_scope
 
+#: Links of a group beyond which it is joined round by round.
+LARGE = 1_000_000
+
 
 def call_edges(nodes: DataFrame) -> DataFrame:
     """(caller, callee, file, line): the first call site of each pair, by bare function name (G-21)."""
@@ -68,8 +74,61 @@ def ancestors(classes: DataFrame) -> DataFrame:
     return fixpoint(start, lambda d: d.join(parent, "ancestor").select("name", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth")), ["name", "ancestor"])
 
 
-def components(links: DataFrame, group: str) -> DataFrame:
-    """(group, node, label): least node reachable inside each group of links(group, a, b) (G-25)."""
+def components(links: DataFrame, group: str, large: int = LARGE) -> DataFrame:
+    """(group, node, label): least node reachable inside each group of links(group, a, b) (G-25). Links with a null have no effect.
+
+    Links stay inside their group, so each group is gone through once, in the task that holds it. Groups of more than ``large`` links, and
+    nodes that are neither texts nor whole numbers, are joined round by round instead.
+    """
+    rows = links.select(group, "a", "b").where(F.col(group).isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
+    kinds = [rows.schema[c].dataType for c in (group, "a", "b")]
+    if kinds[1] != kinds[2] or not all(k == T.StringType() or isinstance(k, T.IntegralType) for k in kinds):
+        return _in_rounds(rows, group)
+    many = rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > large).select(group)
+    if many.isEmpty():
+        return _by_group(rows, group)
+    many = F.broadcast(durable(many))
+    return _by_group(rows.join(many, group, "left_anti"), group).unionByName(_in_rounds(rows.join(many, group, "left_semi"), group))
+
+
+def _by_group(links: DataFrame, group: str) -> DataFrame:
+    kinds = [links.schema[c].dataType for c in (group, "a")]
+    types = [to_arrow_type(k) for k in (*kinds, kinds[1])]
+
+    def run(batches):
+        key, root, out = None, {}, []
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def gone():
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [group, "node", "label"])
+
+        for batch in batches:
+            for g, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != key:
+                    out.extend((key, x, top(x)) for x in root)
+                    key, root = g, {}
+                a, b = top(root.setdefault(a, a)), top(root.setdefault(b, b))
+                if a < b:
+                    root[b] = a
+                else:
+                    root[a] = b
+            if out:
+                yield gone()
+        out.extend((key, x, top(x)) for x in root)
+        if out:
+            yield gone()
+
+    rows = links.select(group, "a", "b").repartition(group).sortWithinPartitions(group)
+    return rows.mapInArrow(run, f"`{group}` {kinds[0].simpleString()}, node {kinds[1].simpleString()}, label {kinds[1].simpleString()}")
+
+
+def _in_rounds(links: DataFrame, group: str) -> DataFrame:
     both = durable(links.select(group, "a", "b").unionByName(links.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = durable(both.select(group, F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:

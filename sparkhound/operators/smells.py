@@ -321,7 +321,7 @@ def data_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
 
 def lcom4(method_fields: DataFrame) -> DataFrame:
     """(class, lcom4): components of methods that share a field, less one, from (class, method, field) (G-25)."""
-    links = method_fields.select("class", F.concat(F.lit("m:"), "method").alias("a"), F.concat(F.lit("f:"), "field").alias("b")).distinct()
+    links = method_fields.select("class", F.concat(F.lit("m:"), "method").alias("a"), F.concat(F.lit("f:"), "field").alias("b"))
     roots = components(links, "class").where("node LIKE 'm:%'")
     return roots.groupBy("class").agg((F.count_distinct("label") - 1).alias("lcom4"))
 

@@ -299,3 +299,17 @@ def test_change_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r)[:2] for r in spark.table("changes").collect()) == [("a", "added"), ("a", "modified"), ("b", "added"), ("b", "removed")]
+
+
+def test_components_by_group_make_no_rounds(spark, monkeypatch):
+    """Groups of ordinary size are gone through once; larger ones, joined in rounds, give the same labels."""
+    import random
+
+    rng = random.Random(4)
+    links = [(rng.randrange(6), f"m{rng.randrange(40)}", f"f{rng.randrange(40)}") for _ in range(150)] + [(None, "a", "b"), (1, None, "b"), (1, "q", None)]
+    df = spark.createDataFrame(links, "g int, a string, b string")
+    want = sorted(map(tuple, reach.components(df, "g", large=0).collect()))
+    some = sorted(map(tuple, reach.components(df, "g", large=24).collect()))
+    monkeypatch.setattr(reach, "durable", None)
+    got = sorted(map(tuple, reach.components(df, "g").collect()))
+    assert got == want == some and len({label for _, _, label in got}) > 1
