@@ -34,8 +34,8 @@ END = 1
 FILE_IDS = 1 << 20
 #: Words a worker remembers; results never depend on it.
 REMEMBERED = 700_000
-#: Marks that form a match of their own after a letter.
-MARKS = frozenset(".,!?;:|")
+#: Marks that form a match of their own after a letter, one or several together, up to the word's end.
+MARKS = frozenset(".,!?;:|*&$%#@+=~^/()")
 #: Data bytes of the four ids under a control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -112,6 +112,13 @@ class WordTokens:
         vocab = self.tokenizer.get_vocab()
         self.ending = np.zeros(max(vocab.values()) + 1, bool)
         self.ending[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
+        # marks inside an added token may be part of one
+        self.marks = "".join(MARKS.difference(*(t.content for t in self.tokenizer.get_added_tokens_decoder().values())))
+        # a long word with an id of its own, which stands between words whose ends the ids do not tell
+        whole = sorted((p[:-4] for p in vocab if p.endswith("</w>") and p[:-4].isascii() and p[:-4].isalpha() and p[:-4].islower()), key=lambda p: (-len(p), p))
+        alone = (p for p in whole[:100] if self.tokenizer.encode(p, add_special_tokens=False).ids == [vocab[p + "</w>"]])
+        self.between = next(alone, None)
+        self.between_id = vocab.get(f"{self.between}</w>")
         self.known: dict[str, bytes] = {}
 
     def _library(self, words: set[str]) -> None:
@@ -126,6 +133,16 @@ class WordTokens:
                     self.known[w] = raw[at:e]
                     at = e
                 words = words.difference(plain)
+        rest = [w for w in words if w and self.between and self.between not in w.lower()]
+        if rest:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.between} ".join([*rest, ""])], add_special_tokens=False)[0].ids, self.type)
+            ends = np.flatnonzero(ids == self.between_id)
+            if len(ends) == len(rest):
+                raw, size, at = ids.tobytes(), ids.itemsize, 0
+                for w, e in zip(rest, (ends * size).tolist(), strict=True):
+                    self.known[w] = raw[at:e]
+                    at = e + size
+                words = set(words).difference(rest)
         rest = list(words)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, self.type).tobytes()
@@ -138,9 +155,12 @@ class WordTokens:
         known = self.known
         split = [(t or "").replace("\r", " ").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         new = set().union(*split).difference(known)
-        # a mark after a letter is a match of its own, and ASCII letters only count in lower case
-        cut = {w: (w[:-1].lower() if w.isascii() else w[:-1], w[-1]) for w in new if w[-1:] in MARKS and _letters(w[-2:-1])}
-        cut |= {w: (w.lower(), "") for w in new if w.isascii() and w.isalpha() and not w.islower()}
+        # marks after a letter are a match of their own, and ASCII letters only count in lower case
+        cut = {}
+        for w in new:
+            stem = w.rstrip(self.marks)
+            if len(stem) < len(w) and _letters(stem[-1:]) or w.isascii() and w.isalpha() and not w.islower():
+                cut[w] = stem.lower() if stem.isascii() else stem, w[len(stem) :]
         self._library({w for w in new if w not in cut} | {x for v in cut.values() for x in v if x not in known})
         for w, (stem, mark) in cut.items():
             known[w] = known[stem] + (known[mark] if mark else b"")

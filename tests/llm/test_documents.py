@@ -502,3 +502,27 @@ def test_sharding_is_minimax_and_held_ends_do_not_matter(spark, monkeypatch):
     for r in held:
         total[r["shard"]] += r["size"]
     assert max(total.values()) == _least_capacity([weight[k] for k in sorted(weight)], 24)
+
+
+def test_words_with_marks_and_numbers_go_to_the_library_together(monkeypatch):
+    """Ids equal the library's on whole texts, and no word without letters alone is a call of its own."""
+    import random
+
+    import public_tokenizers
+
+    rng = random.Random(7)
+    part = lambda: rng.choice(["***", ".!!", "'s", "'", "$$$", "é", "ß", "Σ", "ab", "DON", "x1", "42", "²", "_", "-", "@m.com", "́", "̸", "<", "/", " ", "中", "…"])
+    texts = [" ".join("".join(part() for _ in range(rng.randint(1, 4))) for _ in range(60)) for _ in range(80)]
+    words = token_files.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    texts += [f"{words.between} {words.between}*** x{words.between}.y {words.between.upper()}9", "", None]
+    want = [np.array(words.tokenizer.encode(t or "", add_special_tokens=False).ids, words.type).tobytes() for t in texts]
+    plain, asked = words.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, some, **options):
+            asked.append(len(some))
+            return plain.encode_batch_fast(some, **options)
+
+    words.tokenizer = Counting()
+    assert words.encode(texts) == want
+    assert sum(asked) < 20
