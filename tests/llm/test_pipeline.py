@@ -164,11 +164,11 @@ def test_sketches_leave_every_similar_pair_open():
 def test_chance_meetings_bring_no_texts(spark, monkeypatch):
     from sparkhound.llm import similar
 
-    texts = [[f"v{k}_{j}" for j in range(4)] + [f"b{j}" for j in range(6)] for k in range(30)]
+    texts = [[f"v{k}_{j}" for j in range(4)] + [f"b{k // 3}_{j}" for j in range(6)] for k in range(60)]
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
     verified, seen = similar._verified, []
     monkeypatch.setattr(similar, "_verified", lambda t, pairs: seen.append(pairs.count()) or verified(t, pairs))
-    assert similar.one_of_each(docs).count() == 30
+    assert similar.one_of_each(docs).count() == 60
     assert sum(seen) == 0
 
 
