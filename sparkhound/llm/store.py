@@ -12,7 +12,6 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -65,34 +64,29 @@ def forget(*tables: DataFrame) -> None:
 BITS = 1 << 23
 
 
-def _marked(rows: DataFrame, ids: DataFrame):
-    """A column that is true for every ``_row`` of ``ids`` and, the map being of fixed size, for some others."""
-    spark = rows.sparkSession
-    place = F.pmod(F.xxhash64("_row"), F.lit(BITS))
-    words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("bits"))
-    found = words.toPandas()
-    cells = np.zeros(BITS // 64, np.int64)
-    cells[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    held = spark.sparkContext.broadcast(cells.view(np.uint64))
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``_marked``: true for every ``_row`` of ``ids`` and, the map being of fixed size, for some others.
 
-    @F.pandas_udf("boolean")
-    def mark(place: pd.Series) -> pd.Series:
-        p = place.to_numpy(np.int64)
-        return pd.Series((held.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
-
-    return mark(place)
+    The map's words are joined to the rows, so texts pass by without going to Python, and a task that sends them there
+    afterwards needs no second worker.
+    """
+    place, bit = F.pmod(F.xxhash64("_row"), F.lit(BITS)), lambda p: (p % 64).cast("int")
+    words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("_bits"))
+    found = rows.withColumn("_place", place).withColumn("_word", F.floor(F.col("_place") / 64)).join(F.broadcast(words), "_word", "left")
+    set_ = F.getbit(F.coalesce("_bits", F.lit(0)), bit(F.col("_place"))) == 1
+    return found.withColumn("_marked", set_).select(*rows.columns, "_marked")
 
 
 def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` whose ``_row`` is not in ``ids(_row)``. Only rows that a bit map leaves open are shuffled to the anti-join."""
-    marked = rows.withColumn("_marked", _marked(rows, ids))
+    marked = _marked(rows, ids)
     clear = marked.where("NOT _marked").drop("_marked")
     return clear.unionByName(marked.where("_marked").drop("_marked").join(ids, "_row", "left_anti"))
 
 
 def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` whose ``_row`` is in ``ids(_row)`` and, as the map is of fixed size, some others: for an inner join to decide."""
-    return rows.withColumn("_marked", _marked(rows, ids)).where("_marked").drop("_marked")
+    return _marked(rows, ids).where("_marked").drop("_marked")
 
 
 REST = "__rest"

@@ -47,6 +47,16 @@ def test_rows_without_and_likely(spark):
     assert store.without(rows, none).count() == 3000 and store.likely(rows, none).count() == 0
 
 
+def test_marking_sends_nothing_to_python(spark):
+    rows = spark.range(3000).select(F.col("id").alias("_row"), F.col("id").cast("string").alias("text"))
+    ids = rows.where("_row % 10 = 1").select("_row")
+    for got in (store.without(rows, ids), store.likely(rows, ids)):
+        assert got.columns == rows.columns and "Python" not in got._jdf.queryExecution().toString()
+    # a task that goes on to Python with the texts holds one worker, not two
+    plan = store.without(rows, ids).select(similar._set("text"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- ArrowEvalPython") + plan.count(":- ArrowEvalPython") <= 2  # the branches of the union
+
+
 def test_near_duplicates_with_clashing_names(spark, table):
     docs = spark.read.parquet(table)
     before = spark.conf.get(KEY)
