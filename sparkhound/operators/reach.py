@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import predicates as P
 from ..plans.fixpoint import durable, fixpoint
+from ..plans.fixpoint import large as merged
 from .scopes import with_scope
 
 #: Links of a group beyond which it is joined round by round.
@@ -56,7 +57,7 @@ def tagged(found: DataFrame, nodes: DataFrame, reached: DataFrame) -> DataFrame:
     """Findings with status Live or Dormant, by the function around them; without entries all are Dormant (G-23)."""
     here = with_scope(nodes.select("file", "line", "ord", "node_type", "name")).select("file", "ord", F.col("scope_name").alias("func"))
     live = reached.select(F.col("name").alias("func"), "entry", "hops")
-    out = found.join(here, ["file", "ord"], "left").join(live, "func", "left")
+    out = found.join(merged(here), ["file", "ord"], "left").join(live, "func", "left")
     return out.withColumn("status", F.when(F.col("entry").isNotNull(), "Live").otherwise("Dormant"))
 
 

@@ -84,6 +84,24 @@ def test_guards_clear_later_lines_only(spark):
     assert [r["line"] for r in found] == [2]
 
 
+def test_calls_are_never_broadcast(spark, monkeypatch):
+    n = make(spark, [("a", 1, "def", "f", []), ("a", 2, "call", "Digest.md5", []), ("a", 3, "call", "x.open", [lit("f")]), ("b", 3, "call", "open", [lit("f")])])
+    sinks, calls = sink_table(spark, RULES), n.where("node_type = 'call'")
+    got = matching.matches(calls, sinks)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == plan.count("rightHint=(strategy=broadcast)") == 2
+    monkeypatch.setattr(matching, "FEW", 0)  # beyond it the names are merged, with the same result
+    merged = matching.matches(calls, sinks)
+    assert "strategy=merge" in merged._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda df: sorted((r["file"], r["line"], r["sink_id"]) for r in df.collect())
+    assert key(got) == key(merged) != []
+    # nor are the scopes of all nodes
+    found, none = calls.select("file", "ord"), spark.createDataFrame([], "name string, entry string, hops int")
+    tagged = reach.tagged(found, n, none)
+    assert "SortMergeJoin" in tagged._jdf.queryExecution().executedPlan().toString()
+    assert {(r["file"], r["func"], r["status"]) for r in tagged.collect()} == {("a", "f", "Dormant"), ("b", None, "Dormant")}
+
+
 def test_validation_scopes(spark):
     n = make(spark, [("a", 1, "def", "f", [var("path")]), ("a", 2, "call", "path.starts_with?", [lit("/")]), ("a", 3, "call", "File.read", [var("path")]), ("a", 4, "call", "File.read", [var("other")]), ("a", 60, "call", "File.read", [var("path")])])
     s = matching.validation_scopes(n)
