@@ -110,6 +110,13 @@ def test_validation_scopes(spark):
     assert sorted(r["line"] for r in matching.outside_scopes(found, s).collect()) == [4, 60]
 
 
+def test_scopes_of_checks_take_no_joins(spark):
+    n = make(spark, [("a", 1, "def", "f", []), ("a", 2, "call", "require_admin", []), ("a", 9, "def", "g", []), ("a", 9, "def", "h", []), ("a", 9, "call", "require_admin", []), ("a", 12, "def", "i", []), ("a", 13, "call", "require_admin", []), ("b", 1, "call", "require_admin", [])])
+    s = matching.validation_scopes(n)
+    assert sorted((r["file"], r["from_line"], r["to_line"]) for r in s.collect()) == [("a", 2, 9), ("a", 9, 12), ("a", 13, 213)]
+    assert "Join" not in s._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pattern_kinds_and_conditions(spark):
     n = make(spark, [("a", 1, "call", "Digest.md5", []), ("a", 2, "call", "open", [lit("f")]), ("a", 3, "call", "open", [lit("mode: r")]), ("a", 4, "call", "reopen", [lit("f")]), ("a", 5, "call", "open", [])])
     none = spark.createDataFrame([], "file string, var string, field string")
