@@ -17,10 +17,12 @@ import os
 import unicodedata
 import uuid
 import zlib
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,17 @@ FILE_IDS = 1 << 20
 REMEMBERED = 700_000
 #: Marks that form a match of their own after a letter, one or several together, up to the word's end.
 MARKS = frozenset(".,!?;:|*&$%#@+=~^/()")
-#: Data bytes of the four ids under a control byte.
-LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
+#: Bytes of A to Z, a to z and the first byte of U+00C0 to U+00FF; the second bytes of those that are letters there.
+LETTER, SECOND = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = True
+SECOND[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+#: Bytes that byte-level pieces write as other characters than their own in Latin-1.
+BYTE_LEVEL = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+ID = attrgetter("id")
+#: Data bytes of the four ids under a control byte, a byte each.
+LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8).view(np.uint32).reshape(-1)
+#: Documents encoded at a time; Spark bounds their bytes.
+ROWS = 1000
 
 
 def write_image(lengths: np.ndarray, ranks: np.ndarray) -> bytes:
@@ -45,7 +56,12 @@ def write_image(lengths: np.ndarray, ranks: np.ndarray) -> bytes:
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     pad = np.concatenate([size - 1, np.zeros(-len(size) % 4, np.uint8)]).reshape(-1, 4).astype(np.uint8)
     control = pad[:, 0] | pad[:, 1] << 2 | pad[:, 2] << 4 | pad[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    start = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(int(size.sum(dtype=np.int64)), np.uint8)
+    data[start] = ranks.astype(np.uint8)
+    for k in range(1, 4):
+        has = np.flatnonzero(size > k)
+        data[start[has] + k] = (ranks[has] >> np.uint32(8 * k)).astype(np.uint8)
     head = np.array([len(lengths), len(ranks), len(data)], "<u4")
     return b"".join([MAGIC, head.tobytes(), lengths.astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
 
@@ -59,11 +75,11 @@ def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     at = 16 + 4 * docs
     control = np.frombuffer(image, np.uint8, -(-n // 4), at)
     data = np.frombuffer(image, np.uint8, bytes_, at + len(control))
-    size = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
-    start = np.cumsum(size) - size
-    ranks = np.zeros(n, np.uint32)
-    for k in range(4):
-        has = size > k
+    size = LENGTHS[control].view(np.uint8)[:n]
+    start = np.cumsum(size, dtype=np.int64) - size
+    ranks = data[start].astype(np.uint32)
+    for k in range(1, 4):
+        has = np.flatnonzero(size > k)
         ranks[has] |= data[start[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return lengths.astype(np.int64), ranks
 
@@ -73,6 +89,31 @@ def _letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
+def _strings(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a string or binary array without nulls, the first offset 0."""
+    offsets = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, 4 * a.offset)
+    data = np.frombuffer(a.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
+
+
+def _plain(words: pa.Array) -> np.ndarray:
+    """Which words are letters up to U+00FF alone, one at least: NFC leaves them, and each letter has one lower case."""
+    offsets, data = _strings(words)
+    wrong = ~LETTER[data]
+    wrong[1:] &= ~(SECOND[data[1:]] & (data[:-1] == 0xC3))
+    upto = np.append(0, np.cumsum(wrong))
+    return (upto[offsets[1:]] == upto[offsets[:-1]]) & (offsets[1:] > offsets[:-1])
+
+
+def _endings(words: pa.Array, stems: pa.Array) -> pa.Array:
+    """What follows each stem in its word."""
+    offsets, data = _strings(words)
+    size, stem = np.diff(offsets), np.diff(_strings(stems)[0])
+    kept = data[np.arange(len(data)) >= np.repeat(offsets[:-1] + stem, size)]
+    at = np.append(0, np.cumsum(size - stem)).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(at), pa.py_buffer(kept)])
+
+
 #: What a tokenizer file must say for its words to be encoded one by one.
 WORDWISE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -97,8 +138,9 @@ class WordTokens:
     """Ids of whole texts as the tokenizers library gives them, remembered by word.
 
     The file's normalizer and its pattern never join or look across ASCII white space, and pieces stay inside a match of the
-    pattern; so a text's ids are those of its white-space-separated chunks in order. The library itself encodes each chunk.
-    With a file that says anything else the library encodes whole texts.
+    pattern; so a text's ids are those of its white-space-separated chunks in order. The library itself encodes each chunk:
+    letters up to U+00FF in lower case are what its normalizer and pattern leave, so its model gets them at once; all else
+    goes through the whole library. With a file that says anything else the library encodes whole texts.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -113,7 +155,11 @@ class WordTokens:
         self.ending = np.zeros(max(vocab.values()) + 1, bool)
         self.ending[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
         # marks inside an added token may be part of one
-        self.marks = "".join(MARKS.difference(*(t.content for t in self.tokenizer.get_added_tokens_decoder().values())))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = "".join(MARKS.difference(*added))
+        # no letters in a row may be an added token, in whatever case
+        self.folds = not any(c.isalpha() for c in added)
+        self.model = self.tokenizer.model
         # a long word with an id of its own, which stands between words whose ends the ids do not tell
         whole = sorted((p[:-4] for p in vocab if p.endswith("</w>") and p[:-4].isascii() and p[:-4].isalpha() and p[:-4].islower()), key=lambda p: (-len(p), p))
         alone = (p for p in whole[:100] if self.tokenizer.encode(p, add_special_tokens=False).ids == [vocab[p + "</w>"]])
@@ -123,7 +169,7 @@ class WordTokens:
 
     def _library(self, words: set[str]) -> None:
         # words of letters alone are one match each, whose last piece ends the word: they go to the library together
-        plain = [w for w in words if _letters(w)]
+        plain = [w for w in words if self.folds and _letters(w)]
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.type)
             ends = np.flatnonzero(self.ending[ids]) + 1
@@ -147,24 +193,66 @@ class WordTokens:
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, self.type).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _model(self, words: list[str]) -> None:
+        ids, sizes = [], []
+        for w in words:
+            pieces = self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LEVEL))
+            ids.extend(map(ID, pieces))
+            sizes.append(len(pieces))
+        raw, size, at = np.array(ids, self.type).tobytes(), np.dtype(self.type).itemsize, 0
+        for w, e in zip(words, (np.cumsum(sizes, dtype=np.int64) * size).tolist(), strict=True):
+            self.known[w] = raw[at:e]
+            at = e
+
+    def _looked_up(self, words: pa.Array, plain: bool = False) -> pa.Array:
+        """Ids of different words, which are in lower case if ``plain``."""
+        words, known = words.to_numpy(zero_copy_only=False).tolist(), self.known
+        new = [w for w in words if w not in known]
+        if plain:
+            self._model(new)
+        else:
+            # marks after a letter are a match of their own
+            cut = {}
+            for w in new:
+                stem = w.rstrip(self.marks)
+                if len(stem) < len(w) and _letters(stem[-1:]):
+                    cut[w] = stem, w[len(stem) :]
+            self._library({w for w in new if w not in cut} | {x for v in cut.values() for x in v if x not in known})
+            for w, (stem, mark) in cut.items():
+                known[w] = known[stem] + known[mark]
+        return pa.array(list(map(known.__getitem__, words)), pa.binary())
+
+    def _ids(self, words: pa.Array) -> pa.Array:
+        """Ids of different words: plain ones are looked up in lower case and without the marks at their ends."""
+        stems = pc.ascii_rtrim(words, characters=self.marks)
+        plain = _plain(stems) if self.folds else np.zeros(len(words), bool)
+        stems = stems.filter(pa.array(plain))
+        marks = _endings(words.filter(pa.array(plain)), stems).dictionary_encode()
+        lower = pc.utf8_lower(stems).dictionary_encode()
+        found = [self._looked_up(x.dictionary, x is lower).take(x.indices) for x in (lower, marks)]
+        both = pc.binary_join_element_wise(*found, pa.scalar(b"", pa.binary()))
+        place = np.empty(len(words), np.int64)
+        place[np.append(np.flatnonzero(plain), np.flatnonzero(~plain))] = np.arange(len(words))
+        return pa.concat_arrays([both, self._looked_up(words.filter(pa.array(~plain)))]).take(pa.array(place))
+
+    def encoded(self, texts: pa.Array, last: bytes = b"") -> pa.Array:
+        """Binary array of each text's ids, then ``last``."""
         if not self.by_word:
-            return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return pa.array([np.array(e.ids, self.type).tobytes() + last for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)], pa.binary())
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        split = [(t or "").replace("\r", " ").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(known)
-        # marks after a letter are a match of their own, and ASCII letters only count in lower case
-        cut = {}
-        for w in new:
-            stem = w.rstrip(self.marks)
-            if len(stem) < len(w) and _letters(stem[-1:]) or w.isascii() and w.isalpha() and not w.islower():
-                cut[w] = stem.lower() if stem.isascii() else stem, w[len(stem) :]
-        self._library({w for w in new if w not in cut} | {x for v in cut.values() for x in v if x not in known})
-        for w, (stem, mark) in cut.items():
-            known[w] = known[stem] + (known[mark] if mark else b"")
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        ids = pa.concat_arrays([self._ids(words.dictionary), pa.array([last], pa.binary())])
+        # all ids in a row, ``last`` after each text's words, of which only the texts' ends are kept
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)
+        row = ids.take(pa.array(np.insert(words.indices.to_numpy(), ends, len(ids) - 1)))
+        at, data = _strings(row)
+        cuts = np.append(0, at[ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return self.encoded(pa.array(texts, pa.string())).to_pylist()
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -184,9 +272,9 @@ def tokenized(docs: DataFrame, tokenizer_file: str, end: int = END) -> DataFrame
 
     def run(batches):
         t = word_tokens(tokenizer_file)
-        for b in sliced(batches):
+        for b in sliced(batches, ROWS):
             last = np.array([end], t.type).tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + last for x in t.encode(b.column(1).to_pylist())], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), t.encoded(b.column(1), last)], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
 
@@ -299,7 +387,7 @@ def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
 def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end: int = END) -> None:
     """Write all documents' ids to token files in the folder ``path``, which must not exist."""
     width = int(word_tokens(tokenizer_file).type[2:])
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, ROWS):
         tokens = keep(tokenized(docs, tokenizer_file, end), "tokens")
     write_files(tokens, np.argsort(-id_counts(tokens, width), kind="stable"), width, path)
     forget(tokens)

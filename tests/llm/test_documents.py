@@ -526,3 +526,45 @@ def test_words_with_marks_and_numbers_go_to_the_library_together(monkeypatch):
     words.tokenizer = Counting()
     assert words.encode(texts) == want
     assert sum(asked) < 20
+
+
+def test_plain_words_go_to_the_librarys_model_once_in_lower_case():
+    import pyarrow as pa
+
+    words = token_files.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["left out", "Étéß Word\tword, WORD!!\n", None, "", " été été.** éTÉ x×y ÷ ", "a<|ENDOFTEXT|>b. c<|endoftext|>d!", "ʼn İstanbul. Σας, ẖ H̱!! word\x0bWord\x1cword", "étéß ×é ªb"]
+    want = [np.array([*words.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], words.type).tobytes() for t in texts]
+    whole, model, asked, sent = words.tokenizer, words.model, [], []
+    back = {c: b for b, c in token_files.BYTE_LEVEL.items()}  # bytes of UTF-8 again
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word.translate(back).encode("latin-1").decode())
+            return model.tokenize(word)
+
+    class Whole:
+        def encode_batch_fast(self, some, **options):
+            sent.extend(w for t in some for w in t.split(" "))
+            return whole.encode_batch_fast(some, **options)
+
+    words.model, words.tokenizer = Model(), Whole()
+    words_only = {"left", "out", "étéß", "word", "été"}
+    assert words.encoded(pa.array(texts).slice(1), b"\1\0").to_pylist() == want[1:]
+    assert words.encoded(pa.array(texts), b"\1\0").to_pylist() == want
+    assert len(asked) == len(set(asked)) and words_only == set(asked)
+    assert not words_only & set(sent)
+
+
+def test_an_added_token_of_letters_alone(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 49408, "content": "pad"})
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    texts = ["spad PAD pad. Spade word", "iPad some padded WORDS,"]
+    t, words = Tokenizer.from_file(str(tmp_path / "t.json")), token_files.WordTokens(str(tmp_path / "t.json"))
+    assert words.by_word
+    assert [np.frombuffer(x, words.type).tolist() for x in words.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
