@@ -47,3 +47,12 @@ def test_forms(spark, data):
     assert want and {h: n for h, n in got.items() if n >= 4} == want
     plan = _plan(tree_queries.tree_duplicates(spark, SF))
     assert plan.count("Exchange") == 2 and plan.count("FileScan") == 1 and "Window" not in plan  # documents, then counts by hash
+
+
+def test_flow_findings(spark, data):
+    rules = [{"rule": "A", "pattern": "exec", "match": "exact", "arg": 0, "sanitizers": []}, {"rule": "B", "pattern": "g", "match": "part", "arg": None, "sanitizers": ["b"]}]
+    for limit in (500, 6):
+        want = cfg.cfg_findings(lowering.lower(data[0]), rules, ("a", "f", "get_param", "user_"), ("escape", "h"), lowering.parameters(data[0]), limit).collect()
+        got = [(file, *f) for file, rows in data[1].items() for f in whole.flow_findings(rows, rules, ("a", "f", "get_param", "user_"), ("escape", "h"), limit)]
+        assert {"finding", "skipped"} >= {r["status"] for r in want} and want and Counter(map(tuple, want)) == Counter(got)
+    assert _once(_plan(tree_queries.tree_flow_findings(spark, SF)))
