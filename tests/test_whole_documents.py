@@ -56,3 +56,29 @@ def test_flow_findings(spark, data):
         got = [(file, *f) for file, rows in data[1].items() for f in whole.flow_findings(rows, rules, ("a", "f", "get_param", "user_"), ("escape", "h"), limit)]
         assert {"finding", "skipped"} >= {r["status"] for r in want} and want and Counter(map(tuple, want)) == Counter(got)
     assert _once(_plan(tree_queries.tree_flow_findings(spark, SF)))
+
+
+def test_lint(spark, data):
+    e = data[0].withColumn("language", F.lit("x"))
+    known = durable(types.kinds(e, return_types(spark, {"x": {k: [n for n, of in CALLED.items() if of == k] for k in CALLED.values()}}), F.col("language")))
+    kind, name = F.col("kind"), F.col("name")
+    names = spark.createDataFrame([("n", "Hint", x, "") for x in ("f", "a.b", "exec")], "rule string, severity string, name string, hint string")
+    want = [
+        types.ignored_results(e, known), types.unchecked_nullables(e, known), exprs.name_lookup(e, names), exprs.shape(e, kind == "binary", F.col("c_kind") == "literal", "s", "Hint"),
+        exprs.count_over(e, kind == "app", 2, "c", "Hint"), exprs.literal_match(e, F.col("literal") == "1", "l", "Hint"), exprs.followed_by(e, name == "f", name == "g.h", "p", "Hint"),
+        exprs.nested_deeper(e, kind == "block", 2, "d", "Hint"), exprs.unused_bindings(e), exprs.shadowed(e),
+    ]
+    got = [[] for _ in want]
+    for file, rows in data[1].items():
+        for t in whole.trees(rows):
+            k = whole.value_kinds(t, CALLED)
+            found = (
+                whole.ignored_results(t, k), whole.unchecked_nullables(t, k), whole.name_lookup(t, {"f": "n", "a.b": "n", "exec": "n"}), whole.shape(t, lambda r: r[whole.KIND] == "binary", lambda r: r[whole.KIND] == "literal", "s"),
+                whole.count_over(t, lambda r: r[whole.KIND] == "app", 2, "c"), whole.literal_match(t, lambda x: x == "1", "l"), whole.followed_by(t, "f", "g.h", "p"), whole.nested_deeper(t, "block", 2, "d"), whole.unused_bindings(t), whole.shadowed(t),
+            )
+            for out, hits in zip(got, found, strict=True):
+                out += [(rule, file, subject) for rule, subject in hits]
+    for w, g in zip(want, got, strict=True):
+        assert Counter((r["rule"], r["file"], r["subject"]) for r in w.collect()) == Counter(g)
+    assert [len(g) > 0 for g in got] == [True] * len(got)
+    assert _once(_plan(tree_queries.tree_lint(spark, SF)))
