@@ -82,3 +82,13 @@ def test_lint(spark, data):
         assert Counter((r["rule"], r["file"], r["subject"]) for r in w.collect()) == Counter(g)
     assert [len(g) > 0 for g in got] == [True] * len(got)
     assert _once(_plan(tree_queries.tree_lint(spark, SF)))
+
+
+def test_statements(spark, data):
+    want = Counter((r["file"], r["fn"], r["ord"], r["kind"], r["lhs"], r["callee"], tuple(r["args"]), r["line"]) for r in lowering.lower(data[0]).collect())
+    got = Counter()
+    for file, rows in data[1].items():
+        for t in whole.trees(rows):
+            got.update((file, fn, k, *s[:3], tuple(s[3]), s[4]) for fn, il in whole.statements(t).items() for k, s in enumerate(il, 1))
+    assert got == want and any("/" in x[1] for x in got)
+    assert _once(_plan(tree_queries.tree_statements(spark, SF)))
