@@ -92,3 +92,11 @@ def test_statements(spark, data):
             got.update((file, fn, k, *s[:3], tuple(s[3]), s[4]) for fn, il in whole.statements(t).items() for k, s in enumerate(il, 1))
     assert got == want and any("/" in x[1] for x in got)
     assert _once(_plan(tree_queries.tree_statements(spark, SF)))
+
+
+def test_value_kinds(spark, data):
+    returns = return_types(spark, {"x": {k: [n for n, of in CALLED.items() if of == k] for k in CALLED.values()}})
+    want = Counter(map(tuple, types.kinds(data[0], returns, F.lit("x")).collect()))
+    got = Counter((file, r[whole.FN], r[whole.ID], k) for file, rows in data[1].items() for t in whole.trees(rows) for r, k in zip(t, whole.value_kinds(t, CALLED), strict=True) if k)
+    assert got == want and {k[3] for k in got} == {"safe", "nullable", "result", "unknown"}
+    assert _once(_plan(tree_queries.tree_value_kinds(spark, SF)))
