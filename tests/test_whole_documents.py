@@ -100,3 +100,20 @@ def test_value_kinds(spark, data):
     got = Counter((file, r[whole.FN], r[whole.ID], k) for file, rows in data[1].items() for t in whole.trees(rows) for r, k in zip(t, whole.value_kinds(t, CALLED), strict=True) if k)
     assert got == want and {k[3] for k in got} == {"safe", "nullable", "result", "unknown"}
     assert _once(_plan(tree_queries.tree_value_kinds(spark, SF)))
+
+
+def test_plain_reading_equals_the_xml_reader(spark):
+    rules = trees._held(tree_rules(spark))
+    leaf = "<let><identifier field='pattern'>a</identifier>{}</let>"
+    plain = [leaf.format(x) for x in ("", " x <integer>1</integer> y ", "<identifier\tfield = 'name'/>".replace(" =", "=").replace("= ", "="), "<block/>t<block></block >", "<identifier srow='4'>ä   </identifier>", "<string>a > b</string>", "<block field=''/>")] + [" \n<a>x</a>\n ", *(c for _, c in ODD[4:])]
+    odd = [leaf.format(x) for x in ("&amp;", "&none;", "<![CDATA[<q>]]>", "<!-- <q> -->", "<?p q?>", "]]>", "<a b='1' b='2'/>", "<a b='>'/>", "<a:b xmlns:a='u'>x</a:b>", "<a></b>", "<a><b></a></b>", "<a", "< a/>", "<a/", "a\r\nb", "\x01", "</a>", "<a b=1/>", "<a b='1'c='2'/>", "<ä>x</ä>", "<a b='x\ny'/>")]
+    odd += ["<?xml version='1.0' encoding='latin-1'?><identifier>ä</identifier>", "<!DOCTYPE a [<!ENTITY e 'x'>]><a>&e;</a>", "<a/><b/>", "<a/>x", "x<a/>", "﻿<identifier>a</identifier>", "<identifier>a", "", "x", "<>", "</>"]
+    for language in ("gleam", "javascript"):
+        known = {}
+        for doc in plain + odd:
+            for _ in range(2):  # unknown tags, then remembered ones
+                want = [(up, trees._resolved(tag, field, rules[language]), own, line or 0, at == end) for at, up, _, _, _, end, tag, field, own, line, *_ in tree_queries.parse(doc)[0]]
+                assert trees._contract(trees._document_nodes(doc, rules[language], known)) == trees._contract(want), doc
+                assert [(*n[:2], n[2].strip(), *n[3:]) for n in trees._document_nodes(doc, rules[language], known)] == want, doc
+            assert (trees._plain_nodes(doc, rules[language], known) is None) == (doc in odd), doc
+    assert all(len(trees._plain_nodes(f"<x>{'<a>' * 3}{k}{'</a>' * 3}</x>", rules["gleam"], known)) == 4 for k in range(trees.TAGS + 9)) and len(known) <= trees.TAGS
